@@ -196,6 +196,7 @@ def dense_slides(
     )
     b = side("b", [F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("lblk")])
     b = b.select("*", F.explode(F.array_distinct(F.concat(seen, ends))).alias("ablk"))
+    b = b.select(*[F.col(c).alias(c) for c in b.columns])  # fresh ids: both sides come from one grid
     scoring = None if models is None else {g: (np.array(m.mu), np.array(m.sd), np.array(m.beta)) for g, m in models.items()}
     root2 = float(np.sqrt(2.0))
     include_zero, n_lags = plan.include_zero, plan.n_lags

@@ -132,7 +132,7 @@ def grid_livetime(grid: DataFrame, stride_s: float) -> DataFrame:
 
 def with_span_size(grid: DataFrame) -> DataFrame:
     """Add n, the points in the row's span; counted by aggregation so a long span is not one task's window."""
-    return grid.join(grid.groupBy("span_start").agg(F.count(F.lit(1)).alias("n")), "span_start")
+    return grid.drop("n").join(grid.groupBy("span_start").agg(F.count(F.lit(1)).alias("n")), "span_start")
 
 
 # --- pairing --------------------------------------------------------------------------------

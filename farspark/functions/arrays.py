@@ -13,6 +13,11 @@ def _double(a) -> Column:
     return F.transform(_col(a), lambda x: x.cast("double"))
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once: a lambda re-evaluates what it captures for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _fold_sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -44,9 +49,9 @@ def fraction_above(a, level: float = 0.5) -> Column:
 
 def min_max_norm(a, eps: float = 1e-12) -> Column:
     """Scale one array to [0, 1] by its own range."""
-    a = _col(a)
-    lo, hi = F.array_min(a).cast("double"), F.array_max(a).cast("double")
-    return F.transform(a, lambda x: (x.cast("double") - lo) / (hi - lo + F.lit(eps)))
+    a = _double(a)
+    ends = F.struct(a.alias("a"), F.array_min(a).alias("lo"), F.array_max(a).alias("hi"))
+    return let(ends, lambda s: F.transform(s["a"], lambda x: (x - s["lo"]) / (s["hi"] - s["lo"] + F.lit(eps))))
 
 
 def noise_referenced_norm(a, mean, std) -> Column:
@@ -109,16 +114,22 @@ def band_crop(magnitude, column, band, f_low: float = 10.0, f_res: float = 0.5,
     lo_row = max(0, math.ceil((band[0] - f_low) / f_res - 1e-9))
     hi_row = math.floor((band[1] - f_low) / f_res + 1e-9)
     rows = F.slice(rows, lo_row + 1, hi_row - lo_row + 1)
-    cut = F.transform(
-        rows,
-        lambda r: F.transform(
-            F.sequence(first, first + (width - 1)),
-            lambda c: F.when((c >= 0) & (c < F.size(r)), F.try_element_at(r, c + 1).cast("double")).otherwise(F.lit(0.0)),
-        ),
+    start = F.greatest(first, F.lit(0))
+
+    def crop(r: Column) -> Column:
+        n = F.greatest(F.least(F.size(r), first + width) - start, F.lit(0))
+        left = F.when(n > 0, start - first).otherwise(F.lit(width))
+        zeros = lambda k: F.array_repeat(F.lit(0.0), k)
+        return F.concat(zeros(left), F.slice(r, start + 1, n), zeros(F.lit(width) - left - n))
+
+    cut = F.transform(rows, crop)
+    ends = lambda c: F.struct(
+        c.alias("c"), F.array_min(F.flatten(c)).alias("lo"), F.array_max(F.flatten(c)).alias("hi")
     )
-    flat = F.flatten(cut)
-    lo, hi = F.array_min(flat), F.array_max(flat)
-    return F.transform(cut, lambda r: F.transform(r, lambda x: (x - lo) / (hi - lo + F.lit(1e-9))))
+    scale = lambda s: F.transform(
+        s["c"], lambda r: F.transform(r, lambda x: (x - s["lo"]) / (s["hi"] - s["lo"] + F.lit(1e-9)))
+    )
+    return let(cut, lambda c: let(ends(c), scale))
 
 
 def coherence_from_coefficients_sql(
@@ -139,10 +150,12 @@ def coherence_from_coefficients_sql(
     )
     pairs = F.arrays_zip(cross_re.alias("re"), cross_im.alias("im"))
 
-    def at(lag: Column) -> Column:
-        turn = lambda i: (i + F.lit(first_bin)) * lag * F.lit(2.0 * math.pi / n)
-        terms = F.transform(pairs, lambda p, i: p["re"] * F.cos(turn(i)) - p["im"] * F.sin(turn(i)))
-        return F.abs(_fold_sum(terms)) * F.lit(4.0 / n)
+    def scan(z: Column) -> Column:
+        def at(lag: Column) -> Column:
+            turn = lambda i: (i + F.lit(first_bin)) * lag * F.lit(2.0 * math.pi / n)
+            terms = F.transform(z, lambda p, i: p["re"] * F.cos(turn(i)) - p["im"] * F.sin(turn(i)))
+            return F.abs(_fold_sum(terms)) * F.lit(4.0 / n)
+
+        return F.array_max(F.transform(F.sequence(F.lit(-lag_samples), F.lit(lag_samples)), at))
 
-    lags = F.sequence(F.lit(-lag_samples), F.lit(lag_samples))
-    return F.array_max(F.transform(lags, at)) / (energy + F.lit(1e-30))
+    return let(pairs, scan) / (energy + F.lit(1e-30))

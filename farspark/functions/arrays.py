@@ -93,8 +93,8 @@ def reconstruction_error(a, b) -> Column:
 
 
 def rescale(series, factor) -> Column:
-    factor = _col(factor)
-    return F.transform(_col(series), lambda x: x * factor)
+    both = F.struct(_col(series).alias("x"), _col(factor).alias("f"))
+    return let(both, lambda s: F.transform(s["x"], lambda x: x * s["f"]))
 
 
 def cut_window(series, offset_s, duration_s, fs: float) -> Column:
@@ -114,15 +114,17 @@ def band_crop(magnitude, column, band, f_low: float = 10.0, f_res: float = 0.5,
     lo_row = max(0, math.ceil((band[0] - f_low) / f_res - 1e-9))
     hi_row = math.floor((band[1] - f_low) / f_res + 1e-9)
     rows = F.slice(rows, lo_row + 1, hi_row - lo_row + 1)
-    start = F.greatest(first, F.lit(0))
 
-    def crop(r: Column) -> Column:
-        n = F.greatest(F.least(F.size(r), first + width) - start, F.lit(0))
-        left = F.when(n > 0, start - first).otherwise(F.lit(width))
+    def crop(r: Column, at: Column) -> Column:
+        start = F.greatest(at, F.lit(0))
+        n = F.greatest(F.least(F.size(r), at + width) - start, F.lit(0))
+        left = F.when(n > 0, start - at).otherwise(F.lit(width))
         zeros = lambda k: F.array_repeat(F.lit(0.0), k)
         return F.concat(zeros(left), F.slice(r, start + 1, n), zeros(F.lit(width) - left - n))
 
-    cut = F.transform(rows, crop)
+    cut = let(
+        F.struct(rows.alias("rows"), first.alias("at")), lambda s: F.transform(s["rows"], lambda r: crop(r, s["at"]))
+    )
     ends = lambda c: F.struct(
         c.alias("c"), F.array_min(F.flatten(c)).alias("lo"), F.array_max(F.flatten(c)).alias("hi")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from farspark.errors import RefusedError
 from farspark.functions import kernels
-from farspark.functions.arrays import band_crop
+from farspark.functions.arrays import band_crop, rescale
 from farspark.functions.expressions import HIGH_MASS_BAND_HZ, LOW_MASS_BAND_HZ, column_for
 from farspark.operators.ordered import percentiles
 
@@ -85,7 +85,7 @@ def rescale_to_target(series: DataFrame, data: str = "series", current: str = "c
     """Scale every channel of a source by one factor, so amplitudes relative to each other stay."""
     bad = F.raise_error(F.lit("current network SNR must be positive")).cast("double")
     factor = F.col(target) / F.when(F.col(current) > 0, F.col(current)).otherwise(bad)
-    return series.withColumn(data, F.transform(F.col(data), lambda x: x * factor))
+    return series.withColumn(data, rescale(data, factor))
 
 
 def paired_band_crop(pairs: DataFrame, magnitude_a: str = "mag_a", magnitude_b: str = "mag_b", t0: str = "t0_a") -> DataFrame:

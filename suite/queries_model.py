@@ -132,7 +132,7 @@ def margin_loss(spark, d):
 
 
 @query("ensemble_spread", """SELECT l_orderkey AS row_id, avg(l_extendedprice) AS mean, stddev_pop(l_extendedprice) AS spread,
-  count(*) AS n_members FROM lineitem GROUP BY 1""", {"mean": 4, "spread": 3})
+  count(*) AS n_members FROM lineitem GROUP BY 1""", {"mean": 6, "spread": 4})
 def ensemble_spread(spark, d):
     li = v.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row_id"), F.col("l_extendedprice").alias("score"))
     return cal.ensemble_spread(li, ["row_id"])

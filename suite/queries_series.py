@@ -381,20 +381,15 @@ def read_psd(spark, d):
     return io.read_psd(spark, path)
 
 
-@query("completeness_check", f"""WITH {V1}, n AS (SELECT s.channel, s.start_s, s.end_s, count(*) AS n_samples FROM segs s
-    JOIN events e ON e.event_type = s.channel AND epoch_us(e.ts) // 21600000000 = s.blk GROUP BY 1, 2, 3)
-SELECT channel, start_s, end_s, n_samples, CAST(round_even((end_s - start_s) * 0.0001, 0) AS BIGINT) AS expected, TRUE AS complete
-FROM n WHERE abs(n_samples - CAST(round_even((end_s - start_s) * 0.0001, 0) AS BIGINT)) <= 0.0001""", {"start_s": 6, "end_s": 6})
+@query("completeness_check", f"""WITH {V1} SELECT channel, start_s / 100 AS start_s, end_s / 100 AS end_s,
+  CAST(floor(end_s / 100) - ceil(start_s / 100) + 1 AS BIGINT) AS n_samples,
+  CAST(round_even(end_s / 100 - start_s / 100, 0) AS BIGINT) AS expected, TRUE AS complete FROM segs WHERE end_s - start_s > 200""",
+       {"start_s": 6, "end_s": 6})
 def completeness_check(spark, d):
-    events = v.table(spark, d, "events").select(
-        F.col("event_type").alias("channel"), F.expr("unix_micros(cast(ts as timestamp)) div 21600000000").alias("blk")
-    )
-    segs = v.segments(spark, d)
-    samples = events.join(segs, ["channel", "blk"]).select("channel", "start_s", "end_s")
-    sized = samples.groupBy("channel", "start_s", "end_s").agg(F.count(F.lit(1)).alias("n"))
-    good = sized.filter(F.abs(F.col("n") - F.rint((F.col("end_s") - F.col("start_s")) * 0.0001)) <= 0.0001).drop("n")
-    keys = ["channel", "start_s", "end_s"]
-    return S.completeness_check(samples.join(good, keys, "left_semi"), good, 0.0001)
+    segs = v.segments(spark, d).filter("end_s - start_s > 200").select(
+        "channel", (F.col("start_s") / 100).alias("start_s"), (F.col("end_s") / 100).alias("end_s"))
+    samples = segs.select("*", F.explode(F.sequence(F.ceil("start_s"), F.floor("end_s"))).alias("sample"))
+    return S.completeness_check(samples, segs, 1.0)
 
 
 def audit_rows(spark, d):

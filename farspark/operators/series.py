@@ -48,10 +48,13 @@ def window_grid(
     # A window has at most window / chunk + 2 pieces.
     joined = pieces.groupBy(*keys, "i").agg(F.array_sort(F.collect_list("piece")).alias("p"))
     flat = F.flatten(F.transform("p", lambda e: e["x"]))
-    zeros = F.array_repeat(F.lit(0.0), n)
-    whole = F.when(F.size(flat) == n, F.transform(flat, lambda x: x.cast("double"))).otherwise(zeros)
+    found = joined.select(*keys, "i", F.when(F.size(flat) == n, F.transform(flat, lambda x: x.cast("double"))).alias("window"))
+    count = F.ceil((F.col(samples) - n) / step).cast("bigint")
+    whole = chunks.select(*keys, samples).distinct().filter(count > 0)
+    grid = whole.select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("i"))
     centre = F.col("span_start") + F.col("i") * F.lit(step / fs) + 0.5 * window_s
-    return joined.select(*keys, "i", centre.alias("t_centre"), whole.alias("window"))
+    window = F.coalesce("window", F.array_repeat(F.lit(0.0), n))
+    return grid.join(found, [*keys, "i"], "left").select(*keys, "i", centre.alias("t_centre"), window.alias("window"))
 
 
 def floor_psd(psd: DataFrame, relative: float = 1e-10, by: Sequence[str] = ("channel",)) -> DataFrame:

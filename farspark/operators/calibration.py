@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from farspark.functions.arrays import array_mean, array_std, fraction_above
 from farspark.functions.expressions import FRONT_END_SNR_EDGES, bin_index, passes, ratio
 from farspark.operators.efficiency import efficiency_vs
-from farspark.operators.ordered import Cells, ordinal, percentiles
+from farspark.operators.ordered import Cells, measured, ordinal, percentiles
 
 
 def _edges(n_bins: int) -> list[float]:
@@ -104,7 +104,7 @@ def balanced_weights(df: DataFrame, label: str = "y") -> DataFrame:
     weights = counts.crossJoin(F.broadcast(whole)).select(  # one row
         label, (F.col("_all") / (F.col("_classes") * F.col("_n"))).alias("weight")
     )
-    return df.join(weights, label)
+    return df.join(measured(weights), label)
 
 
 def score_summary(df: DataFrame, score: str = "score", by: Sequence[str] = ()) -> DataFrame:
@@ -181,8 +181,9 @@ def shape_stats(df: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str, row_id: str, cell_rows: int | None = None) -> DataFrame:
     """Rank correlation with ordinal ranks; equal values are ranked in the order of `row_id`."""
     d = df.select(row_id, x, y)
+    ids = Cells.fit(d, row_id, cell_rows=cell_rows)
     for c, r in ((x, "_rx"), (y, "_ry")):
-        d = ordinal(d, [c, row_id], Cells.fit(df, c, cell_rows=cell_rows), r)
+        d = ordinal(d, [c, row_id], Cells.fit(df, c, cell_rows=cell_rows), r, tie_cells=ids)
     return d.agg(F.corr(F.col("_rx").cast("double"), F.col("_ry").cast("double")).alias("spearman"))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 CELL_ROWS = 500_000
 BROADCAST_ROWS = 100_000
 _TAIL = (1e-5, 1e-4, 1e-3)
-_QUANTILES = tuple(sorted({i / 64 for i in range(1, 64)} | set(_TAIL) | {1 - t for t in _TAIL}))
+_QUANTILES = tuple(sorted({i / 120 for i in range(1, 120)} | set(_TAIL) | {1 - t for t in _TAIL}))
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -31,17 +31,19 @@ class Cells:
     """Order-keeping cut of one numeric column into cells of about `CELL_ROWS` rows.
 
     Quantile splits come first, then equal-width cells between neighbouring splits; both steps are monotone
-    in the value, including its floating-point rounding.
+    in the value, including its floating-point rounding. `hot` lists the values that fill whole quantiles; each
+    is a split, so it is the smallest value of its cell.
     """
 
     rows: int
     groups: int
     splits: tuple[float, ...]
     sub: int
+    hot: tuple[float, ...] = ()
 
     @classmethod
     def fit(cls, df: DataFrame, value, by: Sequence[str] = (), cell_rows: int | None = None) -> Cells:
-        """One narrow pass; the driver receives a single row of at most 71 numbers."""
+        """One narrow pass; the driver receives a single row of some 130 numbers."""
         v = F.col(value) if isinstance(value, str) else value
         v = F.when(~F.isnan(v.cast("double")), v.cast("double"))
         groups = F.approx_count_distinct(F.struct(*by)) if by else F.lit(1)
@@ -60,8 +62,11 @@ class Cells:
         if rows <= target:
             return cls(rows, groups, (), 1)
         splits = sorted({float(x) for x in (lo, *quantiles, hi) if math.isfinite(x)})
+        if splits and splits[-1] < 1e308:
+            splits.append(math.nextafter(splits[-1], math.inf))  # so that the largest value opens a cell too
         sub = max(1, math.ceil(rows / target / max(1, len(splits) - 1)))
-        return cls(rows, groups, tuple(splits), sub)
+        hot = sorted({float(a) for a, b in zip(quantiles[:-1], quantiles[1:]) if a == b and a in splits[:-1]})
+        return cls(rows, groups, tuple(splits), sub, tuple(hot))
 
     @property
     def single(self) -> bool:
@@ -72,29 +77,37 @@ class Cells:
         """Whether one row per group and target is certain to be small enough to broadcast."""
         return self.groups <= BROADCAST_ROWS // 64
 
-    def of(self, value) -> Column:
-        """The cell of a value: BIGINT, non-decreasing in the value."""
-        v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    def attach(self, df: DataFrame, value: str, name: str = "_cell") -> DataFrame:
+        """Add the cell of a value: BIGINT, non-decreasing in the value.
+
+        A binary search over a literal array, one projection per step. Each step reads the one before it twice,
+        so the optimiser keeps them apart, and the generated code stays small enough to be compiled: the same
+        search as one nested CASE is ten times slower.
+        """
         if self.single:
-            return F.lit(0).cast("bigint")
-
-        def search(first: int, last: int) -> Column:
-            if first == last:
-                lo, hi = self.splits[first], self.splits[first + 1]
-                width = hi - lo
-                if self.sub == 1 or not math.isfinite(self.sub / width):
-                    inner = F.lit(0)
-                else:
-                    inner = F.floor((v - lo) * (self.sub / width))
-                inner = F.least(F.greatest(inner, F.lit(0)), F.lit(self.sub - 1))
-                return F.lit(first * self.sub) + inner
-            mid = (first + last + 1) // 2
-            return F.when(v < self.splits[mid], search(first, mid - 1)).otherwise(search(mid, last))
-
-        outside = F.when(v < self.splits[0], F.lit(0)).when(
-            v >= self.splits[-1], F.lit((len(self.splits) - 1) * self.sub)
-        )
-        return outside.otherwise(search(0, len(self.splits) - 2)).cast("bigint")
+            return df.withColumn(name, F.lit(0).cast("bigint"))
+        m = len(self.splits)
+        steps = m.bit_length()
+        padded = F.lit([*self.splits, *[math.inf] * (2**steps - 1 - m)])
+        width = [b - a for a, b in zip(self.splits[:-1], self.splits[1:])]
+        scale = F.lit([self.sub / w if math.isfinite(w) and math.isfinite(self.sub / w) else 0.0 for w in width])
+        d = df.withColumn("_v", F.col(value).cast("double")).withColumn("_at", F.lit(0))
+        for step in reversed(range(steps)):
+            beyond = F.get(padded, F.col("_at") + (2**step - 1)) <= F.col("_v")
+            d = d.withColumn("_at", F.col("_at") + F.when(beyond, 2**step).otherwise(0))
+        d = d.withColumn("_at", F.least(F.greatest(F.col("_at") - 1, F.lit(0)), F.lit(m - 2)))
+        inner = F.floor((F.col("_v") - F.get(padded, F.col("_at"))) * F.get(scale, F.col("_at")))
+        inner = F.least(F.greatest(inner, F.lit(0)), F.lit(self.sub - 1))
+        return d.withColumn(name, (F.col("_at") * self.sub + inner).cast("bigint")).drop("_v", "_at")
+
+
+def measured(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """`df` as a local table when it has at most `rows` rows, so that Spark knows its size and broadcasts it.
+
+    A larger one is returned as it is, and its joins are left to the optimiser.
+    """
+    head = df.limit(rows + 1).collect()
+    return session(df).createDataFrame(head, df.schema) if len(head) <= rows else df
 
 
 def maybe_broadcast(df: DataFrame, certain: bool) -> DataFrame:
@@ -120,33 +133,44 @@ def running(
     cells: Cells,
     by: Sequence[str] = (),
     descending: bool = False,
+    tie_cells: Cells | None = None,
 ) -> DataFrame:
     """Add running aggregates in the order of `order` (first column numeric, the one `cells` was fitted on).
 
     `scans` maps a new column to (kind, column, inclusive); kinds are sum, max and min. The order must have no
     ties that matter: break them with further order columns. NULL where nothing precedes.
+
+    Rows that cannot be aggregated by value beforehand may still share one value. With `tie_cells`, fitted on
+    the second order column, the rows of a hot value are cut further by that column; they come first in their
+    cell, so (cell, tie cell) keeps the order.
     """
     by = list(by)
-    d = df.withColumn("_cell", cells.of(order[0]))
+    split_ties = tie_cells is not None and not tie_cells.single and bool(cells.hot) and not descending
+    d = cells.attach(df, order[0])
+    if split_ties:
+        last = len(tie_cells.splits) * tie_cells.sub
+        is_hot = F.col(order[0]).cast("double").isin(*cells.hot)
+        d = tie_cells.attach(d, order[1], "_tie").withColumn("_tie", F.when(is_hot, F.col("_tie")).otherwise(last))
+    place = ["_cell", "_tie"] if split_ties else ["_cell"]
     sign = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    w = W.partitionBy(*by, "_cell").orderBy(*[sign(c) for c in order])
+    w = W.partitionBy(*by, *place).orderBy(*[sign(c) for c in order])
     column = lambda c: F.col(c) if isinstance(c, str) else c
     out = d
     for name, (kind, c, inclusive) in scans.items():
         frame = w.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
         out = out.withColumn(name, _AGG[kind](column(c)).over(frame))
     if cells.single:
-        return out.drop("_cell")
-    totals = d.groupBy(*by, "_cell").agg(*[_AGG[k](column(c)).alias(f"_t_{n}") for n, (k, c, _) in scans.items()])
+        return out.drop(*place)
+    totals = d.groupBy(*by, *place).agg(*[_AGG[k](column(c)).alias(f"_t_{n}") for n, (k, c, _) in scans.items()])
     # One row per cell: rows / CELL_ROWS of them, so this window is small by construction.
-    wc = W.partitionBy(*by).orderBy(sign("_cell")).rowsBetween(W.unboundedPreceding, -1)
+    wc = W.partitionBy(*by).orderBy(*[sign(c) for c in place]).rowsBetween(W.unboundedPreceding, -1)
     carry = totals.select(
-        *by, "_cell", *[_AGG[k](f"_t_{n}").over(wc).alias(f"_c_{n}") for n, (k, _, _) in scans.items()]
+        *by, *place, *[_AGG[k](f"_t_{n}").over(wc).alias(f"_c_{n}") for n, (k, _, _) in scans.items()]
     )
-    out = out.join(carry, [*by, "_cell"], "left")
+    out = out.join(carry, [*by, *place], "left")
     for name, (kind, _, _) in scans.items():
         out = out.withColumn(name, _combine(kind, F.col(name), F.col(f"_c_{name}")))
-    return out.drop("_cell", *[f"_c_{n}" for n in scans])
+    return out.drop(*place, *[f"_c_{n}" for n in scans])
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), **extra: Column) -> DataFrame:
@@ -174,7 +198,7 @@ def select_ranks(df: DataFrame, value: str, wanted: DataFrame, cells: Cells, by:
     if one is not None:
         d, wanted = d.select("*", one), wanted.withColumn("_all", F.lit(0))
         by = ["_all"]
-    d = d.withColumn("_cell", cells.of(value))
+    d = cells.attach(d, value)
     if cells.single:
         target = wanted.withColumn("_cell", F.lit(0).cast("bigint")).withColumn("_rank_in_cell", F.col("rank"))
         rows = d
@@ -188,6 +212,9 @@ def select_ranks(df: DataFrame, value: str, wanted: DataFrame, cells: Cells, by:
             .withColumn("_rank_in_cell", F.col("rank") - F.col("_before"))
             .drop("_n", "_upto", "_before")
         )
+        if cells.small_groups:
+            # One row per group and rank, few by measurement: find them once rather than in every branch below.
+            target = session(df).createDataFrame(target.collect(), target.schema)
         rows = d.join(
             maybe_broadcast(target.select(*by, "_cell").distinct(), cells.small_groups), [*by, "_cell"], "left_semi"
         )
@@ -237,9 +264,13 @@ def percentiles(
     return lerp.groupBy(*by).agg(*[F.max(F.when(F.col("name") == k, F.col("p"))).alias(k) for k in quantiles])
 
 
-def ordinal(df: DataFrame, order: Sequence[str], cells: Cells, name: str = "ordinal", by: Sequence[str] = ()) -> DataFrame:
+def ordinal(
+    df: DataFrame, order: Sequence[str], cells: Cells, name: str = "ordinal", by: Sequence[str] = (),
+    tie_cells: Cells | None = None,
+) -> DataFrame:
     """0-based position in the order of `order`, as a running count."""
-    out = running(df.withColumn("_one", F.lit(1).cast("bigint")), order, {name: ("sum", "_one", True)}, cells, by)
+    one = df.withColumn("_one", F.lit(1).cast("bigint"))
+    out = running(one, order, {name: ("sum", "_one", True)}, cells, by, tie_cells=tie_cells)
     return out.withColumn(name, F.col(name) - 1).drop("_one")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from farspark.errors import RefusedError
 from farspark.functions.expressions import ARM_CLIP, ARM_RAMP_SIGMA, FEATURES, keep_above, log_likelihood_ratio, lr_features
 from farspark.functions.kernels import coefficient_coherence, lag_rotation
+from farspark.operators.ordered import BROADCAST_ROWS, measured
 from farspark.operators.slides import SlidePlan, cluster_local_max
 from farspark.schemas import names
 
@@ -63,7 +64,7 @@ def load_models(frame: DataFrame) -> dict[int, Model]:
 def fold_join(rows: DataFrame, assignment: DataFrame, key: str = "span_start") -> DataFrame:
     """Attach `fold` by span start in whole microseconds; a row whose span has no fold stops the query."""
     us = F.rint(F.col(key) * 1e6).cast("bigint")
-    known = assignment.select(us.alias("_us"), "fold").distinct()
+    known = measured(assignment.select(us.alias("_us"), "fold").distinct(), BROADCAST_ROWS)
     joined = rows.withColumn("_us", us).join(known, "_us", "left").drop("_us")
     stray = F.raise_error(F.lit("a row's span is not one the model was fitted on")).cast("int")
     return joined.withColumn("fold", F.coalesce(F.col("fold").cast("int"), stray))

@@ -11,7 +11,7 @@ from farspark.errors import RefusedError
 from farspark.functions import kernels
 from farspark.functions.arrays import band_crop, rescale
 from farspark.functions.expressions import HIGH_MASS_BAND_HZ, LOW_MASS_BAND_HZ, column_for
-from farspark.operators.ordered import percentiles
+from farspark.operators.ordered import measured, percentiles
 
 PSD_ROWS = 200_000
 
@@ -61,7 +61,7 @@ def floor_psd(psd: DataFrame, relative: float = 1e-10, by: Sequence[str] = ("cha
     """Add floored and asd: the PSD raised to a small fraction of the median of its positive finite bins."""
     by = list(by)
     clean = F.when((F.col("psd") > 0) & ~F.isnan("psd") & (F.col("psd") < float("inf")), F.col("psd"))
-    median = percentiles(psd.withColumn("_pos", clean), "_pos", {"_median": 0.5}, by)
+    median = measured(percentiles(psd.withColumn("_pos", clean), "_pos", {"_median": 0.5}, by))
     out = psd.join(median, by) if by else psd.crossJoin(F.broadcast(median))  # one row
     none = F.raise_error(F.lit("reference PSD has no positive finite bins")).cast("double")
     floor = F.coalesce(F.col("_median"), none) * F.lit(relative)

@@ -22,7 +22,7 @@ from farspark.operators import efficiency as eff
 from farspark.operators import far as rates
 from farspark.operators import folds, ranking, slides, volume
 from farspark.operators.calibration import efficiency_at_quantile, shape_stats, spearman, tile_properties
-from farspark.operators.ordered import percentiles, union_all
+from farspark.operators.ordered import Cells, percentiles, union_all
 from farspark.operators.records import record_problems
 from farspark.operators.series import coherence_rows
 from farspark.operators.settle import settle
@@ -148,13 +148,16 @@ def efficiency_report(
         foreground = foreground.withColumn("passes_gate", ~is_glitch("hm", "lm"))
     else:
         foreground = foreground.withColumn("passes_gate", F.lit(True))
-    thresholds = rates.thresholds_at_far(background, stat, livetime_yr, targets, trials, ["channel"], below_floor="drop")
+    cells = Cells.fit(background, stat, ["channel"])
+    thresholds = rates.thresholds_at_far(
+        background, stat, livetime_yr, targets, trials, ["channel"], cells, below_floor="drop"
+    )
     thresholds = quotable_thresholds(thresholds, floors)
     judged = rates.own_channel_threshold(foreground, thresholds, stat, ["channel"], inclusive=False)
     judged = judged.withColumn("found", F.col("found") & F.col("passes_gate"))
     strict_background = background.filter(F.col("channel") == "strict")
     member = (F.col("channel") == "strict") & F.col("passes_gate")
-    rated = rates.far_of(foreground, background, stat, livetime_yr, trials, ["channel"])
+    rated = rates.far_of(foreground, background, stat, livetime_yr, trials, ["channel"], cells)
     rated = rated.withColumn("far_per_yr", F.coalesce("far_per_yr", F.lit(float("inf"))))
     out = {
         "thresholds": thresholds,

@@ -76,6 +76,7 @@ def test_spearman_is_exact_in_cells(rows):
     y = (i * 37 % 101).astype(float)
     rank = lambda a: np.argsort(np.lexsort((i, a)))
     want = np.corrcoef(rank(x), rank(y))[0, 1]
+    assert 0.5 in Cells.fit(d, "stat", cell_rows=90).hot
     for cell_rows in (None, 90):
         assert spearman(d, "stat", "y", "id", cell_rows).first()[0] == pytest.approx(want, abs=1e-12)
 
@@ -93,5 +94,5 @@ def test_cells_keep_order_on_hard_values(spark):
     x = sorted([-1e308, -5.0, -0.0, 1e-300, 1.0, 1.0, 2.0, 1e300, 1e308, *np.linspace(0, 1, 50).tolist()])
     df = spark.createDataFrame([(float(v),) for v in x], "v double")
     cells = Cells.fit(df, "v", cell_rows=3)
-    got = [r[0] for r in df.orderBy("v").select(cells.of("v")).collect()]
+    got = [r[0] for r in cells.attach(df, "v", "c").orderBy("v").select("c").collect()]
     assert got == sorted(got)

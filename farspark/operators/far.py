@@ -97,7 +97,7 @@ def thresholds_at_far(
         .withColumn("rank", F.least("n_allowed", "n_background"))
         .withColumn("resolved", F.col("n_allowed") < F.col("n_background"))
     )
-    found = select_ranks(background, stat, wanted, cells, by)
+    found = select_ranks(background, stat, wanted, cells, by, max((n for _, n in quoted), default=0))
     out = found.select(
         *by, "far_per_yr", "n_allowed", "n_background", F.col(stat).cast("double").alias("threshold"), "resolved"
     )

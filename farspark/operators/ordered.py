@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 CELL_ROWS = 500_000
 BROADCAST_ROWS = 100_000
+TOP_ROWS = 10_000
 _TAIL = (1e-5, 1e-4, 1e-3)
 _QUANTILES = tuple(sorted({i / 120 for i in range(1, 120)} | set(_TAIL) | {1 - t for t in _TAIL}))
 
@@ -186,11 +187,14 @@ def counts_at_least(values: DataFrame, value: str, cells: Cells, by: Sequence[st
     return running(values, [value], scans, cells, by, descending=True)
 
 
-def select_ranks(df: DataFrame, value: str, wanted: DataFrame, cells: Cells, by: Sequence[str] = ()) -> DataFrame:
+def select_ranks(
+    df: DataFrame, value: str, wanted: DataFrame, cells: Cells, by: Sequence[str] = (), top: int | None = None
+) -> DataFrame:
     """Exact order statistics: add `value` at each `rank` (1 = largest) of `wanted` (by..., rank, ...).
 
     Two scans, no sort of the data: count rows per cell, then look only inside the cells that hold a wanted
-    rank. The shuffles carry cell counts and the distinct values of those few cells.
+    rank. The shuffles carry cell counts and the distinct values of those few cells. For a small input whose
+    largest wanted rank `top` is low, a ranking window that keeps only the top rows per task is cheaper.
     """
     by = list(by)
     d = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, value)
@@ -198,6 +202,10 @@ def select_ranks(df: DataFrame, value: str, wanted: DataFrame, cells: Cells, by:
     if one is not None:
         d, wanted = d.select("*", one), wanted.withColumn("_all", F.lit(0))
         by = ["_all"]
+    if cells.single and top is not None and top <= TOP_ROWS:
+        first = F.row_number().over(W.partitionBy(*by).orderBy(F.col(value).desc())).cast("bigint")
+        ranked = d.withColumn("rank", first).filter(F.col("rank") <= top)
+        return ranked.join(maybe_broadcast(wanted, cells.small_groups), [*by, "rank"]).drop("_all")
     d = cells.attach(d, value)
     if cells.single:
         target = wanted.withColumn("_cell", F.lit(0).cast("bigint")).withColumn("_rank_in_cell", F.col("rank"))

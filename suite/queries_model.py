@@ -424,7 +424,18 @@ def gate_slides(spark, d):
     return reports.gate_report(triggers, windows, ["centroid"], 500, score)["summary"]
 
 
-@query("front_end_report")
+TRACKED = " UNION ALL ".join(
+    f"SELECT '{s}' AS score, '{p}' AS property, corr(r_{s}, r_{p}) AS spearman FROM r"
+    for s in ("first", "second") for p in ("tile_mean", "tile_std", "tile_fraction")
+)
+
+
+@query("front_end_report", f"""WITH u AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[2] AS DOUBLE) AS second,
+    unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings WHERE label % 2 <> 1),
+  p AS (SELECT vec_id, any_value(first) AS first, any_value(second) AS second, avg(x) AS tile_mean, stddev_pop(x) AS tile_std,
+    avg(CASE WHEN x > 0.5 THEN 1.0 ELSE 0 END) AS tile_fraction FROM u GROUP BY 1),
+  r AS (SELECT {', '.join(f'row_number() OVER (ORDER BY {c}, vec_id) AS r_{c}' for c in ('first', 'second', 'tile_mean', 'tile_std', 'tile_fraction'))} FROM p)
+{TRACKED}""", {"spearman": 6})
 def front_end_report(spark, d):
     e = v.table(spark, d, "embeddings")
     rows = e.select(

@@ -107,7 +107,14 @@ def coherence_from_coefficients_bulk(spark, d):
 # --- Arrow kernels --------------------------------------------------------------------------
 
 
-@query("bandlimit")
+def dft(source: str, n: int, first: int, last: int, taper: bool, name: str, cut: str = "") -> str:
+    """CTE `name`: the transform of a series column written out, frequency by frequency."""
+    shape = f"* (0.5 - 0.5 * cos(2 * pi() * t / {n - 1}))" if taper else ""
+    return f"""{name} AS (SELECT vec_id, f, sum(x {shape} * cos(2 * pi() * f * t / {n})) AS re, -sum(x {shape} * sin(2 * pi() * f * t / {n})) AS im
+  FROM (SELECT vec_id, unnest(range({n})) AS t, unnest({source}{cut}) AS x FROM sp) CROSS JOIN (SELECT unnest(range({first}, {last + 1})) AS f) GROUP BY 1, 2)"""
+
+
+@query("bandlimit", f"""WITH {V5}, {dft('xa', 64, 4, 16, True, 'c')} SELECT vec_id, sqrt(2 * sum(re * re + im * im) / 64) AS norm FROM c GROUP BY 1""", {"norm": 6})
 def bandlimit(spark, d):
     s = per_pair(spark, d, y=K.bandlimit(FS, (4.0, 16.0))("xa"))
     return s.select("vec_id", F.sqrt(F.aggregate("y", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
@@ -135,7 +142,12 @@ def band_coefficients(spark, d):
     return z.select("vec_id", (F.col("p") + F.col("first_bin")).cast("bigint").alias("bin"), "z.re", "z.im")
 
 
-@query("coherence")
+@query("coherence", f"""WITH {V5}, {dft('xa', 32, 2, 8, True, 'ca', '[17:48]')}, {dft('xb', 32, 2, 8, True, 'cb', '[17:48]')},
+  z AS (SELECT a.vec_id, a.f, a.re * b.re + a.im * b.im AS zr, a.im * b.re - a.re * b.im AS zi,
+    a.re * a.re + a.im * a.im + b.re * b.re + b.im * b.im AS e FROM ca a JOIN cb b ON a.vec_id = b.vec_id AND a.f = b.f),
+  s AS (SELECT vec_id, l, sum(zr * cos(2 * pi() * f * l / 32) - zi * sin(2 * pi() * f * l / 32)) AS c, sum(e) AS e
+    FROM z CROSS JOIN (SELECT unnest(range(-4, 5)) AS l) GROUP BY 1, 2)
+SELECT vec_id, 2 * max(abs(c)) / any_value(e) AS coherence FROM s GROUP BY 1""", {"coherence": 6})
 def coherence(spark, d):
     return per_pair(spark, d, coherence=K.coherence(FS, (4.0, 16.0), 0.5, 4)("xa", "xb"))
 
@@ -157,23 +169,35 @@ def floor_psd(spark, d):
     return series.floor_psd(psd_table(spark, d))
 
 
+CURVE = f"""{PSD}, lowest AS (SELECT quantile_cont(psd, 0.5) * 1e-3 AS lo FROM pp WHERE psd > 0),
+  nz AS (SELECT CAST(freq AS BIGINT) AS f, greatest(psd, lo) AS s FROM pp CROSS JOIN lowest)"""
+
+
 def reference_curve(spark, d, column="floored"):
     return series.psd_arrays(series.floor_psd(psd_table(spark, d), 1e-3), column)
 
 
-@query("whiten_spectral")
+@query("whiten_spectral", f"""WITH {V5}, {CURVE}, {dft('xa', 64, 0, 32, False, 'c')}
+SELECT vec_id, sqrt(sum(CASE WHEN c.f IN (0, 32) THEN 1 ELSE 2 END * (re * re + im * im) / s) / 64) AS norm
+FROM c JOIN nz ON nz.f = greatest(c.f, 1) GROUP BY 1""", {"norm": 6})
 def whiten_spectral(spark, d):
     white = K.whiten_spectral(*reference_curve(spark, d), fs=FS)
     s = per_pair(spark, d, y=white("xa"))
     return s.select("vec_id", F.sqrt(F.aggregate("y", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
 
 
-@query("optimal_snr")
+def snr_sql(series: str, name: str) -> str:
+    return f"""{dft(series, 64, 2, 32, False, 'c_' + name)}, {name} AS (SELECT vec_id, 4 * sum((re * re + im * im) / 4096.0 / s) AS snr2
+  FROM c_{name} c JOIN nz ON nz.f = c.f GROUP BY 1)"""
+
+
+@query("optimal_snr", f"WITH {V5}, {CURVE}, {snr_sql('xa', 'p')} SELECT vec_id, sqrt(snr2) AS snr FROM p", {"snr": 6})
 def optimal_snr(spark, d):
     return per_pair(spark, d, snr=K.optimal_snr(*reference_curve(spark, d), fs=FS, f_low=2.0)("xa"))
 
 
-@query("network_snr")
+@query("network_snr", f"""WITH {V5}, {CURVE}, {snr_sql('xa', 'p')}, {snr_sql('xb', 'q')}
+SELECT p.vec_id AS source_id, sqrt(p.snr2 + q.snr2) AS network_snr FROM p JOIN q ON q.vec_id = p.vec_id""", {"network_snr": 6})
 def network_snr(spark, d):
     pairs = v.series_pairs(spark, d)
     long = union_all([

@@ -8,7 +8,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-US = F.unix_micros
 STRIDE_S = 1800.0
 STEP_S = 3600.0
 N_LAGS = 23
@@ -31,7 +30,8 @@ def scratch(spark: SparkSession) -> str:
 
 
 def _us() -> Column:
-    return F.unix_micros(F.col("ts").cast("timestamp"))
+    # Between two zoneless timestamps, so the session's time zone does not matter.
+    return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))")
 
 
 # --- V1: segments ---------------------------------------------------------------------------
@@ -229,7 +229,7 @@ FIRST_BIN, WINDOW_N, LAG_SAMPLES = 4, 256, 8
 def feature_foreground(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Injected rows derived from lineitem, each placed in one of the grid's spans."""
     li = table(spark, sf_dir, "lineitem")
-    first = table(spark, sf_dir, "events").agg(F.min(F.expr("unix_micros(cast(ts as timestamp)) div 86400000000")).alias("_d0"))
+    first = table(spark, sf_dir, "events").select(_us().alias("us")).agg(F.min(F.expr("us div 86400000000")).alias("_d0"))
     q = F.col("l_quantity")
     return li.crossJoin(F.broadcast(first)).select(
         ((F.col("_d0") + F.col("l_orderkey") % 30) * 86400.0).alias("span_start"), (300.0 + 12.0 * q).alias("score_a"),

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """Where this application keeps intermediate tables: the session's shared checkpoint folder, else its warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/farspark-{spark.sparkContext.applicationId}"
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write `df` once to the cluster's checkpoint folder and read it back.
+    """Write `df` once as Parquet to the cluster's shared folder and read it back.
 
-    The folder is the one the session names in `spark.checkpoint.dir`. Only a local-mode session without one
-    gets a folder of its own.
+    Column pruning and pushed filters work on the copy, and a lost executor costs nothing that was written.
+    The copies go when the application ends.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="farspark-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)

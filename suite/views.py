@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from farspark.operators.settle import folder
+
 STRIDE_S = 1800.0
 STEP_S = 3600.0
 N_LAGS = 23
@@ -24,9 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder for round trips through files: shared storage where the cluster names some."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return os.path.join(base, f"scratch-{uuid.uuid4().hex}") if base else tempfile.mkdtemp(prefix="farspark-")
+    """A fresh folder for round trips through files, in the storage the session shares with its executors."""
+    return f"{folder(spark)}/scratch-{uuid.uuid4().hex}"
 
 
 def _us() -> Column:

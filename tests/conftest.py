@@ -7,9 +7,12 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    from pyspark.sql import SparkSession
+
     from suite import session
 
+    SparkSession.builder.config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     s = session.local(partitions=4)
     s.sparkContext.setLogLevel("ERROR")
     return s

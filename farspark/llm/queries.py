@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from farspark.llm.registry import ORACLES, QUERIES
-from farspark.llm import queries_text  # noqa: F401
+from farspark.llm import queries_text, queries_vectors  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

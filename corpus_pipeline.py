@@ -1,17 +1,80 @@
-"""The training-data pipeline: its stages are added as their operators are."""
+"""The training-data pipeline: from raw documents to packed sequences.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a DataFrame. All but the last return the
+columns of `documents`. Documents are told apart by `doc_id` and a hash of their text, so null ids do no harm.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from farspark.llm import jaccard, mixing, packing, substrings, toxicity
+from farspark.llm.tables import held_out, table
+from farspark.operators.settle import settle
+
+TOKENIZER = "byte_bpe_50k.json"
+TOXIC_FROM = 0.5
+#: Passages of some fifty words are a little shorter than the operator's default reach.
+PASSAGE_BYTES = 256
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored toxic go; the model learns from the labels that are not held out. A null text is scored as empty."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out("doc_id")))
+    return toxicity.score(docs, model, name="_toxic").filter(F.col("_toxic") < TOXIC_FROM).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of smallest id stays; of rows equal in id and text one stays."""
+    found = jaccard.near_duplicates(docs.select("doc_id", "text"))
+    stay = settle(found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept")).distinct())
+    rows = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").withColumn("_hash", F.xxhash64("text"))
+    return rows.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that occur again are cut out of the texts; characters cut in part go as a whole. No document goes."""
+    cut = substrings.remove_repeats(docs, length=PASSAGE_BYTES)
+    changed = F.size("removed") > 0
+    text = F.when(changed, substrings.as_text()("kept")).otherwise(F.col("text"))
+    new = cut.withColumn("_text", text)
+    return new.select(*(
+        F.col("_text").alias(c) if c == "text" else F.when(changed, F.length("_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars"
+        else F.col(c) for c in docs.columns))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all up to three times."""
+    names = {"_id": F.col("doc_id"), "_hash": F.xxhash64("text")}
+    sized = docs.select(*(c.alias(n) for n, c in names.items()), mixing.words(F.col("text")).alias("size"), F.array("source").alias("members"))
+    copies = settle(mixing.mix(sized, ["_id", "_hash"]).groupBy("_id", "_hash").agg(F.max("copies").alias("_copies")).filter("_copies > 0"))
+    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
+    both = rows.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 1024 tokens."""
+    pieces = packing.token_pieces(docs.select("doc_id", "text"), TOKENIZER)
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), ["doc_id", "piece", "ids_crc32"])
+
 
-from farspark.llm.tables import table
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("suffix_array_dedup", drop_repeats),
+    ("mixing", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
 
-STAGES: list = []
+#: A trained model and a hash-seeded choice are not for SQL; the pipeline is tested stage by stage against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = settle(docs)
     return docs

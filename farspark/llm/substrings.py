@@ -249,3 +249,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     rest = [c for c in docs.columns if c not in ("kept", "removed")]
     both = _named(docs.select(*rest), key, text).join(found, ["d1", "d2"], "left")
     return both.withColumn("_cut", _cut()("_text", "spans")).select(*rest, "_cut.kept", "_cut.removed")
+
+
+def as_text():
+    """An Arrow function from kept bytes to text; what is left of a character that was cut goes."""
+    @F.arrow_udf("string")
+    def decode(column: pa.Array) -> pa.Array:
+        return pa.array([None if b.as_py() is None else b.as_py().decode("utf-8", "ignore") for b in column], pa.string())
+
+    return decode

@@ -30,9 +30,9 @@ LEVELS = 16
 VERIFY_COST = 40.0
 LEADER_ROUNDS = 3
 #: Shingles in one hash range, and shingles a task holds before it writes blocks.
-RANGE_TOKENS = 6_000_000
-HELD_TOKENS = 2_000_000
-CACHED_WORDS = 300_000
+RANGE_TOKENS = 3_000_000
+HELD_TOKENS = 1_000_000
+CACHED_WORDS = 150_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -94,7 +94,8 @@ def shingle_sets(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> Da
 
 
 BLOCK = "part int, names binary, sizes binary, counts binary, low binary, high binary"
-SHARED = "name long, n long, tokens binary, holders binary"
+SHARED = "home int, names binary, sizes binary, counts binary, tokens binary, holders binary"
+SUSPECT = "name long, n long, level int, tokens binary, prefix array<long>"
 
 
 def _blocks(parts: int, width: int):
@@ -140,34 +141,45 @@ def _blocks(parts: int, width: int):
     return deal
 
 
-def _count(table: pa.Table) -> pa.Table:
-    """Shingles of one hash range that two or more classes hold, by class, with the number of their holders."""
-    def joined(name: str, kind) -> np.ndarray:
-        return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-
-    part = table.column("part")[0].as_py()
-    names, sizes, counts = joined("names", np.uint64), joined("sizes", np.uint32), joined("counts", np.uint32)
-    tokens = joined("low", np.uint32).astype(np.uint64) | joined("high", np.uint8).astype(np.uint64) << np.uint64(32)
-    _, first = np.unique(names, return_index=True)
-    once = np.zeros(len(names), bool)
-    once[first] = True
-    tokens, owner = tokens[np.repeat(once, counts)], np.repeat(np.arange(len(names), dtype=np.int32)[once], counts[once])
-    order = np.argsort(tokens, kind="stable")
-    ranked = tokens[order]
-    edge = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
-    holders = np.diff(np.append(edge, len(ranked)))
-    many = np.repeat(holders, holders)
-    shared = many > 1
-    order, many = order[shared], many[shared].astype(np.uint32)
-    tokens, owner = tokens[order] | np.uint64(part & 0xFFFFFF) << np.uint64(40), owner[order]
-    by = np.argsort(owner, kind="stable")
-    tokens, many, owner = tokens[by], many[by], owner[by]
-    runs = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-    ends, of = np.append(runs[1:], len(owner)), owner[runs]
-    return pa.table([
-        pa.array(names[of].astype(np.int64), pa.int64()), pa.array(sizes[of].astype(np.int64), pa.int64()),
-        pa.array([tokens[i:j].tobytes() for i, j in zip(runs, ends)], pa.binary()),
-        pa.array([many[i:j].tobytes() for i, j in zip(runs, ends)], pa.binary())], names=["name", "n", "tokens", "holders"])
+def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
+
+def _edges(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+
+
+def _count(parts: int):
+    """Shingles of one hash range that two or more classes hold, with the number of their holders, dealt by class."""
+    def count(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        names, sizes, counts = _joined(table, "names", np.uint64), _joined(table, "sizes", np.uint32), _joined(table, "counts", np.uint32)
+        tokens = _joined(table, "low", np.uint32).astype(np.uint64)
+        tokens |= _joined(table, "high", np.uint8).astype(np.uint64) << np.uint64(32)
+        once = np.zeros(len(names), bool)
+        once[np.unique(names, return_index=True)[1]] = True
+        tokens, owner = tokens[np.repeat(once, counts)], np.repeat(np.flatnonzero(once).astype(np.int32), counts[once])
+        order = np.argsort(tokens)
+        tokens, owner = tokens[order], owner[order]
+        holders = np.diff(np.append(_edges(tokens), len(tokens))).astype(np.uint32)
+        many = np.repeat(holders, holders)
+        shared = many > 1
+        tokens, owner, many = tokens[shared] | np.uint64(part & 0xFFFFFF) << np.uint64(40), owner[shared], many[shared]
+        home = (mixed(names) % np.uint64(parts)).astype(np.int32)
+        order = np.lexsort((owner, home[owner]))
+        tokens, owner, many = tokens[order], owner[order], many[order]
+        runs = _edges(owner)
+        of, held = owner[runs], np.diff(np.append(runs, len(owner))).astype(np.uint32)
+        homes = home[of]
+        first = _edges(homes)
+        rows = [(homes[a], names[of[a:b]].tobytes(), sizes[of[a:b]].tobytes(), held[a:b].tobytes(), tokens[i:j].tobytes(), many[i:j].tobytes())
+                for a, b in zip(first, np.append(first[1:], len(of))) for i, j in [(runs[a], runs[b] if b < len(runs) else len(owner))]]
+        columns = list(zip(*rows)) or [()] * 6
+        return pa.table([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(columns)],
+                        names=["home", "names", "sizes", "counts", "tokens", "holders"])
+
+    return count
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -187,19 +199,27 @@ def choose_level(holders: np.ndarray, n: int, percent: int, levels: int = LEVELS
 
 
 def _prefixes(percent: int):
-    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for name, n, parts, counts in zip(*(batch.column(c).to_pylist() for c in ("name", "n", "tokens", "holders"))):
-                tokens, holders = np.frombuffer(b"".join(parts), np.uint64), np.frombuffer(b"".join(counts), np.uint32)
-                rank = np.lexsort((tokens, holders))
-                level = choose_level(holders[rank], n, percent)
-                prefix = tokens[rank][:len(tokens) - least_overlap(n, percent) + level]
-                out.append((name, n, level, np.sort(tokens).tobytes(), prefix.astype(np.int64)))
-            names, ns, levels, sets, prefixes = zip(*out) if out else ((),) * 5
-            yield pa.RecordBatch.from_arrays([
-                pa.array(names, pa.int64()), pa.array(ns, pa.int64()), pa.array(levels, pa.int32()),
-                pa.array(sets, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["name", "n", "level", "tokens", "prefix"])
+    """Put the shared shingles of each class together; of those that share enough, sort them and pick level and prefix."""
+    def order(table: pa.Table) -> pa.Table:
+        names, sizes, counts = _joined(table, "names", np.uint64), _joined(table, "sizes", np.uint32), _joined(table, "counts", np.uint32)
+        tokens, holders = _joined(table, "tokens", np.uint64), _joined(table, "holders", np.uint32)
+        own, first, of = np.unique(names, return_index=True, return_inverse=True)
+        held = np.bincount(np.repeat(of, counts), minlength=len(own))
+        enough = held * 100 >= sizes[first].astype(np.int64) * percent
+        of = np.repeat(of, counts)
+        stays = enough[of]
+        tokens, holders, of = tokens[stays], holders[stays], of[stays]
+        rank = np.lexsort((tokens, holders, of))
+        tokens, holders, of = tokens[rank], holders[rank], of[rank]
+        cuts, out = np.append(_edges(of), len(of)), []
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            n = int(sizes[first[of[i]]])
+            level = choose_level(holders[i:j], n, percent)
+            prefix = tokens[i:j][:j - i - least_overlap(n, percent) + level]
+            out.append((own[of[i]].astype(np.int64), n, level, np.sort(tokens[i:j]).tobytes(), prefix.astype(np.int64)))
+        columns = list(zip(*out)) or [()] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["name", "n", "level", "tokens", "prefix"])
 
     return order
 
@@ -209,12 +229,8 @@ def suspects(docs: DataFrame, text: str, total: int, width: int = WIDTH, percent
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_TOKENS))
     blocks = _texts(docs, text).mapInArrow(_blocks(parts, width), BLOCK)
-    shared = blocks.groupBy("part").applyInArrow(_count, SHARED)
-    grouped = shared.groupBy("name").agg(
-        F.max("n").alias("n"), F.collect_list("tokens").alias("tokens"), F.collect_list("holders").alias("holders"),
-        F.sum(F.octet_length("tokens")).alias("bytes"))
-    enough = grouped.filter(F.col("bytes") / 8 * 100 >= F.col("n") * percent).select("name", "n", "tokens", "holders")
-    return settle(enough.mapInArrow(_prefixes(percent), "name long, n long, level int, tokens binary, prefix array<long>"))
+    shared = blocks.groupBy("part").applyInArrow(_count(parts), SHARED)
+    return settle(shared.groupBy("home").applyInArrow(_prefixes(percent), SUSPECT))
 
 
 def _common():

@@ -266,7 +266,11 @@ def _all_pairs(index: DataFrame, percent: int) -> DataFrame:
     few = marked.filter(F.col("group") != F.col("main")).select("token", F.col("name").alias("a"), *side("a"))
     rest = marked.select("token", "main", F.col("name").alias("b"), *side("b"))
     met = few.join(rest, "token").filter((F.col("group_a") != F.col("group_b")) & ((F.col("group_b") == F.col("main")) | (F.col("a") < F.col("b"))))
-    return _candidates(met, percent)
+    # Which of two classes is outside the largest group changes from list to list; hits of a pair are counted together.
+    turned = F.col("a") > F.col("b")
+    sides = [F.when(turned, F.col(f"{c}{y}")).otherwise(F.col(f"{c}{x}")).alias(f"{c}{x}")
+             for c, x, y in (("", "a", "b"), ("", "b", "a"), ("n_", "a", "b"), ("n_", "b", "a"), ("level_", "a", "b"), ("level_", "b", "a"))]
+    return _candidates(met.select(*sides), percent)
 
 
 def _index(sets: DataFrame) -> DataFrame:

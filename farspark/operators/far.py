@@ -13,11 +13,11 @@ from farspark.operators.ordered import (
     Cells,
     counts_at_least,
     group_sizes,
-    measured,
     percentiles,
     select_ranks,
     value_counts,
 )
+from farspark.operators.settle import settle
 
 
 def _check_livetime(livetime_yr: float) -> None:
@@ -97,12 +97,11 @@ def thresholds_at_far(
         .withColumn("rank", F.least("n_allowed", "n_background"))
         .withColumn("resolved", F.col("n_allowed") < F.col("n_background"))
     )
-    found = select_ranks(background, stat, wanted, cells, by, max((n for _, n in quoted), default=0))
+    found = select_ranks(background, stat, wanted, cells, by)
     out = found.select(
         *by, "far_per_yr", "n_allowed", "n_background", F.col(stat).cast("double").alias("threshold"), "resolved"
     )
-    # One row per group and target. Where the groups were counted to be few it is computed here, once.
-    return measured(out) if cells.small_groups else out
+    return settle(out)  # one row per group and target, read by every report
 
 
 def own_channel_threshold(
@@ -148,7 +147,7 @@ def top_k_per_channel(
     by = list(by)
     cells = cells or Cells.fit(triggers, stat, by)
     sized = group_sizes(triggers, stat, by).withColumn("rank", F.least(F.lit(k).cast("bigint"), F.col("n"))).drop("n")
-    floors = measured(select_ranks(triggers, stat, sized, cells, by).select(*by, F.col(stat).alias("floor")))
+    floors = select_ranks(triggers, stat, sized, cells, by).select(*by, F.col(stat).alias("floor"))
     loud = (triggers.join(floors, by) if by else triggers.crossJoin(F.broadcast(floors))).filter(
         F.col(stat) >= F.col("floor")
     )
@@ -198,7 +197,7 @@ def edge_point(
     by = list(by)
     clean = F.when(~F.isnan(F.col(stat)), F.col(stat))
     edge = background.groupBy(*by).agg(F.min(clean).alias("edge_stat"), F.count(clean).alias("n_background"))
-    edge = measured(edge.filter(F.col("n_background") > 0))
+    edge = edge.filter(F.col("n_background") > 0)
     beat = passes(stat, F.col("edge_stat"), inclusive=False) & (F.lit(True) if member is None else member)
     counted = foreground.join(edge, by).groupBy(*by, "edge_stat", "n_background").agg(
         F.count(F.lit(1)).alias("n_foreground"), F.avg(beat.cast("double")).alias("efficiency")

@@ -14,19 +14,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from farspark.operators.settle import settle
 
 CELL_ROWS = 500_000
-BROADCAST_ROWS = 100_000
-TOP_ROWS = 10_000
 _TAIL = (1e-5, 1e-4, 1e-3)
 _QUANTILES = tuple(sorted({i / 120 for i in range(1, 120)} | set(_TAIL) | {1 - t for t in _TAIL}))
 
 
-def session(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
 @dataclass(frozen=True)
 class Cells:
     """Order-keeping cut of one numeric column into cells of about `CELL_ROWS` rows.
@@ -37,7 +33,6 @@ class Cells:
     """
 
     rows: int
-    groups: int
     splits: tuple[float, ...]
     sub: int
     hot: tuple[float, ...] = ()
@@ -47,36 +42,23 @@ class Cells:
         """One narrow pass; the driver receives a single row of some 130 numbers."""
         v = F.col(value) if isinstance(value, str) else value
         v = F.when(~F.isnan(v.cast("double")), v.cast("double"))
-        groups = F.approx_count_distinct(F.struct(*by)) if by else F.lit(1)
         row = df.agg(
             F.count(v).alias("n"),
-            groups.alias("g"),
             F.min(v).alias("lo"),
             F.max(v).alias("hi"),
             F.percentile_approx(v, list(_QUANTILES), 2000).alias("q"),
         ).first()
-        return cls.of_quantiles(row["n"], row["g"], row["lo"], row["hi"], row["q"] or (), cell_rows)
+        return cls.of_quantiles(row["n"], row["lo"], row["hi"], row["q"] or (), cell_rows)
 
     @classmethod
-    def of_quantiles(cls, rows, groups, lo, hi, quantiles, cell_rows=None) -> Cells:
+    def of_quantiles(cls, rows, lo, hi, quantiles, cell_rows=None) -> Cells:
         target = cell_rows or CELL_ROWS
-        if rows <= target:
-            return cls(rows, groups, (), 1)
-        splits = sorted({float(x) for x in (lo, *quantiles, hi) if math.isfinite(x)})
+        splits = sorted({float(x) for x in (lo, *quantiles, hi) if x is not None and math.isfinite(x)})
         if splits and splits[-1] < 1e308:
             splits.append(math.nextafter(splits[-1], math.inf))  # so that the largest value opens a cell too
         sub = max(1, math.ceil(rows / target / max(1, len(splits) - 1)))
         hot = sorted({float(a) for a, b in zip(quantiles[:-1], quantiles[1:]) if a == b and a in splits[:-1]})
-        return cls(rows, groups, tuple(splits), sub, tuple(hot))
-
-    @property
-    def single(self) -> bool:
-        return len(self.splits) < 2
-
-    @property
-    def small_groups(self) -> bool:
-        """Whether one row per group and target is certain to be small enough to broadcast."""
-        return self.groups <= BROADCAST_ROWS // 64
+        return cls(rows, tuple(splits), sub, tuple(hot))
 
     def attach(self, df: DataFrame, value: str, name: str = "_cell") -> DataFrame:
         """Add the cell of a value: BIGINT, non-decreasing in the value.
@@ -85,9 +67,9 @@ class Cells:
         so the optimiser keeps them apart, and the generated code stays small enough to be compiled: the same
         search as one nested CASE is ten times slower.
         """
-        if self.single:
-            return df.withColumn(name, F.lit(0).cast("bigint"))
         m = len(self.splits)
+        if m < 2:  # no finite value, or one infinite end: one cell
+            return df.withColumn(name, F.lit(0).cast("bigint"))
         steps = m.bit_length()
         padded = F.lit([*self.splits, *[math.inf] * (2**steps - 1 - m)])
         width = [b - a for a, b in zip(self.splits[:-1], self.splits[1:])]
@@ -102,20 +84,6 @@ class Cells:
         return d.withColumn(name, (F.col("_at") * self.sub + inner).cast("bigint")).drop("_v", "_at")
 
 
-def measured(df: DataFrame, rows: int = 10_000) -> DataFrame:
-    """`df` as a local table when it has at most `rows` rows, so that Spark knows its size and broadcasts it.
-
-    A larger one is returned as it is, and its joins are left to the optimiser.
-    """
-    head = df.limit(rows + 1).collect()
-    return session(df).createDataFrame(head, df.schema) if len(head) <= rows else df
-
-
-def maybe_broadcast(df: DataFrame, certain: bool) -> DataFrame:
-    """Broadcast only what was measured to be small; otherwise leave the join to the optimiser."""
-    return F.broadcast(df) if certain else df
-
-
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -146,7 +114,7 @@ def running(
     cell, so (cell, tie cell) keeps the order.
     """
     by = list(by)
-    split_ties = tie_cells is not None and not tie_cells.single and bool(cells.hot) and not descending
+    split_ties = tie_cells is not None and bool(cells.hot) and not descending
     d = cells.attach(df, order[0])
     if split_ties:
         last = len(tie_cells.splits) * tie_cells.sub
@@ -160,8 +128,6 @@ def running(
     for name, (kind, c, inclusive) in scans.items():
         frame = w.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
         out = out.withColumn(name, _AGG[kind](column(c)).over(frame))
-    if cells.single:
-        return out.drop(*place)
     totals = d.groupBy(*by, *place).agg(*[_AGG[k](column(c)).alias(f"_t_{n}") for n, (k, c, _) in scans.items()])
     # One row per cell: rows / CELL_ROWS of them, so this window is small by construction.
     wc = W.partitionBy(*by).orderBy(*[sign(c) for c in place]).rowsBetween(W.unboundedPreceding, -1)
@@ -188,13 +154,12 @@ def counts_at_least(values: DataFrame, value: str, cells: Cells, by: Sequence[st
 
 
 def select_ranks(
-    df: DataFrame, value: str, wanted: DataFrame, cells: Cells, by: Sequence[str] = (), top: int | None = None
+    df: DataFrame, value: str, wanted: DataFrame, cells: Cells, by: Sequence[str] = ()
 ) -> DataFrame:
     """Exact order statistics: add `value` at each `rank` (1 = largest) of `wanted` (by..., rank, ...).
 
     Two scans, no sort of the data: count rows per cell, then look only inside the cells that hold a wanted
-    rank. The shuffles carry cell counts and the distinct values of those few cells. For a small input whose
-    largest wanted rank `top` is low, a ranking window that keeps only the top rows per task is cheaper.
+    rank. The shuffles carry cell counts and the distinct values of those few cells.
     """
     by = list(by)
     d = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, value)
@@ -202,36 +167,24 @@ def select_ranks(
     if one is not None:
         d, wanted = d.select("*", one), wanted.withColumn("_all", F.lit(0))
         by = ["_all"]
-    if cells.single and top is not None and top <= TOP_ROWS:
-        first = F.row_number().over(W.partitionBy(*by).orderBy(F.col(value).desc())).cast("bigint")
-        ranked = d.withColumn("rank", first).filter(F.col("rank") <= top)
-        return ranked.join(maybe_broadcast(wanted, cells.small_groups), [*by, "rank"]).drop("_all")
     d = cells.attach(d, value)
-    if cells.single:
-        target = wanted.withColumn("_cell", F.lit(0).cast("bigint")).withColumn("_rank_in_cell", F.col("rank"))
-        rows = d
-    else:
-        hist = d.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-        down = W.partitionBy(*by).orderBy(F.col("_cell").desc()).rowsBetween(W.unboundedPreceding, 0)
-        hist = hist.withColumn("_upto", F.sum("_n").over(down)).withColumn("_before", F.col("_upto") - F.col("_n"))
-        target = (
-            wanted.join(hist, by, "inner")
-            .filter((F.col("rank") > F.col("_before")) & (F.col("rank") <= F.col("_upto")))
-            .withColumn("_rank_in_cell", F.col("rank") - F.col("_before"))
-            .drop("_n", "_upto", "_before")
-        )
-        if cells.small_groups:
-            # One row per group and rank, few by measurement: find them once rather than in every branch below.
-            target = session(df).createDataFrame(target.collect(), target.schema)
-        rows = d.join(
-            maybe_broadcast(target.select(*by, "_cell").distinct(), cells.small_groups), [*by, "_cell"], "left_semi"
-        )
+    hist = d.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    down = W.partitionBy(*by).orderBy(F.col("_cell").desc()).rowsBetween(W.unboundedPreceding, 0)
+    hist = hist.withColumn("_upto", F.sum("_n").over(down)).withColumn("_before", F.col("_upto") - F.col("_n"))
+    # One row per group and rank, read by both branches below.
+    target = settle(
+        wanted.join(hist, by, "inner")
+        .filter((F.col("rank") > F.col("_before")) & (F.col("rank") <= F.col("_upto")))
+        .withColumn("_rank_in_cell", F.col("rank") - F.col("_before"))
+        .drop("_n", "_upto", "_before")
+    )
+    rows = d.join(target.select(*by, "_cell").distinct(), [*by, "_cell"], "left_semi")
     inside = rows.groupBy(*by, "_cell", value).agg(F.count(F.lit(1)).alias("_n"))
     down = W.partitionBy(*by, "_cell").orderBy(F.col(value).desc()).rowsBetween(W.unboundedPreceding, 0)
     inside = inside.withColumn("_upto", F.sum("_n").over(down))
     hit = (F.col("_upto") >= F.col("_rank_in_cell")) & (F.col("_upto") - F.col("_n") < F.col("_rank_in_cell"))
     return (
-        inside.join(maybe_broadcast(target, cells.small_groups), [*by, "_cell"])
+        inside.join(target, [*by, "_cell"])
         .filter(hit)
         .drop("_cell", "_n", "_upto", "_rank_in_cell", "_all")
     )
@@ -247,14 +200,11 @@ def percentiles(
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one column per entry of `quantiles`.
 
-    While the whole input is known to be small the built-in aggregate does it; its state is a map of every
-    distinct value of a group, so beyond that size the ranks are selected instead.
+    The built-in aggregate keeps a map of every distinct value of a group, so the ranks are selected instead.
     """
     by = list(by)
     cells = cells or Cells.fit(df, value, by)
     clean = df.withColumn(value, F.when(~F.isnan(F.col(value).cast("double")), F.col(value)).cast("double"))
-    if cells.single:
-        return clean.groupBy(*by).agg(*[F.percentile(value, q).alias(k) for k, q in quantiles.items()])
     spots = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(q)).alias("q")) for k, q in quantiles.items()])
     place = (
         group_sizes(clean, value, by)

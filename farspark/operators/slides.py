@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from farspark.errors import RefusedError
 from farspark.functions.expressions import SECONDS_PER_YEAR, keep_above, net_sigma
-from farspark.operators.ordered import BROADCAST_ROWS, measured
 
 LIGHT_TRAVEL_S = 0.010002567
 MIN_LAG_S = 1.0
@@ -134,7 +133,7 @@ def grid_livetime(grid: DataFrame, stride_s: float) -> DataFrame:
 def with_span_size(grid: DataFrame) -> DataFrame:
     """Add n, the points in the row's span; counted by aggregation so a long span is not one task's window."""
     spans = grid.groupBy("span_start").agg(F.count(F.lit(1)).alias("n"))
-    return grid.drop("n").join(measured(spans, BROADCAST_ROWS), "span_start")
+    return grid.drop("n").join(spans, "span_start")
 
 
 # --- pairing --------------------------------------------------------------------------------

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from farspark.errors import RefusedError
 from farspark.functions.expressions import passes, ratio, sensitive_distance_mpc
 from farspark.operators.far import own_channel_threshold, thresholds_at_far
-from farspark.operators.ordered import Cells, as_of, measured, select_ranks
+from farspark.operators.ordered import Cells, as_of, select_ranks
+from farspark.operators.settle import settle
 
 SPEED_OF_LIGHT_KM_S = 299792.458
 
@@ -165,7 +166,7 @@ def volume_rank_error(
     k = at_or_above.groupBy(*by, "far_per_yr", "threshold").agg(
         F.count(F.when(passes(stat, F.col("threshold")), 1)).alias("k"), F.count(F.lit(1)).alias("n")
     )
-    k = measured(k)
+    k = settle(k)
     root = F.sqrt(F.col("k").cast("double"))
     ends = k.select("*", F.explode(F.array(
         F.struct(F.lit("tight").alias("end"), F.greatest(F.lit(1), F.rint(F.col("k") - root)).cast("bigint").alias("rank")),
@@ -175,7 +176,6 @@ def volume_rank_error(
     cuts = moved.select(*by, "far_per_yr", "k", "end", F.col(stat).cast("double").alias("cut")).unionByName(
         k.select(*by, "far_per_yr", "k", F.lit("at").alias("end"), F.col("threshold").alias("cut"))
     )
-    cuts = measured(cuts)
     judged = (foreground.join(cuts, by) if by else foreground.crossJoin(F.broadcast(cuts))).withColumn(
         "found", passes(stat, F.col("cut"), inclusive=False)
     )

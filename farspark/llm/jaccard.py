@@ -6,7 +6,8 @@
    one class holds cannot be in an intersection.
 3. The rest sort their shared shingles, rare ones first. Two sets that overlap enough have `level` shingles in common within
    prefixes that are `level` longer than the shortest possible. Each class picks its own level: a higher one means more
-   lists to read but fewer candidates to verify. A pair has to share the smaller of its two levels.
+   lists to read but fewer candidates to verify. A pair has to share the more, the longer its prefixes are: what is common
+   beyond the shared prefix tokens is at most the rest of one of the two sets, and both must make up the overlap.
 4. Pairs are verified on whole sets. For components a group of copies needs no pair within it: first every class meets one
    leader of its lists, a few rounds long; what is then still apart is verified pair by pair.
 """
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from farspark.llm.components import components
 from farspark.operators.settle import settle
@@ -95,7 +96,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> Da
 
 BLOCK = "part int, names binary, sizes binary, counts binary, low binary, high binary"
 SHARED = "home int, names binary, sizes binary, counts binary, tokens binary, holders binary"
-SUSPECT = "name long, n long, level int, tokens binary, prefix array<long>"
+SUSPECT = "name long, n long, shared long, rest long, tokens binary, prefix array<long>"
 
 
 def _blocks(parts: int, width: int):
@@ -216,16 +217,20 @@ def _prefixes(percent: int):
             n = int(sizes[first[of[i]]])
             level = choose_level(holders[i:j], n, percent)
             prefix = tokens[i:j][:j - i - least_overlap(n, percent) + level]
-            out.append((own[of[i]].astype(np.int64), n, level, np.sort(tokens[i:j]).tobytes(), prefix.astype(np.int64)))
-        columns = list(zip(*out)) or [()] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["name", "n", "level", "tokens", "prefix"])
+            rest = j - i - len(prefix)
+            out.append((own[of[i]].astype(np.int64), n, j - i, rest, np.sort(tokens[i:j]).tobytes(), prefix.astype(np.int64)))
+        columns = list(zip(*out)) or [()] * 6
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["name", "n", "shared", "rest", "tokens", "prefix"])
 
     return order
 
 
 def suspects(docs: DataFrame, text: str, total: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Classes that share enough shingles with others to have a partner: name, n, level, shared tokens, prefix."""
+    """Classes that share enough shingles with others to have a partner.
+
+    Columns: name, n, how many shingles are `shared`, how many of these come after the prefix (`rest`), tokens, prefix.
+    """
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_TOKENS))
     blocks = _texts(docs, text).mapInArrow(_blocks(parts, width), BLOCK)
@@ -250,11 +255,18 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return both.withColumn("common", _common()("tokens_a", "tokens_b")).filter(F.col("common") * 100 >= union * percent).select("a", "b", "common")
 
 
+SIZES = ("n", "shared", "rest")
+
+
+def _possible(percent: int, common: Column) -> Column:
+    """Whether two sets with so much in common can be similar enough; also as a bound."""
+    return common * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+
+
 def _candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share enough prefix tokens and whose sizes allow the similarity; `rows` has one row per shared token."""
-    counted = rows.groupBy("a", "b").agg(*(F.first(c).alias(c) for c in ("n_a", "n_b", "level_a", "level_b")), F.count("*").alias("hits"))
-    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    return counted.filter((F.col("hits") >= F.least("level_a", "level_b")) & sizes)
+    """Pairs that share enough prefix tokens; `rows` has one row per pair and shared token."""
+    counted = rows.groupBy("a", "b").agg(*(F.first(f"{c}_{s}").alias(f"{c}_{s}") for c in SIZES for s in "ab"), F.count("*").alias("hits"))
+    return counted.filter(_possible(percent, F.col("hits") + F.greatest("rest_a", "rest_b")))
 
 
 def _all_pairs(index: DataFrame, percent: int) -> DataFrame:
@@ -262,19 +274,20 @@ def _all_pairs(index: DataFrame, percent: int) -> DataFrame:
     sizes = index.groupBy("token", "group").count()
     largest = sizes.groupBy("token").agg(F.max(F.struct("count", "group"))["group"].alias("main"))
     marked = settle(index.join(largest, "token"))
-    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("n", "level", "group")]
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in (*SIZES, "group")]
     few = marked.filter(F.col("group") != F.col("main")).select("token", F.col("name").alias("a"), *side("a"))
-    rest = marked.select("token", "main", F.col("name").alias("b"), *side("b"))
-    met = few.join(rest, "token").filter((F.col("group_a") != F.col("group_b")) & ((F.col("group_b") == F.col("main")) | (F.col("a") < F.col("b"))))
+    rest = marked.select(F.col("token").alias("_token"), "main", F.col("name").alias("b"), *side("b"))
+    apart = (F.col("group_a") != F.col("group_b")) & ((F.col("group_b") == F.col("main")) | (F.col("a") < F.col("b")))
+    met = few.join(rest, (F.col("token") == F.col("_token")) & apart & _possible(percent, F.least("shared_a", "shared_b")))
     # Which of two classes is outside the largest group changes from list to list; hits of a pair are counted together.
     turned = F.col("a") > F.col("b")
-    sides = [F.when(turned, F.col(f"{c}{y}")).otherwise(F.col(f"{c}{x}")).alias(f"{c}{x}")
-             for c, x, y in (("", "a", "b"), ("", "b", "a"), ("n_", "a", "b"), ("n_", "b", "a"), ("level_", "a", "b"), ("level_", "b", "a"))]
+    sides = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x)
+             for c in ("", *(f"{c}_" for c in SIZES)) for x, y in ((f"{c}a", f"{c}b"), (f"{c}b", f"{c}a"))]
     return _candidates(met.select(*sides), percent)
 
 
 def _index(sets: DataFrame) -> DataFrame:
-    return sets.select("name", "n", "level", F.explode("prefix").alias("token"))
+    return sets.select("name", *SIZES, F.explode("prefix").alias("token"))
 
 
 def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -292,14 +305,14 @@ def linked_groups(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     for turn in range(LEADER_ROUNDS + 1):
         lists = index.groupBy("token").agg(
             F.min("group").alias("_least"), F.max("group").alias("_most"),
-            F.min_by(F.struct("name", "n", "level", "group"), F.xxhash64("name", F.lit(turn))).alias("_leader")).filter("_least <> _most")
+            F.min_by(F.struct("name", *SIZES, "group"), F.xxhash64("name", F.lit(turn))).alias("_leader")).filter("_least <> _most")
         index = settle(index.join(lists.drop("_least", "_most"), "token"))
         if index.isEmpty():
             break
         if turn < LEADER_ROUNDS:
             met = index.filter(F.col("group") != F.col("_leader.group")).select(
-                F.col("name").alias("a"), F.col("_leader.name").alias("b"), F.col("n").alias("n_a"), F.col("_leader.n").alias("n_b"),
-                F.col("level").alias("level_a"), F.col("_leader.level").alias("level_b"))
+                F.col("name").alias("a"), F.col("_leader.name").alias("b"), *(F.col(c).alias(f"{c}_a") for c in SIZES),
+                *(F.col(f"_leader.{c}").alias(f"{c}_b") for c in SIZES)).filter(_possible(percent, F.least("shared_a", "shared_b")))
             pairs = _candidates(met, percent).groupBy("a").agg(F.max_by("b", F.struct("hits", "b")).alias("b"))
         else:
             pairs = _all_pairs(index.drop("_leader"), percent)

@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Lets Spark remove an execution's shuffle files when it ends; a settled plan is not run again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scopes: list[list[str]] = []
+
 
 def folder(spark: SparkSession) -> str:
     """Where this application keeps intermediate tables: the session's shared checkpoint folder, else its warehouse."""
@@ -13,16 +19,42 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/farspark-{spark.sparkContext.applicationId}"
 
 
-def settle(df: DataFrame) -> DataFrame:
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+@contextmanager
+def temporaries(spark: SparkSession) -> Iterator[None]:
+    """Tables settled inside go at the end, but for those settled with `keep`, which belong to the scope around."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            files, where = _file_system(spark, path)
+            files.delete(where, True)
+
+
+def settle(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write `df` once as Parquet to the cluster's shared folder and read it back.
 
     Column pruning and pushed filters work on the copy, and a lost executor costs nothing that was written.
-    The copies go when the application ends.
+    The copy goes when its scope of `temporaries` or else the application ends.
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    before = spark.conf.get(_CLEANUP, None)
+    if before is not None:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
+    files, where = _file_system(spark, path)
+    files.deleteOnExit(where)
+    scopes = _scopes[:-1] if keep else _scopes
+    if scopes:
+        scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

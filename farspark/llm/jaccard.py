@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from farspark.llm.components import components
-from farspark.operators.settle import settle
+from farspark.operators.settle import settle, temporaries
 
 WIDTH = 5
 PERCENT = 75
@@ -347,11 +347,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     ignored; an empty table gives an empty one. Sets and shingles are told apart by 64-bit and, within a hash range, 40-bit hashes.
     """
     sets = settle(shingle_sets(docs, key, text, width))
-    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    classes = settle(sets.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc").alias("first")))
-    groups = settle(linked_groups(suspects(docs, text, total, width, percent), percent))
-    rooted = classes.join(groups, F.col("set_key") == F.col("name"), "left").withColumn("root", F.coalesce("root", "set_key"))
-    smallest = settle(rooted.filter(F.col("name").isNotNull()).groupBy("root").agg(F.min("first").alias("least")))
-    named = settle(rooted.join(smallest, "root", "left").select("set_key", F.coalesce("least", "first").alias("component_id")))
+    with temporaries(docs.sparkSession):
+        total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+        classes = settle(sets.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc").alias("first")))
+        groups = settle(linked_groups(suspects(docs, text, total, width, percent), percent))
+        rooted = classes.join(groups, F.col("set_key") == F.col("name"), "left").withColumn("root", F.coalesce("root", "set_key"))
+        smallest = settle(rooted.filter(F.col("name").isNotNull()).groupBy("root").agg(F.min("first").alias("least")))
+        named = settle(rooted.join(smallest, "root", "left").select("set_key", F.coalesce("least", "first").alias("component_id")), keep=True)
     return sets.join(named, "set_key", "left").select(
         F.col("doc").alias(key), "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))

@@ -11,7 +11,7 @@ further on, and each depth reuses the names of the one before.
    reaches. A run seen twice is repeated as a whole.
 3. What is left are runs at the edges of repeats. Their strings are cut into blocks by the distance to the anchor, refined by
    what the strings of a block have in common; a block whose common part is seen once has no repeat.
-4. Strings of the other blocks are refined to full depth one by one, against those of their anchor's runs.
+4. Equal blocks are repeated as a whole. What is left is refined to full depth string by string.
 
 Every step counts names by aggregation, so a passage that fills a third of the corpus meets nowhere.
 """
@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from farspark.operators.settle import settle
+from farspark.operators.settle import settle, temporaries
 
 LENGTH = 400
 GRAM = 64
@@ -209,10 +209,18 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     parts = settle(texts.mapInArrow(_parts(length), PART))
     core = ["anchor", "block", "core1", "core2"]
     alive = settle(parts.join(_seen_twice(parts, core), core, "left_semi"))
-    strings = alive.mapInArrow(_strings, "name long, place long, d1 long, d2 long, start long")
+    # Blocks with the same strings throughout are repeated as a whole; one of them stands for all against the others.
+    block = ["anchor", "block", "far", "strings"]
+    equal = settle(alive.groupBy(*block).agg(F.count("*").alias("n"), F.min(F.struct("d1", "d2", "first")).alias("one")))
+    last = F.col("first") + F.octet_length("strings") / 8 - 1
+    blocks = alive.join(equal.filter("n > 1").select(*block), block, "left_semi").select(
+        "d1", "d2", F.col("first").alias("start"), (last + length).cast("long").alias("stop"))
+    unlike = settle(equal.filter("n = 1").select("anchor", "block").distinct())
+    others = settle(equal.join(unlike, ["anchor", "block"], "left_semi").select("anchor", "far", "strings", "one.*"))
+    strings = others.mapInArrow(_strings, "name long, place long, d1 long, d2 long, start long")
     single = strings.join(_seen_twice(strings, ["name", "place"]), ["name", "place"], "left_semi").select(
         "d1", "d2", "start", (F.col("start") + length).alias("stop"))
-    return done.unionByName(single).groupBy("d1", "d2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return done.unionByName(blocks).unionByName(single).groupBy("d1", "d2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 def _cut():
@@ -245,7 +253,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     repeated row is another text, so both lose everything that is long enough. Other columns stay; columns called like a result
     are replaced, and `d1`, `d2`, `spans` and names with `_` in front are the operator's. An empty table gives an empty one.
     """
-    found = settle(repeats(docs, key, text, length))
+    with temporaries(docs.sparkSession):
+        found = settle(repeats(docs, key, text, length), keep=True)
     rest = [c for c in docs.columns if c not in ("kept", "removed")]
     both = _named(docs.select(*rest), key, text).join(found, ["d1", "d2"], "left")
     return both.withColumn("_cut", _cut()("_text", "spans")).select(*rest, "_cut.kept", "_cut.removed")

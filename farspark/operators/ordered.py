@@ -217,7 +217,8 @@ def percentiles(
     found = select_ranks(clean, value, ends.dropDuplicates([*by, "name", "rank"]), cells, by)
     at = F.first("at")
     lerp = found.groupBy(*by, "name").agg(
-        (F.min(value) + (F.max(value) - F.min(value)) * (at - F.floor(at))).alias("p")
+        F.when(F.min(value) == F.max(value), F.min(value))  # infinite ends too
+        .otherwise(F.min(value) + (F.max(value) - F.min(value)) * (at - F.floor(at))).alias("p")
     )
     return lerp.groupBy(*by).agg(*[F.max(F.when(F.col("name") == k, F.col("p"))).alias(k) for k in quantiles])
 

@@ -223,7 +223,9 @@ def dense_slides(
                 if index > n_lags or (m == 0 and not include_zero) or size <= abs(k) or size <= 2 * half:
                     continue
                 j = (pos_a - k) % size
-                at = order[np.searchsorted(pos_b[order], j)]
+                at = order[np.minimum(np.searchsorted(pos_b[order], j), len(order) - 1)]
+                if (pos_b[at] != j).any():
+                    raise ValueError("a point that a lag leads to is not in the grid")
                 net = (la["sigma"] + lb["sigma"][at]) / root2
                 # The net sigma needs no coherence, so only pairs over its floor pay for one.
                 use = np.flatnonzero(net > floor) if scoring is None else np.arange(len(at))

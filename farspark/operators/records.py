@@ -9,6 +9,7 @@ from farspark.functions.expressions import budget_verdict as _verdict
 
 # The verdicts a record may carry.
 VERDICTS = ("keep", "discard", "needs-more-work")
+MIN_SEEDS = 3
 
 
 def _blank(c: str) -> Column:
@@ -20,20 +21,16 @@ def _empty(c: str) -> Column:
 
 
 def record_problems(records: DataFrame) -> DataFrame:
-    """Add `problems`, every reason a record cannot support a claim, and `valid`."""
-    few = F.coalesce(F.size("seeds"), F.lit(0)) < 3
-    checks = [
-        (_blank("hypothesis"), "hypothesis is empty"),
-        (_blank("change"), "change is empty"),
-        (_empty("parameters"), "no measured parameter counts"),
-        (_empty("folds"), "no fold assignment"),
-        (_empty("primary"), "no primary metrics"),
-        (few & F.coalesce(F.col("verdict") == "keep", F.lit(False)), "fewer than 3 seeds for a keep verdict"),
-        (~F.coalesce(F.col("verdict").isin(*VERDICTS), F.lit(False)), "verdict is not keep, discard or needs-more-work"),
-        (_blank("reasoning"), "verdict has no reasoning"),
-    ]
-    found = F.array_compact(F.array(*[F.when(c, F.lit(text)) for c, text in checks]))
-    return records.withColumn("problems", found).withColumn("valid", F.size("problems") == 0)
+    """Add `problems`, the field and rule of everything that keeps a record from supporting a claim, and `valid`."""
+    verdict = F.col("verdict")
+    rules = {
+        "blank": [(c, _blank(c)) for c in ("hypothesis", "change", "reasoning")],
+        "without entries": [(c, _empty(c)) for c in ("parameters", "folds", "primary")],
+        "not a known value": [("verdict", ~F.coalesce(verdict.isin(*VERDICTS), F.lit(False)))],
+        f"under {MIN_SEEDS} for keep": [("seeds", F.coalesce((verdict == "keep") & (F.coalesce(F.size("seeds"), F.lit(0)) < MIN_SEEDS), F.lit(False)))],
+    }
+    found = [F.when(broken, F.lit(f"{field}: {rule}")) for rule, fields in rules.items() for field, broken in fields]
+    return records.withColumn("problems", F.array_compact(F.array(*found))).withColumn("valid", F.size("problems") == 0)
 
 
 def require_valid(records: DataFrame) -> DataFrame:

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from farspark.errors import RefusedError
 from farspark.functions.expressions import SECONDS_PER_YEAR, keep_above, net_sigma
 
-LIGHT_TRAVEL_S = 0.010002567
 MIN_LAG_S = 1.0
 CLUSTER_BLOCK = 1 << 16
 
@@ -32,8 +31,7 @@ class SlidePlan:
     def __post_init__(self):
         if self.step_s < MIN_LAG_S:
             raise ValueError(
-                f"lag step {self.step_s} s is too near the light travel time between the channels; use {MIN_LAG_S} s "
-                "or more"
+                f"lags of {self.step_s} s could still pair a wave with itself; the step starts at {MIN_LAG_S} s"
             )
 
     @property
@@ -131,8 +129,16 @@ def grid_livetime(grid: DataFrame, stride_s: float) -> DataFrame:
 
 
 def with_span_size(grid: DataFrame) -> DataFrame:
-    """Add n, the points in the row's span; counted by aggregation so a long span is not one task's window."""
-    spans = grid.groupBy("span_start").agg(F.count(F.lit(1)).alias("n"))
+    """Add n, the points in the row's span; counted by aggregation so a long span is not one task's window.
+
+    Lags wrap around a span, so its points must be numbered 0 to n - 1: a gap or a repeated point stops the query.
+    """
+    spans = grid.groupBy("span_start").agg(
+        F.count(F.lit(1)).alias("n"), F.min("i").alias("_least"), F.max("i").alias("_most"), F.sum("i").alias("_sum")
+    )
+    dense = (F.col("_least") == 0) & (F.col("_most") == F.col("n") - 1) & (F.col("_sum") * 2 == F.col("n") * (F.col("n") - 1))
+    broken = F.raise_error(F.lit("points of a span are not numbered from 0 on without gaps")).cast("bigint")
+    spans = spans.select("span_start", F.when(dense, F.col("n")).otherwise(broken).alias("n"))
     return grid.drop("n").join(spans, "span_start")
 
 

@@ -22,7 +22,7 @@ from farspark.operators import efficiency as eff
 from farspark.operators import far as rates
 from farspark.operators import folds, ranking, slides, volume
 from farspark.operators.calibration import efficiency_at_quantile, shape_stats, spearman, tile_properties
-from farspark.operators.ordered import Cells, percentiles, union_all
+from farspark.operators.ordered import Cells, group_sizes, percentiles, union_all
 from farspark.operators.records import record_problems
 from farspark.operators.series import coherence_rows
 from farspark.operators.settle import settle
@@ -158,7 +158,12 @@ def efficiency_report(
     strict_background = background.filter(F.col("channel") == "strict")
     member = (F.col("channel") == "strict") & F.col("passes_gate")
     rated = rates.far_of(foreground, background, stat, livetime_yr, trials, ["channel"], cells)
-    rated = rated.withColumn("far_per_yr", F.coalesce("far_per_yr", F.lit(float("inf"))))
+    # Nothing can be said about a channel without background, so its rate is not the smallest but infinite.
+    measured = group_sizes(background, stat, ["channel"]).select("channel", F.col("n").alias("n_background"))
+    rated = rated.join(measured, "channel", "left").withColumn(
+        "far_per_yr", F.when(F.col("n_background") > 0, F.col("far_per_yr")).otherwise(F.lit(float("inf")))
+    )
+    rated = rated.withColumn("far_per_yr", F.coalesce("far_per_yr", F.lit(float("inf")))).drop("n_background")
     out = {
         "thresholds": thresholds,
         "efficiency": eff.efficiency(judged, by=["far_per_yr"]),
@@ -330,19 +335,26 @@ def front_end_report(
 
 
 def matched_far_run(
-    guard: folds.FoldGuard, selection: slides.Selection, grid: DataFrame, plan: slides.SlidePlan, stride_s: float,
+    parts: DataFrame, selection: slides.Selection, grid: DataFrame, plan: slides.SlidePlan, stride_s: float,
     foreground: DataFrame, stat: str, v_generated_gpc3: float | None = None, targets: Sequence[float] = (1.0, 0.1),
-    half: int = 0, a_cols=("sigma_a",), b_cols=("sigma_b",),
+    half: int = 0, a_cols=("sigma_a",), b_cols=("sigma_b",), audit: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """The one pass over the evaluation fold: background and foreground through one selection, then the metrics."""
-    with guard.final_report(selection.name or "matched-far"):
-        segments = guard.segments("eval")
-    spans = segments.select(F.col("start_s").alias("span_start")).distinct()
+    """The one pass over the evaluation fold: background and foreground through one selection, then the metrics.
+
+    `parts` are segments with their split. The read is judged against the trail `audit` first; its own audit row is among the
+    results, for the caller to append.
+    """
+    request = folds.read_request(parts.sparkSession, "final", "eval", selection.name or "matched-far", "matched_far_run")
+    reads = folds.require_granted(settle(folds.judge_reads(request, parts, audit)))
+    spans = parts.filter(F.col("split") == "eval").select(F.col("start_s").alias("span_start")).distinct()
     held = grid.join(spans, "span_start", "left_semi")
     background = settle(slides.run_slides(held, plan, stride_s, selection, half, a_cols, b_cols))
     judged = selection(foreground)
     years = plan.background_livetime_yr
-    out = {"efficiency": eff.efficiency_at_far(judged, background, stat, years, targets, selection.trials)}
+    out = {
+        "efficiency": eff.efficiency_at_far(judged, background, stat, years, targets, selection.trials),
+        "audit": folds.granted_reads(reads),
+    }
     if v_generated_gpc3 is not None:
         out["volume"] = volume.sensitive_volume(
             judged, background, stat, years, targets, v_generated_gpc3, trials=selection.trials

@@ -95,9 +95,9 @@ def read_trials(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.TRIALS).json(path)
 
 
-def collect_records(spark: SparkSession, directory: str, pattern: str = "*/summary.json") -> DataFrame:
-    """Every run record under a directory; keys outside the schema are dropped."""
-    return spark.read.schema(schemas.RECORDS).json(os.path.join(directory, pattern), multiLine=True)
+def collect_records(spark: SparkSession, directory: str, pattern: str = "*/summary.json", per_line: bool = False) -> DataFrame:
+    """Every run record under a directory, one to a file or one to a line; keys outside the schema are dropped."""
+    return spark.read.schema(schemas.RECORDS).json(os.path.join(directory, pattern), multiLine=not per_line)
 
 
 # The names a reference curve's columns go by.

@@ -360,6 +360,24 @@ def efficiency_report(spark, d):
     return reports.efficiency_report(bg, fg, YEARS, TARGETS, TRIALS, stat="stat")["efficiency"]
 
 
+@query("efficiency_report_far_quantiles", f"""WITH {V3}, u AS (SELECT stat, 1 AS b FROM bg WHERE channel = 'general'
+    UNION ALL SELECT DISTINCT stat, 0 FROM fg WHERE channel = 'general'),
+  c AS (SELECT stat, sum(sum(b)) OVER (ORDER BY stat DESC) AS louder FROM u GROUP BY stat),
+  rated AS (SELECT CASE WHEN channel = 'strict' THEN 'inf'::DOUBLE ELSE {TRIALS} * greatest(louder, 1) / {YEARS}::DOUBLE END AS far,
+      CASE WHEN par >= 6 AND par < 10 THEN 0 WHEN par >= 10 AND par < 15 THEN 1 WHEN par >= 15 AND par < 25 THEN 2
+        WHEN par >= 25 AND par < 40 THEN 3 END AS snr_band FROM fg LEFT JOIN c USING (stat)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY snr_band ORDER BY far) AS rk, count(*) OVER (PARTITION BY snr_band) AS n
+    FROM rated WHERE snr_band IS NOT NULL)
+SELECT snr_band, avg(far) FILTER (rk IN ((n + 1) // 2, (n + 2) // 2)) AS median_far, min(far) AS best_far, count(*) AS n FROM r GROUP BY 1""",
+    {"median_far": 6, "best_far": 6})
+def efficiency_report_far_quantiles(spark, d):
+    """The strict channel has no background here."""
+    bg, fg = both(spark, d)
+    fg = fg.withColumn("network_snr", F.col("par"))
+    report = reports.efficiency_report(bg.filter("channel = 'general'"), fg, YEARS, TARGETS, TRIALS, stat="stat")
+    return report["far_quantiles"]
+
+
 @query("baseline_seeds", f"""WITH {V3}, {EDGE_SQL.replace("WHERE stat > 60", "WHERE channel = 'strict'")}
 SELECT avg(efficiency) AS efficiency_mean, max(efficiency) - min(efficiency) AS efficiency_range, avg(far_per_yr) AS far_per_yr_mean,
   max(far_per_yr) - min(far_per_yr) AS far_per_yr_range, count(*) AS n_seeds FROM edges""",

@@ -523,14 +523,14 @@ def record_files(spark, d):
 @query("collect_records", f"WITH {RECORD_SQL} SELECT verdict, count(*) AS n FROM rec GROUP BY 1")
 def collect_records(spark, d):
     path = record_files(spark, d)
-    got = spark.read.schema(io.schemas.RECORDS).json(os.path.join(path, "*", "*.txt"))
+    got = io.collect_records(spark, path, "*/*.txt", per_line=True)
     return got.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("results_table", f"WITH {RECORD_SQL} SELECT name, verdict, CAST(k % 4 AS INTEGER) AS n_seeds, n_problems = 0 AS valid FROM rec")
 def results_table(spark, d):
     path = record_files(spark, d)
-    got = spark.read.schema(io.schemas.RECORDS).json(os.path.join(path, "*", "*.txt"))
+    got = io.collect_records(spark, path, "*/*.txt", per_line=True)
     return reports.results_table(got).drop("problems")
 
 

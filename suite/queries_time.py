@@ -350,10 +350,9 @@ FROM cut CROSS JOIN std GROUP BY 1, 2""", {"threshold": 6})
 def matched_far_run(spark, d):
     day = F.floor(F.col("start_s") / 86400) * 86400.0
     labelled = settle(folded(spark, d)).select("channel", day.alias("start_s"), (day + 86400.0).alias("end_s"), "fold").distinct()
-    guard = folds.FoldGuard(labelled.filter("fold <> 1").dropDuplicates(["channel", "start_s"]).unionByName(
-        labelled.filter("fold = 1")), eval_fold=1)
+    parts = folds.train_eval_labels(labelled, 1)
     grid = standard_grid(spark, d)
     spans = labelled.filter("fold = 1").select("start_s").distinct().count()
     sel = slides.Selection(lambda df: df.withColumn("net_sigma", X.net_sigma("sigma_a", "sigma_b")), 4, "net")
-    out = reports.matched_far_run(guard, sel, grid, plan(spans * 86400.0), STRIDE_S, grid, "net_sigma", targets=(100.0, 20.0))
+    out = reports.matched_far_run(parts, sel, grid, plan(spans * 86400.0), STRIDE_S, grid, "net_sigma", targets=(100.0, 20.0))
     return out["efficiency"].select("far_per_yr", "threshold", "n_total", "n_found")

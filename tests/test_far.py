@@ -129,3 +129,14 @@ def test_lost_injections_stay_in_the_denominator(spark):
     j = spark.createDataFrame([(True, 0.5), (False, 0.5)], "found boolean, weight double")
     r = volume.comoving_volume(j, 1000.0, 10).first()
     assert r["v_comoving_gpc3"] == pytest.approx(4 / 3 * np.pi * 0.05) and r["n_found"] == 1
+
+
+def test_a_channel_without_background_has_an_infinite_rate(spark):
+    from farspark.plans import reports
+
+    background = spark.createDataFrame([("general", float(x)) for x in range(100)], "channel string, stat double")
+    foreground = spark.createDataFrame(
+        [("general", 50.0, 7.0), ("strict", 1.0, 7.5), ("strict", 2.0, 12.0)], "channel string, stat double, network_snr double")
+    got = {r["snr_band"]: r for r in reports.efficiency_report(background, foreground, 10.0, (100.0,), stat="stat")["far_quantiles"].collect()}
+    assert got[1]["best_far"] == got[1]["median_far"] == float("inf")
+    assert got[0]["best_far"] == pytest.approx(20.0) and got[0]["median_far"] == float("inf")

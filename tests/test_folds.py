@@ -84,37 +84,30 @@ def test_three_way_split_partitions_the_training_fold_in_time(three, unit):
         assert parts.groupBy("start_s").agg(F.count_distinct("split").alias("n")).filter("n > 1").count() == 0
 
 
-def test_guard_permissions_audit_and_single_report(three, tmp_path):
+def test_reads_are_judged_and_the_final_report_is_made_once(spark, three, tmp_path):
     path = str(tmp_path / "audit")
-    g = folds.FoldGuard.from_segments(three, audit_path=path)
-    with pytest.raises(FoldLeakError):
-        g.segments("train")
-    with g.training("t"):
-        assert g.segments("train").count() == 40
-        for hidden in ("eval", "hpo_bg"):
-            with pytest.raises(FoldLeakError, match=hidden):
-                g.segments(hidden)
-        with pytest.raises(FoldLeakError, match="nest"):
-            with g.hpo("inner"):
-                pass
-    with g.calibration("c"):
-        assert g.segments("hpo_bg").count() > 0
-    with g.final_report("r"):
-        g.segments("eval")
-    audit = g.audit().orderBy("t").collect()
-    assert [(r["phase"], r["split"]) for r in audit] == [("training", "train"), ("calibration", "hpo_bg"), ("final", "eval")]
-    assert all(r["caller"].startswith("test_folds.py:") for r in audit)
-    g.assert_eval_untouched_by_tuning()
-    again = folds.FoldGuard.from_segments(three, audit_path=path)  # another driver sees the same trail
-    with pytest.raises(FoldLeakError, match="already"):
-        with again.final_report("r"):
-            pass
-    with folds.FoldGuard.from_segments(three, audit_path=path, allow_repeat_final=True).final_report("r"):
-        pass
-    assert {r["part"] for r in g.summary().collect()} >= {"fold 0", "fold 1", "train", "eval", "hpo_bg"}
-    leak = g.audit().withColumn("phase", F.lit("hpo"))
-    with pytest.raises(FoldLeakError, match="outside the report"):
-        folds.assert_eval_untouched(leak)
+    labelled = folds.train_eval_labels(folds.gps_grouped_folds(three), 1)
+    inner = folds.three_way_split(labelled.filter("split = 'train'").drop("split"))
+    parts = labelled.drop("fold").unionByName(inner.select(*labelled.drop("fold").columns))
+    ask = lambda phase, split: folds.read_request(spark, phase, split, "r", "test")
+    refused = {}
+    for phase in folds.PERMISSIONS:
+        for split in (*folds.SPLITS, "other"):
+            row = folds.judge_reads(ask(phase, split), parts, folds.read_audit(spark, path)).first()
+            refused[phase, split] = row["refusal"]
+            assert row["refusal"] is not None or row["n_segments"] > 0 and row["livetime"] > 0
+    assert {k for k, r in refused.items() if r is None} == {(p, s) for p, splits in folds.PERMISSIONS.items() for s in splits}
+    for phase, split in (("training", "train"), ("calibration", "hpo_bg"), ("final", "eval")):
+        folds.append_audit(folds.granted_reads(folds.require_granted(folds.judge_reads(ask(phase, split), parts, folds.read_audit(spark, path)))), path)
+    trail = folds.read_audit(spark, path)
+    assert trail.count() == 3
+    folds.assert_eval_untouched(trail)
+    with pytest.raises(FoldLeakError, match="before"):
+        folds.require_granted(folds.judge_reads(ask("final", "eval"), parts, trail))
+    with pytest.raises(FoldLeakError, match="eval"):
+        folds.require_granted(folds.judge_reads(ask("hpo", "eval"), parts))
+    with pytest.raises(FoldLeakError, match="early reads"):
+        folds.assert_eval_untouched(trail.withColumn("phase", F.lit("hpo")))
 
 
 @pytest.mark.parametrize("cell_rows", [None, 2])

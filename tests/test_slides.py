@@ -66,8 +66,8 @@ def test_ties_are_all_kept(spark):
 
 
 def test_ladder(spark):
-    with pytest.raises(ValueError, match="light travel"):
-        slides.SlidePlan(10, slides.LIGHT_TRAVEL_S * 1.2)
+    with pytest.raises(ValueError, match="step"):
+        slides.SlidePlan(10, 0.012)
     lags = [r["lag_s"] for r in slides.slide_plan(spark, 6, 4.0).orderBy("lag_index").collect()]
     assert lags == [4.0, -4.0, 8.0, -8.0, 12.0, -12.0]
     with_zero = slides.slide_plan(spark, 10, 4.0, include_zero=True)
@@ -170,3 +170,15 @@ def test_far_curve_report(spark, grid):
     t = curve.totals().first()
     assert t["n_stored"] == curve.triggers.count() and t["strict_fraction"] == 0.0
     assert curve.thresholds().count() == 0  # seconds of background resolve none of the targets
+
+
+@pytest.mark.parametrize("points", [[0, 1, 2, 4], [1, 2, 3, 4], [0, 1, 1, 3]])
+def test_spans_with_gaps_are_refused(spark, points):
+    grid = spark.createDataFrame([(0.0, i, 1.0, 1.0) for i in points], "span_start double, i bigint, score_a double, score_b double")
+    with pytest.raises(Exception, match="without gaps"):
+        slides.with_span_size(grid).collect()
+
+
+def test_dense_slides_refuse_a_missing_point(spark, dense_grid):
+    with pytest.raises(Exception, match="not in the grid"):
+        ranking.dense_slides(dense_grid.filter("i <> 4"), slides.SlidePlan(16, 2.0), 1.0, 3, WINDOW, LAGS, 0.5, 2).collect()

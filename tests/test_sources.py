@@ -84,7 +84,7 @@ RECORD = dict(name="r", hypothesis="h", change="c", parameters={"cae": 1}, folds
 
 def test_records_say_what_is_missing(spark, tmp_path):
     cases = {"ok": {}, "hypothesis": {"hypothesis": " "}, "parameter": {"parameters": {}}, "fold": {"folds": {}}, "primary": {"primary": {}},
-             "seeds": {"seeds": [1]}, "verdict is": {"verdict": "maybe"}, "reasoning": {"reasoning": ""}, "change": {"change": ""}}
+             "seeds": {"seeds": [1]}, "verdict": {"verdict": "maybe"}, "reasoning": {"reasoning": ""}, "change": {"change": ""}}
     for key, gap in cases.items():
         d = tmp_path / key.replace(" ", "_")
         d.mkdir()

@@ -6,8 +6,8 @@
    one class holds cannot be in an intersection.
 3. The rest sort their shared shingles, rare ones first. Two sets that overlap enough have `level` shingles in common within
    prefixes that are `level` longer than the shortest possible. Each class picks its own level: a higher one means more
-   lists to read but fewer candidates to verify. A pair has to share the more, the longer its prefixes are: what is common
-   beyond the shared prefix tokens is at most the rest of one of the two sets, and both must make up the overlap.
+   lists to read but fewer candidates to verify. A pair has to share the smaller of its two levels, and for two given sizes
+   the overlap they need shortens both prefixes, so a list only counts where it stands early enough in both sets.
 4. Pairs are verified on whole sets. For components a group of copies needs no pair within it: first every class meets one
    leader of its lists, a few rounds long; what is then still apart is verified pair by pair.
 """
@@ -26,7 +26,7 @@ from farspark.operators.settle import settle, temporaries
 
 WIDTH = 5
 PERCENT = 75
-LEVELS = 16
+LEVELS = 4
 #: What verifying a candidate costs, in list entries read.
 VERIFY_COST = 40.0
 LEADER_ROUNDS = 3
@@ -96,7 +96,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> Da
 
 BLOCK = "part int, names binary, sizes binary, counts binary, low binary, high binary"
 SHARED = "home int, names binary, sizes binary, counts binary, tokens binary, holders binary"
-SUSPECT = "name long, n long, shared long, rest long, tokens binary, prefix array<long>"
+SUSPECT = "name long, n long, shared long, level long, tokens binary, prefix array<long>"
 
 
 def _blocks(parts: int, width: int):
@@ -217,11 +217,10 @@ def _prefixes(percent: int):
             n = int(sizes[first[of[i]]])
             level = choose_level(holders[i:j], n, percent)
             prefix = tokens[i:j][:j - i - least_overlap(n, percent) + level]
-            rest = j - i - len(prefix)
-            out.append((own[of[i]].astype(np.int64), n, j - i, rest, np.sort(tokens[i:j]).tobytes(), prefix.astype(np.int64)))
+            out.append((own[of[i]].astype(np.int64), n, j - i, level, np.sort(tokens[i:j]).tobytes(), prefix.astype(np.int64)))
         columns = list(zip(*out)) or [()] * 6
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["name", "n", "shared", "rest", "tokens", "prefix"])
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["name", "n", "shared", "level", "tokens", "prefix"])
 
     return order
 
@@ -229,7 +228,7 @@ def _prefixes(percent: int):
 def suspects(docs: DataFrame, text: str, total: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Classes that share enough shingles with others to have a partner.
 
-    Columns: name, n, how many shingles are `shared`, how many of these come after the prefix (`rest`), tokens, prefix.
+    Columns: name, n, how many shingles are `shared`, level, the shared tokens, and the prefix of these in the order of lists.
     """
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_TOKENS))
@@ -255,18 +254,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return both.withColumn("common", _common()("tokens_a", "tokens_b")).filter(F.col("common") * 100 >= union * percent).select("a", "b", "common")
 
 
-SIZES = ("n", "shared", "rest")
+SIZES = ("n", "shared", "level", "position")
 
 
-def _possible(percent: int, common: Column) -> Column:
-    """Whether two sets with so much in common can be similar enough; also as a bound."""
-    return common * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+def _early(percent: int) -> Column:
+    """Whether a common token stands early enough in both sets for the overlap that their sizes need."""
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+    last = F.least("level_a", "level_b") - need - 1
+    return (F.col("position_a") <= F.col("n_a") + last) & (F.col("position_b") <= F.col("n_b") + last) & (F.least("shared_a", "shared_b") >= need)
 
 
-def _candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share enough prefix tokens; `rows` has one row per pair and shared token."""
-    counted = rows.groupBy("a", "b").agg(*(F.first(f"{c}_{s}").alias(f"{c}_{s}") for c in SIZES for s in "ab"), F.count("*").alias("hits"))
-    return counted.filter(_possible(percent, F.col("hits") + F.greatest("rest_a", "rest_b")))
+def _candidates(rows: DataFrame) -> DataFrame:
+    """Pairs that share as many early tokens as the smaller level; `rows` has one row per pair and such token."""
+    counted = rows.groupBy("a", "b").agg(F.first(F.least("level_a", "level_b")).alias("least"), F.count("*").alias("hits"))
+    return counted.filter(F.col("hits") >= F.col("least"))
 
 
 def _all_pairs(index: DataFrame, percent: int) -> DataFrame:
@@ -278,16 +279,15 @@ def _all_pairs(index: DataFrame, percent: int) -> DataFrame:
     few = marked.filter(F.col("group") != F.col("main")).select("token", F.col("name").alias("a"), *side("a"))
     rest = marked.select(F.col("token").alias("_token"), "main", F.col("name").alias("b"), *side("b"))
     apart = (F.col("group_a") != F.col("group_b")) & ((F.col("group_b") == F.col("main")) | (F.col("a") < F.col("b")))
-    met = few.join(rest, (F.col("token") == F.col("_token")) & apart & _possible(percent, F.least("shared_a", "shared_b")))
+    met = few.join(rest, (F.col("token") == F.col("_token")) & apart & _early(percent))
     # Which of two classes is outside the largest group changes from list to list; hits of a pair are counted together.
-    turned = F.col("a") > F.col("b")
-    sides = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x)
-             for c in ("", *(f"{c}_" for c in SIZES)) for x, y in ((f"{c}a", f"{c}b"), (f"{c}b", f"{c}a"))]
-    return _candidates(met.select(*sides), percent)
+    return _candidates(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "level_a", "level_b"))
 
 
 def _index(sets: DataFrame) -> DataFrame:
-    return sets.select("name", *SIZES, F.explode("prefix").alias("token"))
+    """The lists: a row per class and prefix token, with the token's place among all of the set's, unshared ones first."""
+    rows = sets.select("name", "n", "shared", "level", F.posexplode("prefix").alias("_at", "token"))
+    return rows.select("name", "n", "shared", "level", (F.col("n") - F.col("shared") + F.col("_at")).alias("position"), "token")
 
 
 def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -312,8 +312,8 @@ def linked_groups(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         if turn < LEADER_ROUNDS:
             met = index.filter(F.col("group") != F.col("_leader.group")).select(
                 F.col("name").alias("a"), F.col("_leader.name").alias("b"), *(F.col(c).alias(f"{c}_a") for c in SIZES),
-                *(F.col(f"_leader.{c}").alias(f"{c}_b") for c in SIZES)).filter(_possible(percent, F.least("shared_a", "shared_b")))
-            pairs = _candidates(met, percent).groupBy("a").agg(F.max_by("b", F.struct("hits", "b")).alias("b"))
+                *(F.col(f"_leader.{c}").alias(f"{c}_b") for c in SIZES)).filter(_early(percent))
+            pairs = _candidates(met).groupBy("a").agg(F.max_by("b", F.struct("hits", "b")).alias("b"))
         else:
             pairs = _all_pairs(index.drop("_leader"), percent)
         links = settle(verified(settle(pairs.select("a", "b")), sets, percent))

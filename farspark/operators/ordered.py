@@ -120,6 +120,7 @@ def running(
         last = len(tie_cells.splits) * tie_cells.sub
         is_hot = F.col(order[0]).cast("double").isin(*cells.hot)
         d = tie_cells.attach(d, order[1], "_tie").withColumn("_tie", F.when(is_hot, F.col("_tie")).otherwise(last))
+    d = settle(d)  # read for the windows and for the totals; chained scans would double the work each time
     place = ["_cell", "_tie"] if split_ties else ["_cell"]
     sign = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     w = W.partitionBy(*by, *place).orderBy(*[sign(c) for c in order])

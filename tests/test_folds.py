@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from farspark.errors import FoldLeakError
 from farspark.operators import folds, segments as S
+from farspark.operators.settle import settle
 from farspark.operators.ordered import Cells
 
 SCHEMA = "channel string, start_s double, end_s double"
@@ -88,15 +89,13 @@ def test_reads_are_judged_and_the_final_report_is_made_once(spark, three, tmp_pa
     path = str(tmp_path / "audit")
     labelled = folds.train_eval_labels(folds.gps_grouped_folds(three), 1)
     inner = folds.three_way_split(labelled.filter("split = 'train'").drop("split"))
-    parts = labelled.drop("fold").unionByName(inner.select(*labelled.drop("fold").columns))
+    parts = settle(labelled.drop("fold").unionByName(inner.select(*labelled.drop("fold").columns)))
     ask = lambda phase, split: folds.read_request(spark, phase, split, "r", "test")
-    refused = {}
-    for phase in folds.PERMISSIONS:
-        for split in (*folds.SPLITS, "other"):
-            row = folds.judge_reads(ask(phase, split), parts, folds.read_audit(spark, path)).first()
-            refused[phase, split] = row["refusal"]
-            assert row["refusal"] is not None or row["n_segments"] > 0 and row["livetime"] > 0
-    assert {k for k, r in refused.items() if r is None} == {(p, s) for p, splits in folds.PERMISSIONS.items() for s in splits}
+    asked = [(p, s, "r", None, "test", 0.0) for p in folds.PERMISSIONS for s in (*folds.SPLITS, "other")]
+    requests = spark.createDataFrame(asked, "phase string, split string, label string, trial int, caller string, t double")
+    judged = folds.judge_reads(requests, parts, folds.read_audit(spark, path)).collect()
+    assert len(judged) == 30 and all(r["refusal"] is not None or r["n_segments"] > 0 and r["livetime"] > 0 for r in judged)
+    assert {(r["phase"], r["split"]) for r in judged if r["refusal"] is None} == {(p, s) for p, splits in folds.PERMISSIONS.items() for s in splits}
     for phase, split in (("training", "train"), ("calibration", "hpo_bg"), ("final", "eval")):
         folds.append_audit(folds.granted_reads(folds.require_granted(folds.judge_reads(ask(phase, split), parts, folds.read_audit(spark, path)))), path)
     trail = folds.read_audit(spark, path)

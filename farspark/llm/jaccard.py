@@ -32,7 +32,7 @@ VERIFY_COST = 40.0
 LEADER_ROUNDS = 3
 #: Shingles in one hash range, and shingles a task holds before it writes blocks.
 RANGE_TOKENS = 3_000_000
-HELD_TOKENS = 1_000_000
+HELD_TOKENS = 500_000
 CACHED_WORDS = 150_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))

@@ -8,8 +8,12 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Lets Spark remove an execution's shuffle files when it ends; a settled plan is not run again.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a plan is settled: its shuffle files go when it ends, as it is not run again, and what a Python worker gets at once is
+#: bounded in bytes, so that long texts do not fill it.
+_WHILE = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
 _scopes: list[list[str]] = []
 
 
@@ -44,14 +48,14 @@ def settle(df: DataFrame, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    if before is not None:
-        spark.conf.set(_CLEANUP, "true")
+    before = {name: spark.conf.get(name, None) for name in _WHILE}
+    for name, value in _WHILE.items():
+        spark.conf.set(name, value)
     try:
         df.write.parquet(path)
     finally:
-        if before is not None:
-            spark.conf.set(_CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
     files, where = _file_system(spark, path)
     files.deleteOnExit(where)
     scopes = _scopes[:-1] if keep else _scopes

@@ -24,6 +24,8 @@ BUCKET_BITS = 17
 SIZES = (3, 4, 5)
 DIM = 4
 EPOCHS = 8
+#: A small sample is gone through more often, up to so many steps.
+MIN_STEPS = 150
 BATCH = 256
 RATE = 0.05
 GAIN = 30.0
@@ -110,10 +112,11 @@ def train(bags: Sequence[np.ndarray], labels: np.ndarray, prior: float, bits: in
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     aside = np.arange(n) % 5 == 4 if n >= 50 else np.zeros(n, bool)
     learn = np.flatnonzero(~aside)
-    step = 0
+    step, batches = 0, -(-len(learn) // BATCH)
+    epochs = max(epochs, -(-MIN_STEPS // batches))
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
-        for rows in np.array_split(rng.permutation(learn), -(-len(learn) // BATCH)):
+        for rows in np.array_split(rng.permutation(learn), batches):
             picked = [b[rng.random(len(b)) < SEEN] for b in (bags[r] for r in rows)]
             sizes = np.array([len(b) for b in picked])
             rows, sizes = rows[sizes > 0], sizes[sizes > 0]

@@ -15,7 +15,7 @@ from farspark.operators.settle import settle
 TOKENIZER = "byte_bpe_50k.json"
 TOXIC_FROM = 0.5
 #: Passages of some fifty words are a little shorter than the operator's default reach.
-PASSAGE_BYTES = 256
+PASSAGE_BYTES = 300
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

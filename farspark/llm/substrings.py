@@ -54,7 +54,7 @@ def names(buf: bytes, length: int) -> dict[int, np.ndarray]:
     at, depth = {8: eight}, 8
     while 2 * depth <= length:
         at[2 * depth] = _deeper(at[depth][:-depth], at[depth][depth:])
-        if depth != GRAM:
+        if depth != GRAM and 4 * depth < length:
             del at[depth]
         depth *= 2
     if depth < length:
@@ -140,8 +140,8 @@ def _parts(length: int):
                     if size < HELD_BYTES and k + 1 < len(todo):
                         continue
                     at = names(b"".join(text[w["start"]:w["start"] + w["run"] + length] for w, _ in held), length)
-                    full, top = at[length], max(d for d in at if d <= length and d & (d - 1) == 0)
-                    block = min(BLOCK, length - top + 1)
+                    # What the strings of a block have in common is covered by two names of one depth.
+                    full, top, block = at[length], max(d for d in at if d <= length - BLOCK + 1 and d & (d - 1) == 0), BLOCK
                     second = length - block + 1 - top
                     for w, base in held:
                         off, run = w["off"], w["run"]

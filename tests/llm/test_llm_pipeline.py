@@ -130,7 +130,7 @@ def test_every_token_is_packed(spark, stages):
             assert offset == at
             at += n
         assert at <= 1024
-    assert len(by_sequence) <= -(-total // 1024) + 1
+    assert len(by_sequence) <= 1.1 * total / 1024 + 1
 
 
 def test_the_whole_pipeline_equals_its_stages(spark, corpus, stages):

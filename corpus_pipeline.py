@@ -14,8 +14,8 @@ from farspark.operators.settle import settle
 
 TOKENIZER = "byte_bpe_50k.json"
 TOXIC_FROM = 0.5
-#: Passages of some fifty words are a little shorter than the operator's default reach.
-PASSAGE_BYTES = 300
+#: A passage of just over fifty short words may have 150 bytes, so the operator's shortest strings are used.
+PASSAGE_BYTES = 128
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

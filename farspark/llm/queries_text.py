@@ -37,8 +37,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_mixing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized = docs.select("doc_id", mixing.words(F.col("text")).alias("size"), F.array("source").alias("members"))
-    mixed = mixing.mix(sized, ["doc_id"])
+    sized = docs.select(
+        "doc_id", F.xxhash64("text").alias("text_hash"), mixing.words(F.col("text")).alias("size"), F.array("source").alias("members"))
+    mixed = mixing.mix(sized, ["doc_id", "text_hash"])
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -144,6 +144,25 @@ def test_mix_meets_targets_and_repeats_itself(spark):
     assert mixing.mix(docs.limit(0), ["doc_id"]).count() == 0
 
 
+def test_mix_meets_the_flow_beside_a_very_long_document(spark):
+    rows = [(i, 400, ["x"]) for i in range(500)] + [(500, 200_000, ["x"])] + [(1000 + i, 1 + i * 7919 % 5000, ["y"]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, size long, members array<string>")
+    for seed in (1, 2, 3, 4):
+        got = mixing.mix(docs, ["doc_id"], total=360_000, weights=(2, 1), seed=seed).collect()
+        for source, target in (("x", 240_000), ("y", 120_000)):
+            own = [r for r in got if r.members == [source]]
+            short = target - sum(r.copies * r.size for r in own)
+            left_out = [r.size for r in own if r.copies == 0]
+            assert own[0].target == target and 0 <= short < min(400, *left_out)
+
+
+def test_mix_takes_repeated_rows_one_by_one(spark):
+    rows = [(None, 7, ["x"])] * 200 + [(1, 9, ["x"])] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, size long, members array<string>")
+    got = mixing.mix(docs, ["doc_id"], total=1001).collect()
+    assert len(got) == 400 and 0 <= 1001 - sum(r.copies * r.size for r in got) < 7
+
+
 LICENSED = [None, "", "no words? !!", "Released under the MIT License.", "UNDER THE MIT-LICENSE under the mit license, Apache License, Version 2.0; cc by nc",
             "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "under the mitß license",
             "éunder the mit license", "mit der Apache 2", "redistribute it under the terms of the BSD 3-Clause license", "apache license version 23",

@@ -199,7 +199,7 @@ def dense_slides(
     b = b.select(*[F.col(c).alias(c) for c in b.columns])  # fresh ids: both sides come from one grid
     scoring = None if models is None else {g: (np.array(m.mu), np.array(m.sd), np.array(m.beta)) for g, m in models.items()}
     root2 = float(np.sqrt(2.0))
-    include_zero, n_lags = plan.include_zero, plan.n_lags
+    include_zero, n_lags, per_span = plan.include_zero, plan.n_lags, plan.per_span
     columns = names(_DENSE_OUT)
 
     def arm(g, s):
@@ -210,6 +210,7 @@ def dense_slides(
         if len(left) and len(right):
             lblk = int(key[2])
             size, fold = int(left["n"].iloc[0]), int(left["fold"].iloc[0])
+            most = min(n_lags, max(0, size // step - 1)) if per_span else n_lags
             ca = np.stack(left["re"].to_list()) + 1j * np.stack(left["im"].to_list())
             cb = np.stack(right["re"].to_list()) + 1j * np.stack(right["im"].to_list())
             rotation = lag_rotation(first_bin, ca.shape[1], n, lag_samples)
@@ -220,7 +221,7 @@ def dense_slides(
             for m in range(lblk * lag_block - top, min((lblk + 1) * lag_block - 1 - top, top) + 1):
                 index = 0 if m == 0 else (2 * m - 1 if m > 0 else -2 * m)
                 k = m * step
-                if index > n_lags or (m == 0 and not include_zero) or size <= abs(k) or size <= 2 * half:
+                if index > most or (m == 0 and not include_zero) or size <= abs(k) or size <= 2 * half:
                     continue
                 j = (pos_a - k) % size
                 at = order[np.minimum(np.searchsorted(pos_b[order], j), len(order) - 1)]

@@ -21,12 +21,17 @@ CLUSTER_BLOCK = 1 << 16
 
 @dataclass(frozen=True)
 class SlidePlan:
-    """A ladder of lags +step, -step, +2 step, ..., and the coincident livetime each one buys."""
+    """A ladder of lags +step, -step, +2 step, ..., and the coincident livetime each one buys.
+
+    With `per_span` a span takes only the lags it can tell apart, and `slid_livetime_s` is the sum over spans and their lags.
+    """
 
     n_lags: int
     step_s: float = 4.0
     coincident_livetime_s: float = 0.0
     include_zero: bool = False
+    per_span: bool = False
+    slid_livetime_s: float | None = None
 
     def __post_init__(self):
         if self.step_s < MIN_LAG_S:
@@ -36,7 +41,7 @@ class SlidePlan:
 
     @property
     def background_livetime_s(self) -> float:
-        return self.n_lags * self.coincident_livetime_s
+        return self.n_lags * self.coincident_livetime_s if self.slid_livetime_s is None else self.slid_livetime_s
 
     @property
     def background_livetime_yr(self) -> float:
@@ -91,6 +96,23 @@ def capped_lags(n_lags: int, min_n: int, step_s: float, stride_s: float) -> int:
     return max(0, min(n_lags, min_n // step - 1))
 
 
+def span_lags(n_lags: int, step_s: float, stride_s: float) -> Column:
+    """`capped_lags` of each span, by its points `n`."""
+    step = max(1, round(step_s / stride_s))
+    return F.greatest(F.lit(0), F.least(F.lit(n_lags), F.floor(F.col("n") / step) - 1)).cast("bigint")
+
+
+def capped_plan(grid: DataFrame, n_lags: int, step_s: float, stride_s: float, half: int = 0) -> SlidePlan:
+    """A plan in which a short span has few lags and takes none from the others; a span no longer than a cluster has none."""
+    spans = grid.groupBy("span_start").agg(F.count(F.lit(1)).alias("n"))
+    lags = F.when(F.col("n") > 2 * half, span_lags(n_lags, step_s, stride_s)).otherwise(F.lit(0))
+    row = spans.select("n", lags.alias("lags")).agg(
+        F.sum("n").alias("points"), F.max("lags").alias("most"), F.sum(F.col("n") * F.col("lags")).alias("slid")).first()
+    if not row["points"]:
+        raise RefusedError("the grid is empty")
+    return SlidePlan(int(row["most"]), step_s, row["points"] * float(stride_s), per_span=True, slid_livetime_s=row["slid"] * float(stride_s))
+
+
 def cluster_half(cluster_s: float, stride_s: float) -> int:
     return int(round(0.5 * cluster_s / stride_s))
 
@@ -154,6 +176,8 @@ def _explode_lags(side: DataFrame, plan: SlidePlan, stride_s: float, half: int)
     k = lag_points(F.col("l.lag_s"), stride_s)
     slid = side.select("*", F.explode(plan.ladder()).alias("l"))
     slid = slid.select(*side.columns, F.col("l.lag_index").alias("lag_index"), k.alias("k"))
+    if plan.per_span:
+        slid = slid.filter(F.col("lag_index") <= span_lags(plan.n_lags, plan.step_s, stride_s))
     return slid.filter((F.col("n") > F.abs("k")) & (F.col("n") > 2 * half))
 
 

@@ -76,15 +76,6 @@ class FarCurve:
         )
 
 
-def _plan_for(grid: DataFrame, n_lags: int, step_s: float, stride_s: float) -> slides.SlidePlan:
-    live = slides.grid_livetime(grid, stride_s).first()
-    if not live["n_points"]:
-        raise RefusedError("the grid is empty")
-    return slides.SlidePlan(
-        slides.capped_lags(n_lags, live["min_n"], step_s, stride_s), step_s, live["coincident_livetime_s"]
-    )
-
-
 def with_channel(df: DataFrame) -> DataFrame:
     """strict or general, by coherence and both centroids; everything is general where those are not measured."""
     if not {"coherence", "centroid_a", "centroid_b"} <= set(df.columns):
@@ -103,9 +94,9 @@ def far_curve(
     the survivors only. The triggers are written once, because thresholds and totals read them several times.
     """
     require_columns(grid, ("span_start", "i", "score_a", "score_b"), "score grid")
-    plan = _plan_for(grid, n_lags, step_s, stride_s)
-    norm = slides.norm_values(slides.sigma_norm(grid))
     half = slides.cluster_half(cluster_s, stride_s)
+    plan = slides.capped_plan(grid, n_lags, step_s, stride_s, half)
+    norm = slides.norm_values(slides.sigma_norm(grid))
     sized = slides.standardise(slides.with_span_size(grid.select("span_start", "i", "score_a", "score_b")), norm)
     triggers = slides.slide_triggers(sized, plan, stride_s, floor, half)
     wide = [c for c in ("centroid_a", "arm_a", "re_a", "im_a") if c in grid.columns]
@@ -225,9 +216,9 @@ def lr_background(
         raise RefusedError("background spans are not the ones the model was fitted on; refit")
     if "checkpoint" in grid.columns:
         ranking.single_checkpoint(grid)
-    plan = _plan_for(grid, n_lags, step_s, stride_s)
-    tagged = ranking.standardise_held_out(ranking.fold_join(slides.with_span_size(grid), assignment), models)
     half = slides.cluster_half(cluster_s, stride_s)
+    plan = slides.capped_plan(grid, n_lags, step_s, stride_s, half)
+    tagged = ranking.standardise_held_out(ranking.fold_join(slides.with_span_size(grid), assignment), models)
     dense = ranking.dense_slides(
         tagged, plan, stride_s, band.first_bin, band.n, band.lag_samples, keep_above, half, models
     )

@@ -172,6 +172,31 @@ def test_far_curve_report(spark, grid):
     assert curve.thresholds().count() == 0  # seconds of background resolve none of the targets
 
 
+def test_a_short_span_takes_no_lags_from_the_others(spark, dense_grid):
+    sizes = {0.0: 41, 1.0: 13, 2.0: 2}  # 9, 2 and no lags of 4 s; the last is not longer than a cluster
+    rng = np.random.default_rng(8)
+    data = {s: (rng.normal(size=n), rng.normal(size=n)) for s, n in sizes.items()}
+    rows = [(s, i, float(a[i]), float(b[i])) for s, (a, b) in data.items() for i in range(len(a))]
+    curve = reports.far_curve(spark.createDataFrame(rows, "span_start double, i bigint, score_a double, score_b double"), 1.0, floor=0.5)
+    assert curve.plan.n_lags == 9 and curve.plan.coincident_livetime_s == 56.0
+    assert curve.plan.background_livetime_s == 9 * 41 + 2 * 13
+    m = curve.norm
+    want = set()
+    for s, lags in ((0.0, 9), (1.0, 2)):
+        a, b = (data[s][0] - m["mu_a"]) / m["sd_a"], (data[s][1] - m["mu_b"]) / m["sd_b"]
+        for idx in range(1, lags + 1):
+            k = (idx + 1) // 2 * 4 * (1 if idx % 2 else -1)
+            net = (a + np.roll(b, k)) / np.sqrt(2)
+            want |= {(s, idx, i, (i - k) % len(a)) for i in range(len(a)) if net[i] >= net[max(0, i - 2):i + 3].max() and net[i] > 0.5}
+    assert keys(curve.triggers) == want
+
+    short = dense_grid.filter("span_start = 0 or i < 9").withColumn("n", F.when(F.col("span_start") == 0, 37).otherwise(9).cast("bigint"))
+    plan = slides.capped_plan(short, 100, 2.0, 1.0, 2)
+    assert plan.n_lags == 17 and plan.background_livetime_s == 17 * 37 + 3 * 9
+    dense = keys(ranking.dense_slides(short, plan, 1.0, 3, WINDOW, LAGS, 0.8, 2))
+    assert dense == keys(slides.slide_triggers(short, plan, 1.0, 0.8, 2)) and max(k[1] for k in dense if k[0] == 1.0) <= 3
+
+
 @pytest.mark.parametrize("points", [[0, 1, 2, 4], [1, 2, 3, 4], [0, 1, 1, 3]])
 def test_spans_with_gaps_are_refused(spark, points):
     grid = spark.createDataFrame([(0.0, i, 1.0, 1.0) for i in points], "span_start double, i bigint, score_a double, score_b double")

@@ -112,7 +112,7 @@ def score_summary(df: DataFrame, score: str = "score", by: Sequence[str] = ()) -
         F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.count(score).alias("n")
     )
     p99 = percentiles(df, score, {"p99": 0.99}, by)
-    return moments.join(p99, list(by)) if by else moments.crossJoin(p99)
+    return moments.join(p99, list(by)) if by else moments.crossJoin(p99)  # one row
 
 
 def _noise_moments(df: DataFrame, score: str, is_signal: Column) -> DataFrame:

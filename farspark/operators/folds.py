@@ -130,12 +130,10 @@ def three_way_split(
     Cuts fall between overlap blocks, so two channels of one stretch of time stay together; `unit="segment"`
     cuts between segments instead.
     """
-    if not 0.0 < val_frac < 1.0:
-        raise ValueError(f"val_frac must be in (0, 1), got {val_frac}")
-    if not 0.0 <= bg_frac < 1.0:
-        raise ValueError(f"bg_frac must be in [0, 1), got {bg_frac}")
-    if val_frac + bg_frac >= 1.0:
-        raise ValueError(f"val_frac + bg_frac = {val_frac + bg_frac} leaves nothing to train on")
+    shares = {"hpo_train": round(1.0 - val_frac - bg_frac, 12), "hpo_val": val_frac, "hpo_bg": bg_frac}
+    wrong = [name for name, share in shares.items() if share < 0 or (share == 0 and name != "hpo_bg")]
+    if wrong:
+        raise ValueError(f"no such split of the livetime: {shares}; check {', '.join(wrong)}")
     cells = cells or Cells.fit(training, "start_s")
     if unit == "block":
         units = _blocks(training, cells).select("grp", "live_before", "live")
@@ -147,7 +145,7 @@ def three_way_split(
         live = running(live, order, {"live_before": ("sum", "live", False)}, cells)
         units = live.withColumn("live_before", F.coalesce("live_before", F.lit(0.0)))
         members, keys = training, order
-    fit_frac = 1.0 - val_frac - bg_frac
+    fit_frac = shares["hpo_train"]
     total = units.agg(F.sum("live").alias("live"), F.count(F.lit(1)).alias("n")).first()
     if total["n"] < 3:
         raise ValueError(f"{total['n']} blocks of training time cannot fill three splits")

@@ -202,6 +202,7 @@ def percentiles(
     """Exact percentiles with linear interpolation, one column per entry of `quantiles`.
 
     The built-in aggregate keeps a map of every distinct value of a group, so the ranks are selected instead.
+    A group without values, or a table without rows and groups, has a row of NULLs.
     """
     by = list(by)
     cells = cells or Cells.fit(df, value, by)
@@ -221,7 +222,8 @@ def percentiles(
         F.when(F.min(value) == F.max(value), F.min(value))  # infinite ends too
         .otherwise(F.min(value) + (F.max(value) - F.min(value)) * (at - F.floor(at))).alias("p")
     )
-    return lerp.groupBy(*by).agg(*[F.max(F.when(F.col("name") == k, F.col("p"))).alias(k) for k in quantiles])
+    wide = lerp.groupBy(*by).agg(*[F.max(F.when(F.col("name") == k, F.col("p"))).alias(k) for k in quantiles])
+    return df.select(*by).distinct().join(wide, by, "left") if by else wide
 
 
 def ordinal(

@@ -38,8 +38,10 @@ class Model:
     norm: tuple[float, float, float, float] | None = None
 
     def __post_init__(self):
-        if len(self.mu) != len(FEATURES) or len(self.sd) != len(FEATURES) or len(self.beta) != len(FEATURES) + 1:
-            raise ValueError(f"fold {self.fold}: expected {len(FEATURES)} features and {len(FEATURES) + 1} coefficients")
+        wanted = {"mu": len(FEATURES), "sd": len(FEATURES), "beta": 1 + len(FEATURES)}
+        wrong = [f"{field}: {len(getattr(self, field))}, not {n}" for field, n in wanted.items() if len(getattr(self, field)) != n]
+        if wrong:
+            raise ValueError(f"model of fold {self.fold}, numbers in {'; '.join(wrong)}")
 
 
 def models_frame(spark: SparkSession, models: Sequence[Model]) -> DataFrame:

@@ -58,7 +58,10 @@ def window_grid(
 
 
 def floor_psd(psd: DataFrame, relative: float = 1e-10, by: Sequence[str] = ("channel",)) -> DataFrame:
-    """Add floored and asd: the PSD raised to a small fraction of the median of its positive finite bins."""
+    """Add floored and asd: the PSD raised to a small fraction of the median of its positive finite bins.
+
+    A channel without such bins stops the query.
+    """
     by = list(by)
     clean = F.when((F.col("psd") > 0) & ~F.isnan("psd") & (F.col("psd") < float("inf")), F.col("psd"))
     median = percentiles(psd.withColumn("_pos", clean), "_pos", {"_median": 0.5}, by)

@@ -143,3 +143,15 @@ def test_noise_diagnostics_match_numpy(spark):
     assert sh["p99"] == pytest.approx(np.percentile(z, 99))
     loss = cal.margin_loss(df, "score", s, 3.0, 2.0).first()
     assert loss["total"] == pytest.approx(noise.mean() + 2 * max(0, 3 * noise.mean() - signal.mean()))
+
+
+def test_a_group_without_scores_keeps_its_row(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", nan), ("b", nan)], "g string, score double")
+    whole = {r["g"]: r for r in cal.score_summary(df, by=["g"]).collect()}
+    assert set(whole) == {"a", "b"} and whole["a"]["p99"] == pytest.approx(2.98) and whole["b"]["p99"] is None
+    shapes = {r["g"]: r for r in cal.shape_stats(df, "score", ["g"]).collect()}
+    assert set(shapes) == {"a", "b"} and shapes["b"]["median"] is None
+    only = df.filter("g = 'b'")
+    assert cal.score_summary(only).first()["p99"] is None and cal.shape_stats(only, "score").count() == 1
+    assert cal.score_summary(df.limit(0)).first()["n"] == 0

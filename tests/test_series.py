@@ -86,6 +86,9 @@ def test_psd_floor(spark):
     assert got[2.0]["floored"] == pytest.approx(10e-10) and got[3.0]["asd"] == 4.0
     with pytest.raises(Exception, match="no positive"):
         series.floor_psd(p.withColumn("psd", F.lit(0.0))).collect()
+    empty = spark.createDataFrame([("b", 1.0, 0.0), ("b", 2.0, float("nan"))], p.schema)
+    with pytest.raises(Exception, match="no positive"):  # a channel without bins is refused beside a good one too
+        series.floor_psd(p.unionByName(empty)).collect()
 
 
 @pytest.mark.parametrize("chunk", [7, 50, 1000])

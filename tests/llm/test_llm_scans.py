@@ -1,11 +1,12 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from farspark.llm import automaton as A, secrets as S
+from farspark.llm import automaton as A, divergence as D, perfect_hash as P, secrets as S
 
 
 def walked(rules, text):
@@ -84,3 +85,70 @@ def test_text_without_its_secrets(spark):
     assert S.scan(df.limit(0)).count() == 0
     names = S.scan(df).select("doc_id", S.listed(F.col("secrets")).alias("s")).orderBy("doc_id").collect()
     assert [r["s"] for r in names] == ["assign:2:20", "", ""]
+
+
+def test_perfect_hash_fills_its_slots_and_knows_its_keys():
+    rng = np.random.default_rng(5)
+    keys = [b"", b"a"] + [bytes(rng.integers(97, 123, rng.integers(1, 40), dtype=np.uint8)) + str(i).encode() for i in range(5000)]
+    blob = P.build(keys)
+    made = P.load(blob)
+    _, words = P.of_list(keys)
+    assert sorted(made.slots(words, words.hashes(made.seed)).tolist()) == list(range(len(keys)))
+    assert sorted(P.stored_keys(blob)) == sorted(keys)
+    assert [P.stored_keys(blob)[i] for i in made.slots(words, words.hashes(made.seed))] == keys
+    _, strange = P.of_list([k + b"!" for k in keys] + [b"b", b"x" * 1000])
+    assert (made.slots(strange, strange.hashes(made.seed)) == -1).all()
+    assert P.load(P.build([])).n == 0
+
+
+def audited(rows, least, top):
+    """The audit in plain Python: a list of rows per (lang, source, part)."""
+    rows = [tuple(x or "" for x in r) for r in rows]
+    words = lambda t: re.findall("[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+", "".join(c.lower() if c.isascii() else c for c in t))
+    docs, counts, out = Counter(), Counter(), []
+    groups = {(lang, source) for lang, source, _ in rows}
+    for lang, source, text in rows:
+        docs.update((lang, w) for w in set(words(text)))
+        counts.update((lang, source, w) for w in words(text))
+    for lang in {lang for lang, _ in groups}:
+        kept = sorted(w for (at, w), n in docs.items() if at == lang and n >= least)
+        sources = sorted(s for at, s in groups if at == lang)
+
+        def shares(chosen):
+            n = {w: sum(counts[lang, s, w] for s in chosen) for w in kept}
+            return {w: 1 + 10**9 * (n[w] + 5) // (sum(n.values()) + 5 * len(kept)) for w in kept}
+
+        whole, each = shares(sources), {s: shares([s]) for s in sources}
+        for s in sources:
+            pairs = [(-sum(abs(each[s][w] - each[o][w]) for w in kept), o.encode()) for o in sources if o != s]
+            terms = [(whole[w] - each[s][w], w.encode()) for w in kept if counts[lang, s, w] and each[s][w] > whole[w]]
+            for part, found in (("pair", pairs), ("term", sorted(terms)[:top])):
+                out += [(lang, s, part, item.decode(), -value, i) for i, (value, item) in enumerate(sorted(found), 1)]
+    return sorted(out)
+
+
+def corpus(n):
+    rng = random.Random(7)
+    vocabulary = [f"{a}{b}" for a in ("Ab", "cd", "Éf", "日本", "x" * 30) for b in "abcdefgh"]
+    row = lambda: " ".join(rng.choices(vocabulary, weights=range(1, 41), k=rng.randint(0, 30)))
+    rows = [(rng.choice(["en", "en", "en", "de", None, ""]), rng.choice(["hot", "hot", "b", "c", None]), row()) for _ in range(n)]
+    rows += [("few", "one", "seldom words"), ("few", "two", None), ("single", "only", "Ab1cd-AB_cd")] + [("en", "hot", rows[0][2])] * 20
+    return rows + [("en", "long", "Aba, " * 4000 + "7" * 50 + "Ä" * 3000)]
+
+
+@pytest.mark.parametrize("shard_keys, round_bytes", [(4, 400), (1 << 15, 1 << 25)])
+def test_audit_equals_plain_counting(spark, monkeypatch, shard_keys, round_bytes):
+    for name, value in {"DENSE_BYTES": 200, "BLOCK_BYTES": 300, "HELD_TERMS": 20, "CELL_VALUES": 12}.items():
+        monkeypatch.setattr(D, name, value)
+    rows = corpus(300)
+    df = spark.createDataFrame(rows, "lang string, source string, text string").withColumns({"slot": F.lit("clash"), "value": F.lit(1), "kept": F.lit(2)})
+    got = D.audit(df.repartition(3), 5, 6, shard_keys, round_bytes)
+    assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
+    assert sorted(map(tuple, got.collect())) == audited(rows, 5, 6)
+
+
+def test_audit_without_kept_terms_or_rows(spark):
+    rows = [("en", "a", "one"), ("en", "b", "two"), ("en", "c", None)]
+    df = spark.createDataFrame(rows, "lang string, source string, text string")
+    assert sorted(map(tuple, D.audit(df).collect())) == audited(rows, 30, 50)
+    assert D.audit(df.limit(0)).count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from farspark.llm import exact_topk, neighbours, toxicity
+from farspark.llm import exact_topk, neighbours, toxicity, whitening
 from farspark.llm.registry import query
 from farspark.llm.tables import held_out, table
 
@@ -39,3 +39,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return exact_topk.highest(rows, rows.filter(F.col("vec_id") % 100 == 0), 10)
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))

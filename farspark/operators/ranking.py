@@ -4,22 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Matrices
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from farspark.errors import RefusedError
-from farspark.functions.expressions import ARM_CLIP, ARM_RAMP_SIGMA, FEATURES, keep_above, log_likelihood_ratio, lr_features
+from farspark.functions.expressions import ARM_CLIP, ARM_RAMP_SIGMA, FEATURES, arm_gate, keep_above, log_likelihood_ratio, lr_features
 from farspark.functions.kernels import coefficient_coherence, lag_rotation
+from farspark.operators.bounded import WIDTH, pairs_above, with_slack
+from farspark.operators.settle import settle
 from farspark.operators.slides import SlidePlan, cluster_local_max
 from farspark.schemas import names
 
 RIDGE = 1e-3
+NEWTON_PASSES = 20
+#: Largest gradient, per row, at which a fit is settled.
+KKT = 1e-11
+PAIR_BATCH = 1 << 14
 NORM_FIELDS = ("mu_a", "sd_a", "mu_b", "sd_b")
 MODEL_SCHEMA = (
     "fold int, mu array<double>, sd array<double>, beta array<double>, "
@@ -92,13 +96,31 @@ def score_held_out(df: DataFrame, models: dict[int, Model], features: Sequence[C
 # --- fitting --------------------------------------------------------------------------------
 
 
+def _bounded_step(gradient: np.ndarray, hessian: np.ndarray, at: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The least point of the quadratic model that keeps to its lower bounds, by trying bounds until none is broken or pulls."""
+    held = np.zeros(len(at), dtype=bool)
+    for _ in range(2 * len(at)):
+        free = ~held
+        step = np.where(held, low - at, 0.0)
+        step[free] = np.linalg.solve(hessian[np.ix_(free, free)], -gradient[free] - hessian[np.ix_(free, held)] @ step[held])
+        broken = free & (at + step < low)
+        if broken.any():
+            held |= broken
+            continue
+        pulled = held & (gradient + hessian @ step < 0)
+        if not pulled.any():
+            break
+        held &= ~pulled
+    return step
+
+
 def fit_lr(rows: DataFrame, label: str = "label", fold: int = 0, norm=None, features: Sequence[str] = FEATURES) -> Model:
     """Balanced logistic regression with a small ridge and a coherence coefficient that cannot be negative.
 
-    Features are standardised by population moments first. The optimiser minimises a weighted mean loss, the
-    ridge here is on the sum, hence the factor of the total weight.
+    Features are standardised by population moments first. Newton's method: a pass over the rows adds up the loss, the
+    gradient and the matrix of second derivatives, some fifty numbers, and the driver solves for the next point.
     """
-    d = rows.select(F.col(label).cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in features])
+    d = settle(rows.select(F.col(label).cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in features]))
     moments = d.agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1"), *[F.avg(f).alias(f"m_{f}") for f in features],
         *[F.stddev_pop(f).alias(f"s_{f}") for f in features],
@@ -108,20 +130,44 @@ def fit_lr(rows: DataFrame, label: str = "label", fold: int = 0, norm=None, feat
         raise RefusedError("a fit needs rows of both classes")
     mu = tuple(moments[f"m_{f}"] for f in features)
     sd = tuple(moments[f"s_{f}"] + 1e-9 for f in features)
-    z = F.array(*[(F.col(f) - F.lit(m)) / F.lit(s) for f, m, s in zip(features, mu, sd)])
     weight = F.when(F.col("label") == 1, n / (2.0 * n1)).otherwise(n / (2.0 * (n - n1)))
-    train = d.select("label", array_to_vector(z).alias("features"), weight.alias("w")).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
-    low = [0.0 if f == "coherence" else -np.inf for f in features]
-    try:
-        fitted = LogisticRegression(
-            weightCol="w", regParam=2.0 * RIDGE / n, elasticNetParam=0.0, standardization=False, tol=1e-12, maxIter=500,
-            family="binomial", lowerBoundsOnCoefficients=Matrices.dense(1, len(features), low),
-        ).fit(train)
-    finally:
-        train.unpersist()
-    return Model(fold, mu, sd, (float(fitted.intercept), *[float(c) for c in fitted.coefficients]), norm)
+    z = [F.lit(1.0), *[(F.col(f) - F.lit(m)) / F.lit(s) for f, m, s in zip(features, mu, sd)]]
+    size = len(z)
+    upper = [(i, j) for i in range(size) for j in range(i, size)]
+    ridge = np.array([0.0, *[2.0 * RIDGE] * len(features)])
+    low = np.array([-np.inf, *[0.0 if f == "coherence" else -np.inf for f in features]])
+    wide = d.select("label", weight.alias("w"), *[c.alias(f"z{i}") for i, c in enumerate(z)])
+
+    def sums(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        margin = reduce(add, [F.lit(float(b)) * F.col(f"z{i}") for i, b in enumerate(beta)])
+        p = wide.withColumn("m", margin).withColumn("p", 1.0 / (1.0 + F.exp(-F.col("m"))))
+        p = p.withColumn("g", F.col("w") * (F.col("p") - F.col("label"))).withColumn("h", F.col("w") * F.col("p") * (1.0 - F.col("p")))
+        loss = F.col("w") * (F.log1p(F.exp(-F.abs("m"))) + F.greatest("m", F.lit(0.0)) - F.col("label") * F.col("m"))
+        row = p.agg(
+            F.sum(loss), *[F.sum(F.col("g") * F.col(f"z{i}")) for i in range(size)],
+            *[F.sum(F.col("h") * F.col(f"z{i}") * F.col(f"z{j}")) for i, j in upper]).first()
+        hessian = np.diag(ridge)
+        for (i, j), value in zip(upper, row[1 + size:]):
+            hessian[i, j] += value
+            hessian[j, i] = hessian[i, j]
+        return row[0] + 0.5 * float(ridge @ beta**2), np.array(row[1 : 1 + size]) + ridge * beta, hessian
+
+    beta = np.zeros(size)
+    loss, gradient, hessian = sums(beta)
+    for _ in range(NEWTON_PASSES):
+        left = np.where((beta <= low) & (gradient > 0), 0.0, gradient)
+        if np.abs(left).max() <= KKT * n:
+            break
+        step = _bounded_step(gradient, hessian, beta, low)
+        scale = 1.0
+        while True:
+            tried = np.maximum(beta + scale * step, low)
+            new_loss, new_gradient, new_hessian = sums(tried)
+            if new_loss <= loss + 1e-12 * abs(loss) or scale < 1e-6:
+                break
+            scale /= 4  # the model's least point lies too far out
+        beta, loss, gradient, hessian = tried, new_loss, new_gradient, new_hessian
+    return Model(fold, mu, sd, tuple(map(float, beta)), norm)
 
 
 # --- provenance -----------------------------------------------------------------------------
@@ -163,98 +209,112 @@ _DENSE_OUT = (
 )
 
 
+def bound_parts(grid: DataFrame, floor: float, models: dict[int, Model] | None = None) -> DataFrame:
+    """(span_start, n, i, part_a, part_b, need): a pair can be above `floor` only where part_a + part_b > need.
+
+    With `models` the likelihood ratio is linear in the features of either channel and in the coherence, which lies between 0 and 1;
+    without, the statistic is the net sigma, the sum of its parts.
+    """
+    if models is None:
+        parts = {c: F.col(f"sigma_{c}") / F.lit(float(np.sqrt(2.0))) for c in "ab"}
+        need = F.lit(float(floor))
+    else:
+        names_of = {c: (f"sigma_{c}", f"centroid_{c}", f"gated_arm_{c}") for c in "ab"}
+
+        def by_other(of) -> Column:
+            return F.when(F.col("fold") == 0, of(models[1])).when(F.col("fold") == 1, of(models[0]))
+
+        def term(m: Model, feature: str, value: Column) -> Column:
+            at = FEATURES.index(feature)
+            return (value - F.lit(m.mu[at])) / F.lit(m.sd[at]) * F.lit(m.beta[at + 1])
+
+        def part(m: Model, c: str) -> Column:
+            values = (F.col(f"sigma_{c}"), F.col(f"centroid_{c}"), arm_gate(f"arm_{c}", f"sigma_{c}"))
+            return reduce(add, [term(m, f, x) for f, x in zip(names_of[c], values)])
+
+        def rest(m: Model) -> Column:
+            at = FEATURES.index("coherence")
+            best = max((x - m.mu[at]) / m.sd[at] * m.beta[at + 1] for x in (0.0, 1.0))
+            return F.lit(float(floor - m.beta[0] - best))
+
+        parts = {c: by_other(lambda m, c=c: part(m, c)) for c in "ab"}
+        need = by_other(rest)
+    return grid.select(
+        "span_start", "n", "i", *[with_slack(p.cast("double")).alias(f"part_{c}") for c, p in parts.items()], need.alias("need"))
+
+
 def dense_slides(
     grid: DataFrame, plan: SlidePlan, stride_s: float, first_bin: int, n: int, lag_samples: int, floor: float, half: int,
-    models: dict[int, Model] | None = None, a_block: int = 1024, lag_block: int = 256,
+    models: dict[int, Model] | None = None, a_block: int = 1024, lag_block: int = 256, width: int = WIDTH,
 ) -> DataFrame:
-    """Score every pair of every lag where coherence is an input, and keep those above `floor`, clustered.
+    """The pairs of every lag above `floor` where coherence is an input, clustered, with their features.
 
-    With `models` the statistic is the held-out log likelihood ratio; without, the net sigma. Coefficients do
-    not go through a row-per-pair join: blocks of channel a meet the stretch of channel b their lags reach, one
-    task input per (span, block of a, block of lags), whose size depends on the two block sizes only.
+    With `models` the statistic is the held-out log likelihood ratio; without, the net sigma. Pairs that no coherence
+    could lift above the floor are passed over by their bounds, blocks first, before a coefficient moves. The others
+    meet their coefficients by (span, block of a, block of lags), so a task's input depends on the two block sizes only and holds
+    the windows that its pairs use.
 
     Grid columns: span_start, n, i, fold, sigma_x, centroid_x, arm_x, re_x, im_x for x in a, b.
     """
+    pairs = settle(pairs_above(bound_parts(grid, floor, models), plan, stride_s, half, width))
+    return cluster_local_max(scored_pairs(grid, pairs, plan, stride_s, first_bin, n, lag_samples, floor, models, a_block, lag_block), "stat", half)
+
+
+def scored_pairs(
+    grid: DataFrame, pairs: DataFrame, plan: SlidePlan, stride_s: float, first_bin: int, n: int, lag_samples: int, floor: float,
+    models: dict[int, Model] | None = None, a_block: int = 1024, lag_block: int = 256,
+) -> DataFrame:
+    """Features and statistic of the listed pairs, those above `floor`. `pairs` is read three times and should be settled."""
     step = max(1, round(plan.step_s / stride_s))
     top = (plan.n_lags + 1) // 2
-    # Signed multiples of the step, in blocks: block L holds m in [L * lag_block - top, ...).
-    blocks = -(-(2 * top + 1) // lag_block)
-    side = lambda x, extra: grid.select(
-        "span_start", "n", "fold", F.col("i").alias("pos"),
+    keys = ["span_start", "ablk", "lblk"]
+    dealt = pairs.select("*", F.floor(F.col("i") / a_block).alias("ablk"), F.floor((F.expr(f"k div {step}") + top) / lag_block).alias("lblk"))
+    used = dealt.select(*keys, F.lit("a").alias("side"), F.col("i").alias("pos")).unionByName(
+        dealt.select(*keys, F.lit("b").alias("side"), F.col("j").alias("pos"))).distinct()
+    side = lambda x: grid.select(
+        "span_start", F.lit(x).alias("side"), F.col("i").alias("pos"), "fold",
         *[F.col(f"{c}_{x}").cast("double").alias(c) for c in ("sigma", "centroid", "arm")],
-        F.col(f"re_{x}").alias("re"), F.col(f"im_{x}").alias("im"), *extra,
-    )
-    a = side("a", [F.floor(F.col("i") / a_block).alias("ablk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("lblk")])
-    lo = F.col("pos") + (F.col("lblk") * lag_block - top) * step
-    hi = F.col("pos") + F.least((F.col("lblk") + 1) * lag_block - 1 - top, F.lit(top)) * step
-    reach = F.least(hi, lo + F.col("n") - 1)
-    wraps = F.floor(lo / F.col("n")) != F.floor(reach / F.col("n"))
-    seen = F.transform(
-        F.array_append(F.sequence(lo, reach, F.lit(a_block).cast("bigint")), reach),
-        lambda u: F.floor(F.pmod(u, F.col("n")) / a_block),
-    )
-    ends = F.when(wraps, F.array(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / a_block))).otherwise(
-        F.array().cast("array<bigint>")
-    )
-    b = side("b", [F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("lblk")])
-    b = b.select("*", F.explode(F.array_distinct(F.concat(seen, ends))).alias("ablk"))
-    b = b.select(*[F.col(c).alias(c) for c in b.columns])  # fresh ids: both sides come from one grid
+        F.col(f"re_{x}").alias("re"), F.col(f"im_{x}").alias("im"))
+    windows = used.join(side("a").unionByName(side("b")), ["span_start", "side", "pos"])
+    windows = windows.select(*[F.col(c).alias(c) for c in windows.columns])  # fresh ids: both sides come from one list of pairs
     scoring = None if models is None else {g: (np.array(m.mu), np.array(m.sd), np.array(m.beta)) for g, m in models.items()}
     root2 = float(np.sqrt(2.0))
-    include_zero, n_lags, per_span = plan.include_zero, plan.n_lags, plan.per_span
     columns = names(_DENSE_OUT)
 
     def arm(g, s):
         return np.clip(g, -ARM_CLIP, ARM_CLIP) * np.clip(s / ARM_RAMP_SIGMA, 0.0, 1.0)
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(key, wide: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(left) and len(right):
-            lblk = int(key[2])
-            size, fold = int(left["n"].iloc[0]), int(left["fold"].iloc[0])
-            most = min(n_lags, max(0, size // step - 1)) if per_span else n_lags
-            ca = np.stack(left["re"].to_list()) + 1j * np.stack(left["im"].to_list())
-            cb = np.stack(right["re"].to_list()) + 1j * np.stack(right["im"].to_list())
-            rotation = lag_rotation(first_bin, ca.shape[1], n, lag_samples)
-            pos_a, pos_b = left["pos"].to_numpy(), right["pos"].to_numpy()
-            order = np.argsort(pos_b)
-            la = {c: left[c].to_numpy(float) for c in ("sigma", "centroid", "arm")}
-            lb = {c: right[c].to_numpy(float) for c in ("sigma", "centroid", "arm")}
-            for m in range(lblk * lag_block - top, min((lblk + 1) * lag_block - 1 - top, top) + 1):
-                index = 0 if m == 0 else (2 * m - 1 if m > 0 else -2 * m)
-                k = m * step
-                if index > most or (m == 0 and not include_zero) or size <= abs(k) or size <= 2 * half:
-                    continue
-                j = (pos_a - k) % size
-                at = order[np.minimum(np.searchsorted(pos_b[order], j), len(order) - 1)]
-                if (pos_b[at] != j).any():
-                    raise ValueError("a point that a lag leads to is not in the grid")
-                net = (la["sigma"] + lb["sigma"][at]) / root2
-                # The net sigma needs no coherence, so only pairs over its floor pay for one.
-                use = np.flatnonzero(net > floor) if scoring is None else np.arange(len(at))
-                if not use.size:
-                    continue
-                other = at[use]
+        sides = {x: rows.sort_values("pos") for x, rows in wide.groupby("side")}
+        if len(sides) == 2 and len(listed):
+            values = {x: {c: rows[c].to_numpy(float) for c in ("sigma", "centroid", "arm")} for x, rows in sides.items()}
+            spectra = {x: np.stack(rows["re"].to_list()) + 1j * np.stack(rows["im"].to_list()) for x, rows in sides.items()}
+            rotation = lag_rotation(first_bin, spectra["a"].shape[1], n, lag_samples)
+            fold = int(wide["fold"].iloc[0])
+            for begin in range(0, len(listed), PAIR_BATCH):
+                some = listed.iloc[begin : begin + PAIR_BATCH]
+                at = {x: np.searchsorted(sides[x]["pos"].to_numpy(), some[c].to_numpy()) for x, c in (("a", "i"), ("b", "j"))}
+                la, lb = ({c: v[at[x]] for c, v in values[x].items()} for x in "ab")
                 f = np.column_stack([
-                    la["sigma"][use], lb["sigma"][other], coefficient_coherence(ca[use], cb[other], rotation, n),
-                    la["centroid"][use], lb["centroid"][other], arm(la["arm"][use], la["sigma"][use]),
-                    arm(lb["arm"][other], lb["sigma"][other]),
+                    la["sigma"], lb["sigma"], coefficient_coherence(spectra["a"][at["a"]], spectra["b"][at["b"]], rotation, n),
+                    la["centroid"], lb["centroid"], arm(la["arm"], la["sigma"]), arm(lb["arm"], lb["sigma"]),
                 ])
-                stat = net[use]
-                if scoring is not None:
+                if scoring is None:
+                    stat = (la["sigma"] + lb["sigma"]) / root2
+                else:
                     mu, sd, beta = scoring[1 - fold]
                     stat = beta[0] + ((f - mu) / sd) @ beta[1:]
                 keep = stat > floor
                 if keep.any():
                     d = pd.DataFrame(f[keep], columns=list(FEATURES))
-                    d["i"], d["j"], d["stat"] = pos_a[use][keep], j[use][keep], stat[keep]
-                    d["span_start"], d["lag_index"], d["k"] = float(key[0]), index, k
+                    for c in ("span_start", "lag_index", "k", "i", "j"):
+                        d[c] = some[c].to_numpy()[keep]
+                    d["stat"] = stat[keep]
                     out.append(d[columns])
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in columns})
 
-    keys = ["span_start", "ablk", "lblk"]
-    kept = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, _DENSE_OUT)
-    return cluster_local_max(kept, "stat", half)
+    return windows.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(run, _DENSE_OUT)
 
 
 def fit_lr_two_fold(
@@ -272,11 +332,7 @@ def fit_lr_two_fold(
         noise = dense_slides(own(grid), plan, stride_s, first_bin, n, lag_samples, floor, half).select(*FEATURES)
         signal = own(foreground).select(*lr_features())
         rows = noise.withColumn("label", F.lit(0)).unionByName(signal.withColumn("label", F.lit(1)))
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            models.append(fit_lr(rows, fold=g, norm=tuple(norms[g])))
-        finally:
-            rows.unpersist()
+        models.append(fit_lr(rows, fold=g, norm=tuple(norms[g])))
     return models
 
 

@@ -210,14 +210,23 @@ def fold_join(spark, d):
     return ranking.fold_join(grid, folds.alternating_folds(grid)).groupBy("span_start", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
+ROUNDED_MODEL = "list_transform({c}, lambda x: round(x, 6) + 0.0) AS {c}"
+MODEL_COLUMNS = ", ".join(ROUNDED_MODEL.format(c=c) for c in ("mu", "sd", "beta"))
+
+
 def model_rows(fitted, rows):
     """A fit as rows, beside the size of the table it came from."""
     spark = rows.sparkSession
-    frame = ranking.models_frame(spark, fitted).select("fold", "mu", "sd", "beta")
-    return frame.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n_rows"))))
+    frame = ranking.models_frame(spark, fitted)
+    rounded = [F.transform(c, lambda x: F.round(x, 6)).alias(c) for c in ("mu", "sd", "beta")]
+    return frame.select("fold", *rounded).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n_rows"))))
+
 
+LABELLED = f"""lab AS (SELECT CAST(label AS INTEGER) AS label, sigma_a, sigma_b, coherence, centroid_a, centroid_b,
+  {GATED_A} AS gated_arm_a, {GATED_B} AS gated_arm_b FROM feat)"""
 
-@query("fit_lr")
+
+@query("fit_lr", f"WITH {V6}, {LABELLED}, {v.newton_sql('lab', 'fitted')} SELECT CAST(0 AS INTEGER) AS fold, {MODEL_COLUMNS}, n_rows FROM fitted")
 def fit_lr(spark, d):
     f = v.ranked_features(spark, d)
     rows = f.select(F.col("label").cast("int").alias("label"), *X.lr_features())
@@ -248,13 +257,27 @@ def ranked_background(spark, d, keep_above=-2.0):
     return settle(bg), plan, assignment
 
 
-@query("lr_background")
+@query("lr_background", f"""WITH {v.V7} SELECT lag_index, count(*) AS n, max(loglr) AS loudest, avg(loglr) AS mean, avg(coherence) AS coherence
+FROM ranked_bg GROUP BY 1""", {"loudest": 6, "mean": 6, "coherence": 6})
 def lr_background(spark, d):
     bg, _, _ = ranked_background(spark, d)
-    return bg.groupBy("lag_index").agg(F.count(F.lit(1)).alias("n"), F.max("loglr").alias("loudest"))
+    return bg.groupBy("lag_index").agg(
+        F.count(F.lit(1)).alias("n"), F.max("loglr").alias("loudest"), F.avg("loglr").alias("mean"), F.avg("coherence").alias("coherence"))
+
+
+#: Thresholds of the ranked background: 23 lags of every span's day.
+RANKED_THRESHOLDS = """yr AS (SELECT count(*) * 1800.0::DOUBLE * 23 / (365.25 * 86400) AS t FROM grid),
+  asked AS (SELECT CAST(f AS DOUBLE) AS far_per_yr, greatest(CAST(floor(f * t / 4) AS BIGINT), 1) AS n_allowed
+    FROM yr CROSS JOIN (VALUES (100.0), (30.0), (10.0)) x(f) WHERE f >= 4 / t),
+  by_rank AS (SELECT loglr, row_number() OVER (ORDER BY loglr DESC) AS rk, count(*) OVER () AS n_background FROM ranked_bg),
+  thr AS (SELECT far_per_yr, n_allowed, n_background, loglr AS threshold, n_allowed < n_background AS resolved
+    FROM asked JOIN by_rank ON rk = least(n_allowed, n_background))"""
 
 
-@query("lr_far")
+@query("lr_far", f"""WITH {v.V7}, {v.V7_FOREGROUND}, {RANKED_THRESHOLDS}
+SELECT far_per_yr, threshold, count(*) AS n_total, count(*) FILTER (loglr > threshold) AS n_found,
+  count(*) FILTER (loglr > threshold) / CAST(count(*) AS DOUBLE) AS efficiency, {wilson('count(*) FILTER (loglr > threshold)', 'count(*)')}
+FROM scored_fg CROSS JOIN thr GROUP BY 1, 2""", {"threshold": 6, **ROUND})
 def lr_far(spark, d):
     bg, plan, assignment = ranked_background(spark, d)
     fg = reports.score_foreground(v.feature_foreground(spark, d), assignment, models(spark))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from farspark.functions import expressions as X
 from farspark.operators import folds, segments as S, slides
+from farspark.operators.bounded import pairs_above
 from farspark.operators.settle import settle
 from farspark.plans import reports
 from suite import views as v
@@ -299,6 +302,13 @@ def run_slides(spark, d):
     return out.select("lag_index", "span_start", "i", "net_sigma")
 
 
+@query("pairs_above", f"WITH {V2_SLID} SELECT span_start, lag_index, k, i, j FROM pairs WHERE net_sigma > 2.0")
+def bounded_pairs(spark, d):
+    parts = [(F.col(f"sigma_{c}") / math.sqrt(2.0)).alias(f"part_{c}") for c in "ab"]
+    rows = standard_grid(spark, d).select("span_start", "n", "i", *parts, F.lit(NET_FLOOR).alias("need"))
+    return pairs_above(rows, plan(), STRIDE_S, HALF, width=16).filter(F.col("lag_index") > 0)
+
+
 @query("wanted_windows", f"""WITH {V2_SLID} SELECT span_start, 'a' AS channel, i AS idx FROM triggers UNION
 SELECT span_start, 'b', j FROM triggers""")
 def wanted_windows(spark, d):

@@ -80,7 +80,21 @@ def test_fit_meets_the_optimality_conditions(labelled):
     grad = z.T @ (w * (1 / (1 + np.exp(-(z @ b))) - y))
     grad[1:] += 2 * ranking.RIDGE * b[1:]
     free = [i for i in range(8) if i != 3]
-    assert np.abs(grad[free]).max() / len(y) < 1e-5 and b[3] == 0.0 and grad[3] > 0
+    assert np.abs(grad[free]).max() / len(y) < 1e-9 and b[3] == 0.0 and grad[3] > 0
+
+
+@pytest.mark.parametrize("shift, split", [(6.0, 0.5), (0.0, 0.02)])
+def test_fit_of_nearly_separate_and_of_unequal_classes(spark, shift, split):
+    rng = np.random.default_rng(9)
+    y = (rng.uniform(size=1500) < split).astype(int)
+    x = rng.normal(size=(1500, 7)) + shift * y[:, None]
+    df = spark.createDataFrame([(int(b), *map(float, a)) for a, b in zip(x, y)], "label int, " + ", ".join(f"{f} double" for f in X.FEATURES))
+    b = np.array(ranking.fit_lr(df).beta)
+    z = np.column_stack([np.ones(len(y)), (x - x.mean(0)) / (x.std(0) + 1e-9)])
+    w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    grad = z.T @ (w * (1 / (1 + np.exp(-(z @ b))) - y)) + 2 * ranking.RIDGE * np.r_[0, b[1:]]
+    grad[(np.arange(8) == 3) & (b == 0) & (grad > 0)] = 0
+    assert np.abs(grad).max() / len(y) < 1e-9 and b[3] >= 0
 
 
 def test_fit_needs_both_classes(labelled):

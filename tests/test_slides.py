@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from farspark.errors import RefusedError
 from farspark.functions import expressions as X
+from farspark.operators.bounded import pairs_above
 from farspark.operators import ranking, slides
 from farspark.plans import reports
 
@@ -112,10 +113,14 @@ def dense_numbers(seed=3, spans=2, n=37):
 
 @pytest.fixture(scope="module")
 def dense_grid(spark):
+    return dense_frame(spark, dense_numbers(), 37)
+
+
+def dense_frame(spark, data, n):
     rows = []
-    for s, d in dense_numbers().items():
-        for i in range(37):
-            row = [s, 37, int(s) % 2, i]
+    for s, d in data.items():
+        for i in range(n):
+            row = [s, n, int(s) % 2, i]
             for c in "ab":
                 x = d[c]
                 row += [float(x["sigma"][i]), float(x["centroid"][i]), float(x["arm"][i]), x["z"][i].real.tolist(), x["z"][i].imag.tolist()]
@@ -125,16 +130,16 @@ def dense_grid(spark):
     return spark.createDataFrame(rows, cols)
 
 
-def dense_brute(models, floor, lags, step, half):
+def dense_brute(models, floor, lags, step, half, data=None, size=37):
     tau, f = np.arange(-LAGS, LAGS + 1), np.arange(3, 3 + BINS)
     turn = np.exp(2j * np.pi * np.outer(f, tau) / WINDOW)
     gate = lambda g, s: np.clip(g, -6, 6) * np.clip(s / 3, 0, 1)
     out = {}
-    for s, d in dense_numbers().items():
+    for s, d in (data or dense_numbers()).items():
         a, b = d["a"], d["b"]
         for idx in range(1, lags + 1):
             k = (idx + 1) // 2 * step * (1 if idx % 2 else -1)
-            j = (np.arange(37) - k) % 37
+            j = (np.arange(size) - k) % size
             za, zb = a["z"], b["z"][j]
             coh = np.abs(4 * ((za * zb.conj()) @ turn).real / WINDOW).max(1) / (
                 2 * ((np.abs(za) ** 2).sum(1) + (np.abs(zb) ** 2).sum(1)) / WINDOW)
@@ -142,7 +147,7 @@ def dense_brute(models, floor, lags, step, half):
                                      gate(a["arm"], a["sigma"]), gate(b["arm"][j], b["sigma"][j])])
             m = models[1 - int(s) % 2]
             stat = m.beta[0] + ((feats - np.array(m.mu)) / np.array(m.sd)) @ np.array(m.beta[1:])
-            for i in range(37):
+            for i in range(size):
                 if stat[i] > floor and stat[i] >= stat[max(0, i - half) : i + half + 1].max():
                     out[s, idx, i, int(j[i])] = stat[i]
     return out
@@ -157,6 +162,45 @@ def test_dense_slides_equal_brute_force_for_any_blocking(dense_grid, blocks):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_pairs_that_no_coherence_can_lift_are_passed_over(spark, seed):
+    """Also where coefficients are negative, the bound loses nothing; at floor -2 under a tenth of the pairs is transformed."""
+    models = {g: ranking.Model(g, (0, 0, 0.3, 200, 200, 0, 0), (1, 1, 0.2, 60, 60, 2, 2), beta) for g, beta in enumerate(
+        [(-9.0, 1.5, 1.4, 0.6, -0.3, 0.2, 0.3, 0.4), (-9.0, 1.6, -1.2, -0.7, 0.3, -0.2, -0.5, 0.4)])}
+    data = dense_numbers(seed, spans=3, n=150)
+    grid = dense_frame(spark, data, 150)
+    plan = slides.SlidePlan(30, 3.0)
+    pairs = pairs_above(ranking.bound_parts(grid, -2.0, models), plan, 1.0, 2, width=16)
+    assert 0 < pairs.count() < 0.1 * 30 * 3 * 150
+    out = ranking.dense_slides(grid, plan, 1.0, 3, WINDOW, LAGS, -2.0, 2, models, 32, 7, width=16)
+    want = dense_brute(models, -2.0, 30, 3, 2, data, 150)
+    got = {(r["span_start"], r["lag_index"], r["i"], r["j"]): r["stat"] for r in out.collect()}
+    assert want and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+@pytest.mark.parametrize("width, zero, per_span", [(4, False, False), (7, True, False), (64, False, True), (1, True, True)])
+def test_pairs_above_equal_all_pairs(spark, width, zero, per_span):
+    rng = np.random.default_rng(width)
+    sizes = {0.0: 45, 1.0: 7, 2.0: 2, 3.0: 23}
+    nan = float("nan")
+    data = {s: (rng.normal(size=n), rng.normal(size=n)) for s, n in sizes.items()}
+    data[0.0][0][3] = nan
+    rows = [(s, n, i, float(data[s][0][i]), None if (s, i) == (3.0, 5) else float(data[s][1][i]), 0.7 + s / 10) for s, n in sizes.items() for i in range(n)]
+    frame = spark.createDataFrame(rows, "span_start double, n bigint, i bigint, part_a double, part_b double, need double")
+    plan = slides.SlidePlan(21, 2.0, include_zero=zero, per_span=per_span)
+    got = sorted(map(tuple, pairs_above(frame, plan, 1.0, 1, width).collect()))
+    want = []
+    for s, n in sizes.items():
+        most = min(21, max(0, n // 2 - 1)) if per_span else 21
+        for idx in range(0 if zero else 1, most + 1):
+            k = (idx + 1) // 2 * 2 * (1 if idx % 2 else -1)
+            for i in range(n):
+                j = (i - k) % n
+                if n > abs(k) and n > 2 and (s, j) != (3.0, 5) and data[s][0][i] + data[s][1][j] > 0.7 + s / 10:
+                    want.append((s, idx, k, i, j))
+    assert got == sorted(want) and want
+
+
 def test_dense_net_sigma_equals_the_pruned_slide(dense_grid):
     plan = slides.SlidePlan(16, 2.0)
     dense = ranking.dense_slides(dense_grid, plan, 1.0, 3, WINDOW, LAGS, 0.8, 2, a_block=8, lag_block=5)

@@ -17,6 +17,7 @@ from farspark.functions.kernels import coefficient_coherence, lag_rotation
 from farspark.operators.bounded import WIDTH, pairs_above, with_slack
 from farspark.operators.settle import settle
 from farspark.operators.slides import SlidePlan, cluster_local_max
+from farspark.operators.sums import array_sum
 from farspark.schemas import names
 
 RIDGE = 1e-3
@@ -130,27 +131,23 @@ def fit_lr(rows: DataFrame, label: str = "label", fold: int = 0, norm=None, feat
         raise RefusedError("a fit needs rows of both classes")
     mu = tuple(moments[f"m_{f}"] for f in features)
     sd = tuple(moments[f"s_{f}"] + 1e-9 for f in features)
-    weight = F.when(F.col("label") == 1, n / (2.0 * n1)).otherwise(n / (2.0 * (n - n1)))
-    z = [F.lit(1.0), *[(F.col(f) - F.lit(m)) / F.lit(s) for f, m, s in zip(features, mu, sd)]]
-    size = len(z)
-    upper = [(i, j) for i in range(size) for j in range(i, size)]
+    size = len(features) + 1
+    centre, scale, weights = np.array(mu), np.array(sd), np.array([n / (2.0 * (n - n1)), n / (2.0 * n1)])
     ridge = np.array([0.0, *[2.0 * RIDGE] * len(features)])
     low = np.array([-np.inf, *[0.0 if f == "coherence" else -np.inf for f in features]])
-    wide = d.select("label", weight.alias("w"), *[c.alias(f"z{i}") for i, c in enumerate(z)])
 
     def sums(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        margin = reduce(add, [F.lit(float(b)) * F.col(f"z{i}") for i, b in enumerate(beta)])
-        p = wide.withColumn("m", margin).withColumn("p", 1.0 / (1.0 + F.exp(-F.col("m"))))
-        p = p.withColumn("g", F.col("w") * (F.col("p") - F.col("label"))).withColumn("h", F.col("w") * F.col("p") * (1.0 - F.col("p")))
-        loss = F.col("w") * (F.log1p(F.exp(-F.abs("m"))) + F.greatest("m", F.lit(0.0)) - F.col("label") * F.col("m"))
-        row = p.agg(
-            F.sum(loss), *[F.sum(F.col("g") * F.col(f"z{i}")) for i in range(size)],
-            *[F.sum(F.col("h") * F.col(f"z{i}") * F.col(f"z{j}")) for i, j in upper]).first()
-        hessian = np.diag(ridge)
-        for (i, j), value in zip(upper, row[1 + size:]):
-            hessian[i, j] += value
-            hessian[j, i] = hessian[i, j]
-        return row[0] + 0.5 * float(ridge @ beta**2), np.array(row[1 : 1 + size]) + ridge * beta, hessian
+        def kernel(rows: np.ndarray) -> np.ndarray:
+            y = rows[:, 0]
+            z = np.column_stack([np.ones(len(y)), (rows[:, 1:] - centre) / scale])
+            w, m = weights[(y == 1).astype(int)], z @ beta
+            p = np.exp(-np.logaddexp(0.0, -m))
+            loss = w @ (np.logaddexp(0.0, m) - y * m)
+            return np.concatenate([[loss], z.T @ (w * (p - y)), ((z * (w * p * (1 - p))[:, None]).T @ z).reshape(-1)])
+
+        got = array_sum(d, kernel, 1 + size + size * size)
+        hessian = got[1 + size :].reshape(size, size) + np.diag(ridge)
+        return got[0] + 0.5 * float(ridge @ beta**2), got[1 : 1 + size] + ridge * beta, hessian
 
     beta = np.zeros(size)
     loss, gradient, hessian = sums(beta)
@@ -159,13 +156,13 @@ def fit_lr(rows: DataFrame, label: str = "label", fold: int = 0, norm=None, feat
         if np.abs(left).max() <= KKT * n:
             break
         step = _bounded_step(gradient, hessian, beta, low)
-        scale = 1.0
+        share = 1.0
         while True:
-            tried = np.maximum(beta + scale * step, low)
+            tried = np.maximum(beta + share * step, low)
             new_loss, new_gradient, new_hessian = sums(tried)
-            if new_loss <= loss + 1e-12 * abs(loss) or scale < 1e-6:
+            if new_loss <= loss + 1e-12 * abs(loss) or share < 1e-6:
                 break
-            scale /= 4  # the model's least point lies too far out
+            share /= 4  # the model's least point lies too far out
         beta, loss, gradient, hessian = tried, new_loss, new_gradient, new_hessian
     return Model(fold, mu, sd, tuple(map(float, beta)), norm)
 

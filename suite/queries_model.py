@@ -210,7 +210,7 @@ def fold_join(spark, d):
     return ranking.fold_join(grid, folds.alternating_folds(grid)).groupBy("span_start", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-ROUNDED_MODEL = "list_transform({c}, lambda x: round(x, 6) + 0.0) AS {c}"
+ROUNDED_MODEL = "list_transform({c}, lambda x: round(x, 4) + 0.0) AS {c}"
 MODEL_COLUMNS = ", ".join(ROUNDED_MODEL.format(c=c) for c in ("mu", "sd", "beta"))
 
 
@@ -218,7 +218,7 @@ def model_rows(fitted, rows):
     """A fit as rows, beside the size of the table it came from."""
     spark = rows.sparkSession
     frame = ranking.models_frame(spark, fitted)
-    rounded = [F.transform(c, lambda x: F.round(x, 6)).alias(c) for c in ("mu", "sd", "beta")]
+    rounded = [F.transform(c, lambda x: F.round(x, 4)).alias(c) for c in ("mu", "sd", "beta")]
     return frame.select("fold", *rounded).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n_rows"))))
 
 
@@ -240,12 +240,19 @@ def fitted(spark, d):
     return reports.lr_fit(settle(v.feature_grid(spark, d)), v.feature_foreground(spark, d), v.STRIDE_S, BAND, 8, v.STEP_S, v.CLUSTER_S)
 
 
-@query("fit_lr_two_fold")
+@query("fit_lr_two_fold", f"WITH {v.TWO_FOLD} SELECT fold, {MODEL_COLUMNS}, (SELECT count(*) FROM lineitem) AS n_rows FROM models")
 def fit_lr_two_fold(spark, d):
     return model_rows(fitted(spark, d).models, v.feature_foreground(spark, d))
 
 
-@query("lr_fit")
+_HELD = "m.beta[1] + " + " + ".join(f"m.beta[{i + 2}] * ({f} - m.mu[{i + 1}]) / m.sd[{i + 1}]" for i, f in enumerate(
+    ("sigma_a", "sigma_b", "coherence", "centroid_a", "centroid_b", f"({GATED_A})", f"({GATED_B})")))
+
+
+@query("lr_fit", f"""WITH {v.TWO_FOLD}, held AS (SELECT i.* , folded.fold, (score_a - mu_a) / sd_a AS sigma_a, (score_b - mu_b) / sd_b AS sigma_b
+    FROM injected i JOIN folded USING (span_start) JOIN fnorm ON fnorm.fold = 1 - folded.fold),
+  s AS (SELECT held.fold, {_HELD} AS loglr FROM held JOIN models m ON m.fold = 1 - held.fold)
+SELECT fold, quantile_cont(loglr, 0.5) AS median_loglr FROM s GROUP BY 1""", {"median_loglr": 5})
 def lr_fit(spark, d):
     return fitted(spark, d).sanity
 

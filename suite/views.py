@@ -240,35 +240,44 @@ def feature_foreground(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The grid's coefficients, every slid pair's coherence and ratio, clustered: what a ranked background must equal.
-_SLIM = "CAST(embedding AS DOUBLE[])"
-V7 = f"""{V2},
-emb AS (SELECT vec_id, {_SLIM}[1:32] AS re, {_SLIM}[33:64] AS im FROM embeddings),
+_EMB = "CAST(embedding AS DOUBLE[])"
+FGRID = f"""{V2},
+emb AS (SELECT vec_id, {_EMB}[1:32] AS re, {_EMB}[33:64] AS im FROM embeddings),
 folded AS (SELECT span_start, CAST((row_number() OVER (ORDER BY span_start) - 1) % 2 AS INTEGER) AS fold FROM (SELECT DISTINCT span_start FROM grid)),
-fgrid AS (SELECT g.span_start, g.i, f.fold, (g.score_a - 300) / 250 AS sa, (g.score_b - 310) / 240 AS sb, a.re AS re_a, a.im AS im_a, b.re AS re_b, b.im AS im_b,
+fgrid AS (SELECT g.span_start, g.i, f.fold, g.score_a, g.score_b, a.re AS re_a, a.im AS im_a, b.re AS re_b, b.im AS im_b,
   100 + 90 * abs(a.re[1]) AS ca, 100 + 90 * abs(b.re[1]) AS cb, a.im[1] AS ga, b.im[1] AS gb,
   list_dot_product(a.re, a.re) + list_dot_product(a.im, a.im) AS ea, list_dot_product(b.re, b.re) + list_dot_product(b.im, b.im) AS eb
   FROM grid g JOIN folded f USING (span_start)
   JOIN emb a ON a.vec_id = CAST(g.span_start / {STRIDE_S} + g.i AS BIGINT) % (SELECT max(vec_id) FROM embeddings)
   JOIN emb b ON b.vec_id = a.vec_id + 1),
 turns AS (SELECT t, list_transform(range(32), lambda f: cos(2 * pi() * (f + {FIRST_BIN}) * t / {WINDOW_N})) AS c,
-  list_transform(range(32), lambda f: sin(2 * pi() * (f + {FIRST_BIN}) * t / {WINDOW_N})) AS s FROM range(-{LAG_SAMPLES}, {LAG_SAMPLES} + 1) r(t)),
-slid AS (SELECT a.span_start, a.fold, l.lag_index, a.i, b.i AS j, a.sa AS sigma_a, b.sb AS sigma_b, a.ca AS centroid_a, b.cb AS centroid_b, a.ga AS arm_a, b.gb AS arm_b,
-  a.ea + b.eb AS energy, list_transform(list_zip(a.re_a, a.im_a, b.re_b, b.im_b), lambda z: z[1] * z[3] + z[2] * z[4]) AS zr,
+  list_transform(range(32), lambda f: sin(2 * pi() * (f + {FIRST_BIN}) * t / {WINDOW_N})) AS s FROM range(-{LAG_SAMPLES}, {LAG_SAMPLES} + 1) r(t))"""
+
+
+def slid_sql(grid: str, n_lags: int) -> str:
+    """CTE `every`: the features of every slid pair of `grid`, which has sa and sb beside the columns of fgrid."""
+    return f"""slid AS (SELECT a.span_start, a.fold, l.lag_index, a.i, b.i AS j, a.sa AS sigma_a, b.sb AS sigma_b, a.ca AS centroid_a, b.cb AS centroid_b, a.ga AS arm_a,
+  b.gb AS arm_b, a.ea + b.eb AS energy, list_transform(list_zip(a.re_a, a.im_a, b.re_b, b.im_b), lambda z: z[1] * z[3] + z[2] * z[4]) AS zr,
   list_transform(list_zip(a.re_a, a.im_a, b.re_b, b.im_b), lambda z: z[2] * z[3] - z[1] * z[4]) AS zi
-  FROM fgrid a CROSS JOIN (SELECT idx AS lag_index, (CASE WHEN idx % 2 = 1 THEN 1 ELSE -1 END) * ((idx + 1) // 2) * 2 AS k FROM range(1, 24) t(idx)) l
-  JOIN fgrid b ON b.span_start = a.span_start AND b.i = (((a.i - l.k) % 48) + 48) % 48),
+  FROM {grid} a CROSS JOIN (SELECT idx AS lag_index, (CASE WHEN idx % 2 = 1 THEN 1 ELSE -1 END) * ((idx + 1) // 2) * 2 AS k FROM range(1, {n_lags + 1}) t(idx)) l
+  JOIN {grid} b ON b.span_start = a.span_start AND b.i = (((a.i - l.k) % 48) + 48) % 48),
 coh AS (SELECT span_start, lag_index, i, max(abs(list_dot_product(zr, c) - list_dot_product(zi, s))) AS top FROM slid CROSS JOIN turns GROUP BY 1, 2, 3),
-every AS (SELECT slid.* EXCLUDE (zr, zi), 4.0 / {WINDOW_N} * top / (2.0 / {WINDOW_N} * energy + 1e-30) AS coherence FROM slid JOIN coh USING (span_start, lag_index, i)),
+every AS (SELECT slid.* EXCLUDE (zr, zi), 4.0 / {WINDOW_N} * top / (2.0 / {WINDOW_N} * energy + 1e-30) AS coherence FROM slid JOIN coh USING (span_start, lag_index, i))"""
+
+
+_NEAR = "PARTITION BY span_start, lag_index ORDER BY i RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING"
+
+#: Every slid pair's coherence and ratio, cut and clustered: what a ranked background must equal.
+V7 = f"""{FGRID}, sgrid AS (SELECT *, (score_a - 300) / 250 AS sa, (score_b - 310) / 240 AS sb FROM fgrid), {slid_sql('sgrid', 23)},
 loud AS (SELECT * FROM (SELECT *, {LOGLR} AS loglr FROM every) WHERE loglr > -2.0),
-ranked_bg AS (SELECT * FROM (SELECT *, max(loglr) OVER (PARTITION BY span_start, lag_index ORDER BY i RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS best FROM loud)
-  WHERE loglr >= best)"""
+ranked_bg AS (SELECT * FROM (SELECT *, max(loglr) OVER ({_NEAR}) AS best FROM loud) WHERE loglr >= best)"""
 
 #: The injected rows of `feature_foreground`, scored by the other fold's model.
-V7_FOREGROUND = f"""inj AS (SELECT ((SELECT min(epoch_us(ts) // 86400000000) FROM events) + l_orderkey % 30) * 86400.0 AS span_start,
-  (300 + 12 * l_quantity - 300) / 250 AS sigma_a, (300 + 6000 * l_discount - 310) / 240 AS sigma_b, l_tax + 0.1 AS coherence,
+INJECTED = """injected AS (SELECT ((SELECT min(epoch_us(ts) // 86400000000) FROM events) + l_orderkey % 30) * 86400.0 AS span_start,
+  300 + 12 * l_quantity AS score_a, 300 + 6000 * l_discount AS score_b, l_tax + 0.1 AS coherence,
   100 + 4 * l_quantity AS centroid_a, CAST(100 + 25 * l_linenumber AS DOUBLE) AS centroid_b, CAST(l_linenumber AS DOUBLE) - 3 AS arm_a, l_quantity / 10 - 3 AS arm_b,
-  6 + l_quantity * 0.6 AS network_snr, l_extendedprice / 25 + 10 AS distance_mpc FROM lineitem),
+  6 + l_quantity * 0.6 AS network_snr, l_extendedprice / 25 + 10 AS distance_mpc FROM lineitem)"""
+V7_FOREGROUND = f"""{INJECTED}, inj AS (SELECT *, (score_a - 300) / 250 AS sigma_a, (score_b - 310) / 240 AS sigma_b FROM injected),
 scored_fg AS (SELECT *, {LOGLR} AS loglr FROM inj JOIN folded USING (span_start))"""
 
 
@@ -277,36 +286,55 @@ scored_fg AS (SELECT *, {LOGLR} AS loglr FROM inj JOIN folded USING (span_start)
 FEATURE_NAMES = ("sigma_a", "sigma_b", "coherence", "centroid_a", "centroid_b", "gated_arm_a", "gated_arm_b")
 
 
-def newton_sql(rows: str, name: str, steps: int = 12) -> str:
-    """CTE `<name>` (mu, sd, beta) of a balanced logistic regression on `rows` (label 0 or 1, the features), by unrolled Newton steps.
+def newton_sql(rows: str, name: str, steps: int = 19) -> str:
+    """CTE `<name>` (mu, sd, beta, n_rows) of a balanced logistic regression on `rows` (label 0 or 1, the features), by unrolled Newton steps.
 
-    Each step adds up gradient and second derivatives and solves the eight equations by elimination. The bound on the
-    coherence coefficient is left out, so it must not be active.
+    Each step adds up gradient and second derivatives and solves the eight equations by elimination. The coefficient of coherence is
+    held at its bound, zero; where its gradient then points inwards the bound is not active and the coefficients come out NULL.
     """
     size = len(FEATURE_NAMES) + 1
+    wide, held = size + 1, FEATURE_NAMES.index("coherence") + 1
     moments = ", ".join(f"avg({f}) AS m{i}, stddev_pop({f}) + 1e-9 AS s{i}" for i, f in enumerate(FEATURE_NAMES))
-    x = ", ".join(["1.0::DOUBLE", *(f"({f} - m{i}) / s{i}" for i, f in enumerate(FEATURE_NAMES))])
+    x = ", ".join(["1.0::DOUBLE AS x0", *(f"({f} - m{i}) / s{i} AS x{i + 1}" for i, f in enumerate(FEATURE_NAMES))])
+    margin = " + ".join(f"b[{i + 1}] * x{i}" for i in range(size))
     out = [
-        f"{name}_m AS (SELECT count(*) AS n, sum(label) AS n1, {moments} FROM {rows})",
-        f"""{name}_z AS (SELECT CAST(label AS DOUBLE) AS y, CASE WHEN label = 1 THEN n / (2.0::DOUBLE * n1) ELSE n / (2.0::DOUBLE * (n - n1)) END AS w, [{x}] AS x
-  FROM {rows} CROSS JOIN {name}_m)""",
+        f"{rows}_m AS (SELECT count(*) AS n, sum(label) AS n1, {moments} FROM {rows})",
+        f"""{rows}_z AS (SELECT CAST(label AS DOUBLE) AS y, CASE WHEN label = 1 THEN n / (2.0::DOUBLE * n1) ELSE n / (2.0::DOUBLE * (n - n1)) END AS w, {x}
+  FROM {rows} CROSS JOIN {rows}_m)""",
         f"{name}_b0 AS (SELECT [{', '.join(['0.0::DOUBLE'] * size)}] AS b)",
     ]
-    wide = size + 1
     for k in range(1, steps + 1):
         cells = []
         for i in range(size):
             ridge = "0.002" if i else "0.0"
-            cells += [f"sum(w * p * (1 - p) * x[{i + 1}] * x[{j + 1}])" + (f" + {ridge}" if i == j else "") for j in range(size)]
-            cells.append(f"-(sum(w * (p - y) * x[{i + 1}]) + {ridge} * any_value(b)[{i + 1}])")
-        out.append(f"""{name}_e{k}_0 AS (SELECT any_value(b) AS b, [{', '.join(cells)}] AS m
-  FROM (SELECT *, 1 / (1 + exp(-list_dot_product(x, b))) AS p FROM {name}_z CROSS JOIN {name}_b{k - 1}))""")
+            for j in range(size):
+                if held in (i, j):
+                    cells.append("1.0::DOUBLE" if i == j else "0.0::DOUBLE")
+                else:
+                    cells.append(f"sum(h * x{i} * x{j})" + (f" + {ridge}" if i == j else ""))
+            cells.append("0.0::DOUBLE" if i == held else f"-(sum(g * x{i}) + {ridge} * any_value(b)[{i + 1}])")
+        out.append(f"""{name}_e{k}_0 AS (SELECT any_value(b) AS b, [{', '.join(cells)}] AS m, sum(g * x{held}) AS pull
+  FROM (SELECT *, w * (p - y) AS g, w * p * (1 - p) AS h FROM (SELECT *, 1 / (1 + exp(-({margin}))) AS p FROM {rows}_z CROSS JOIN {name}_b{k - 1})))""")
         for pivot in range(size):
-            at = f"m[{pivot * wide + pivot + 1}]"
-            row = f"m[{pivot * wide + 1} + t % {wide}] / {at}"
-            out.append(f"""{name}_e{k}_{pivot + 1} AS (SELECT b, list_transform(range({size * wide}), lambda t: CASE WHEN t // {wide} = {pivot} THEN {row}
+            row = f"m[{pivot * wide + 1} + t % {wide}] / m[{pivot * wide + pivot + 1}]"
+            out.append(f"""{name}_e{k}_{pivot + 1} AS (SELECT b, pull, list_transform(range({size * wide}), lambda t: CASE WHEN t // {wide} = {pivot} THEN {row}
   ELSE m[t + 1] - m[(t // {wide}) * {wide} + {pivot + 1}] * {row} END) AS m FROM {name}_e{k}_{pivot})""")
-        out.append(f"{name}_b{k} AS (SELECT list_transform(range({size}), lambda t: b[t + 1] + m[t * {wide} + {wide}]) AS b FROM {name}_e{k}_{size})")
+        out.append(f"{name}_b{k} AS (SELECT list_transform(range({size}), lambda t: b[t + 1] + m[t * {wide} + {wide}]) AS b, pull FROM {name}_e{k}_{size})")
     mu, sd = (", ".join(f"{c}{i}" for i in range(len(FEATURE_NAMES))) for c in "ms")
-    out.append(f"{name} AS (SELECT [{mu}] AS mu, [{sd}] AS sd, b AS beta, n AS n_rows FROM {name}_b{steps} CROSS JOIN {name}_m)")
+    out.append(f"""{name} AS (SELECT [{mu}] AS mu, [{sd}] AS sd, CASE WHEN pull >= 0 THEN b END AS beta, n AS n_rows
+  FROM {name}_b{steps} CROSS JOIN {rows}_m)""")
     return ", ".join(out)
+
+
+_PER_FOLD = ("sigma_a", "sigma_b", "coherence", "centroid_a", "centroid_b", f"{GATED_A} AS gated_arm_a", f"{GATED_B} AS gated_arm_b")
+
+#: Two models, each on noise pairs of its own fold's spans (8 lags, net sigma above 0, clustered) and the rows injected there.
+TWO_FOLD = f"""{FGRID}, {INJECTED},
+fnorm AS (SELECT fold, avg(score_a) AS mu_a, stddev_pop(score_a) AS sd_a, avg(score_b) AS mu_b, stddev_pop(score_b) AS sd_b FROM fgrid GROUP BY 1),
+ngrid AS (SELECT g.*, (score_a - mu_a) / sd_a AS sa, (score_b - mu_b) / sd_b AS sb FROM fgrid g JOIN fnorm USING (fold)), {slid_sql('ngrid', 8)},
+net AS (SELECT * FROM (SELECT *, (sigma_a + sigma_b) / sqrt(2) AS net FROM every) WHERE net > 0),
+noise AS (SELECT * FROM (SELECT *, max(net) OVER ({_NEAR}) AS best FROM net) WHERE net >= best),
+own AS (SELECT i.*, fold, (score_a - mu_a) / sd_a AS sigma_a, (score_b - mu_b) / sd_b AS sigma_b FROM injected i JOIN folded USING (span_start) JOIN fnorm USING (fold)),
+{", ".join(f"rows{g} AS (SELECT 0 AS label, {', '.join(_PER_FOLD)} FROM noise WHERE fold = {g} UNION ALL SELECT 1, {', '.join(_PER_FOLD)} FROM own WHERE fold = {g})" for g in (0, 1))},
+{newton_sql('rows0', 'model0')}, {newton_sql('rows1', 'model1')},
+models AS (SELECT CAST(0 AS INTEGER) AS fold, * EXCLUDE (n_rows) FROM model0 UNION ALL SELECT CAST(1 AS INTEGER), * EXCLUDE (n_rows) FROM model1)"""

@@ -31,7 +31,7 @@ BLOCK_BYTES = 1 << 21
 #: Terms a task of the first pass holds before it hands on what it has.
 HELD_TERMS = 200_000
 #: Numbers in the matrix of one cell of terms by all sources of a language.
-CELL_VALUES = 1 << 20
+CELL_VALUES = 1 << 15
 
 _LETTER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes of terms stay, capitals become small, all others become spaces. Beyond ASCII every byte belongs to a term.

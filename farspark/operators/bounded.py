@@ -7,14 +7,15 @@ numbers, then pair by pair inside the blocks that are left. No plan node holds a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from farspark.errors import RefusedError
 from farspark.operators.settle import settle
-from farspark.operators.slides import SlidePlan, span_lags
+from farspark.operators.slides import Selection, SlidePlan, cluster_local_max, span_lags, trigger_lookup
 
 #: Positions of a block.
 WIDTH = 512
@@ -117,3 +118,63 @@ def pairs_above(rows: DataFrame, plan: SlidePlan, stride_s: float, half: int = 0
             yield handed_on()
 
     return full.select("span_start", "n", "blk", "q", "need", "a", "b").mapInArrow(pairs, PAIRS)
+
+
+#: Shares of the points at which the parts' distributions are read, ever finer towards the loud end.
+_LEVELS = tuple(sorted({i / 40 for i in range(40)} | {1 - 10.0 ** -(i / 4) for i in range(4, 25)}))
+#: How many more pairs than wanted the first floor aims at, and each lower one.
+_AIM = 8
+
+
+def _pairs_over(rows: DataFrame, plan: SlidePlan, stride_s: float) -> Callable[[float], float]:
+    """Floor to expect so many pairs above, from the two parts' distributions as if they were independent."""
+    clean = lambda c: F.when(~F.isnan(c), F.col(c))
+    lags = span_lags(plan.n_lags, plan.step_s, stride_s) if plan.per_span else F.lit(plan.n_lags)
+    row = rows.agg(F.sum(lags.cast("double")).alias("pairs"), *[
+        F.percentile_approx(clean(c), [*_LEVELS, 1.0], 10_000).alias(c) for c in ("part_a", "part_b")]).first()
+    if not row["pairs"] or row["part_a"] is None or row["part_b"] is None:
+        return lambda n: -np.inf
+    share = np.diff([*_LEVELS, 1.0])
+    a, b = (np.array(row[c])[1:] for c in ("part_a", "part_b"))  # the upper end of each step, so that none is missed
+    sums = (a[:, None] + b[None, :]).reshape(-1)
+    order = np.argsort(-sums)
+    expected = np.cumsum((share[:, None] * share[None, :]).reshape(-1)[order]) * row["pairs"]
+
+    def floor(n: float) -> float:
+        at = int(np.searchsorted(expected, n))
+        return float(sums[order[at]]) if at < len(order) else -np.inf
+
+    return floor
+
+
+def loudest_slides(
+    grid: DataFrame, plan: SlidePlan, stride_s: float, selection: Selection, stat: str, wanted: int, half: int = 0,
+    a_cols: Sequence[str] = ("sigma_a",), b_cols: Sequence[str] = ("sigma_b",), width: int = WIDTH,
+) -> DataFrame:
+    """At least the `wanted` loudest rows of the selection over all slid pairs, every one above some floor; all rows if there are fewer.
+
+    Pairs come in the order of their bounds: those above a floor are formed, selected and clustered within `half` points of
+    their lag. A row above the floor is what it would be among all pairs, because whatever beats it is louder still. While there are
+    too few such rows, the floor goes down.
+    """
+    if selection.parts is None:
+        raise RefusedError("the selection states no bound of its statistic")
+    parts = [with_slack(c.cast("double")).alias(f"part_{x}") for c, x in zip(selection.parts, "ab")]
+    rows = settle(grid.select("span_start", "n", "i", *parts))
+    floor_for = _pairs_over(rows, plan, stride_s)
+    aim = float(_AIM * max(wanted, 1))
+    while True:
+        floor = floor_for(aim)
+        pairs = settle(pairs_above(rows.withColumn("need", F.lit(floor)), plan, stride_s, half, width))
+        formed = trigger_lookup(pairs, grid, a_cols, b_cols).select("span_start", "lag_index", "k", "i", "j", *a_cols, *b_cols)
+        chosen = selection(formed)
+        if "lag_index" not in chosen.columns:
+            raise RefusedError("the selection dropped lag_index, so its results cannot be tied to the plan's livetime")
+        if half:
+            chosen = cluster_local_max(chosen, stat, half)
+        if floor == -np.inf:
+            return settle(chosen)
+        sure = settle(chosen.filter(F.col(stat) > F.lit(floor)))
+        if sure.limit(wanted).count() >= wanted:
+            return sure
+        aim *= _AIM

@@ -7,7 +7,8 @@ from pyspark.errors import AnalysisException
 
 from farspark.errors import FoldLeakError
 from farspark.operators.ordered import Cells, ordinal, running
-from farspark.operators.segments import duration, overlap_groups
+from farspark.operators.segments import duration, numbered_starts
+from farspark.operators.settle import settle
 
 # Which phase may read which split.
 PERMISSIONS = {
@@ -49,42 +50,31 @@ def phase_permission(requests: DataFrame) -> DataFrame:
 # --- folds ----------------------------------------------------------------------------------
 
 
-def _blocks(segments: DataFrame, cells: Cells) -> DataFrame:
-    """One row per overlap block, with its livetime and the livetime before it."""
-    grouped = overlap_groups(segments, cells)
-    blocks = grouped.groupBy("grp").agg(
-        F.min("start_s").alias("block_start"), F.max("end_s").alias("block_end"), F.sum(duration()).alias("live")
-    )
-    timed = running(blocks, ["block_start"], {"live_before": ("sum", "live", False)}, cells)
-    return timed.withColumn("live_before", F.coalesce("live_before", F.lit(0.0)))
-
-
 def gps_grouped_folds(segments: DataFrame, n_folds: int = 2, cells: Cells | None = None) -> DataFrame:
     """Add `fold`: contiguous in time, about equal livetime, whole overlap blocks only.
 
     A block opens the next fold once the livetime before it has reached that fold's share, one fold at a time,
-    and must do so when only as many blocks as folds are left. That is a running minimum, not a loop: with
-    `c` the shares reached before block g, the fold is `min(c, g + min over earlier (c' - g'))`, raised to
-    `g + n_folds - blocks` at the end.
+    and must do so when only as many blocks as folds are left. With `c` the shares reached before block g, which never
+    fall, the fold is the least of c and of `c' + g - g'` over the last block g' of every smaller c', raised to
+    `g + n_folds - blocks` at the end; so a row per value of c is all that has to be known of the other blocks.
     """
     if n_folds < 2:
         raise ValueError(f"n_folds must be at least 2, got {n_folds}")
-    cells = cells or Cells.fit(segments, "start_s")
-    blocks = _blocks(segments, cells)
-    total = blocks.agg(F.count(F.lit(1)).alias("_n"), F.sum("live").alias("_live")).first()
-    if total["_n"] < n_folds:
-        raise ValueError(f"{total['_n']} independent blocks of time cannot fill {n_folds} folds")
-    share = total["_live"] / n_folds
+    starts = numbered_starts(segments, cells)
+    total = starts.agg(F.coalesce(F.sum("opens"), F.lit(0)).alias("blocks"), F.sum("live").alias("live")).first()
+    if total["blocks"] < n_folds:
+        raise ValueError(f"{total['blocks']} independent blocks of time cannot fill {n_folds} folds")
+    share = total["live"] / n_folds
     reached = F.lit(0)
     for k in range(1, n_folds):
         reached = reached + (F.col("live_before") >= F.lit(share * k)).cast("int")
-    stepped = running(
-        blocks.withColumn("_c", reached.cast("bigint")).withColumn("_slack", F.col("_c") - F.col("grp")),
-        ["block_start"], {"_low": ("min", "_slack", True)}, cells,
-    )
-    fold = F.greatest(F.least(F.col("_c"), F.col("grp") + F.col("_low")), F.col("grp") + n_folds - total["_n"])
-    assigned = stepped.select("grp", fold.cast("int").alias("fold"))
-    return overlap_groups(segments, cells).join(assigned, "grp").select(*segments.columns, "fold")
+    starts = starts.select("start_s", "grp", reached.cast("bigint").alias("_c"))
+    last = {r["_c"]: r["g"] for r in starts.groupBy("_c").agg(F.max("grp").alias("g")).collect()}  # at most n_folds rows
+    stepped = F.col("_c")
+    for c, g in last.items():
+        stepped = F.least(stepped, F.when(F.col("_c") > c, F.lit(c - g) + F.col("grp")).otherwise(F.col("_c")))
+    fold = F.greatest(stepped, F.col("grp") + n_folds - total["blocks"])
+    return segments.join(starts.select("start_s", fold.cast("int").alias("fold")), "start_s").select(*segments.columns, "fold")
 
 
 def fold_spans(folded: DataFrame) -> DataFrame:
@@ -136,27 +126,25 @@ def three_way_split(
         raise ValueError(f"no such split of the livetime: {shares}; check {', '.join(wrong)}")
     cells = cells or Cells.fit(training, "start_s")
     if unit == "block":
-        units = _blocks(training, cells).select("grp", "live_before", "live")
-        members = overlap_groups(training, cells)
-        keys = ["grp"]
+        units, keys = numbered_starts(training, cells), ["start_s"]
+        one = F.col("opens")
     else:
-        order = ["start_s", "end_s", "channel"]
-        live = ordinal(training.withColumn("live", duration()), order, cells, "grp")
-        live = running(live, order, {"live_before": ("sum", "live", False)}, cells)
-        units = live.withColumn("live_before", F.coalesce("live_before", F.lit(0.0)))
-        members, keys = training, order
+        keys = ["start_s", "end_s", "channel"]
+        live = training.select(*keys, duration().alias("live"), F.lit(1).cast("bigint").alias("_one"))
+        units = settle(running(live, keys, {"grp": ("sum", "_one", False), "live_before": ("sum", "live", False)}, cells).na.fill(0))
+        one = F.col("_one")
     fit_frac = shares["hpo_train"]
-    total = units.agg(F.sum("live").alias("live"), F.count(F.lit(1)).alias("n")).first()
-    if total["n"] < 3:
-        raise ValueError(f"{total['n']} blocks of training time cannot fill three splits")
-    below = lambda cut: F.count(F.when(F.col("live_before") < F.lit(cut), 1))
+    total = units.agg(F.sum("live").alias("live"), F.sum(one).alias("n")).first()
+    if (total["n"] or 0) < 3:
+        raise ValueError(f"{total['n'] or 0} blocks of training time cannot fill three splits")
+    below = lambda cut: F.sum(F.when(F.col("live_before") < F.lit(cut), one).otherwise(0))
     at = units.agg(
         below(total["live"] * fit_frac).alias("fit"), below(total["live"] * (fit_frac + val_frac)).alias("val")
     ).first()
     first = min(max(at["fit"], 1), total["n"] - 2)
     second = min(max(at["val"], first + 1), total["n"] - 1)
     split = F.when(F.col("grp") < first, "hpo_train").when(F.col("grp") < second, "hpo_val").otherwise("hpo_bg")
-    return members.join(units.select(*keys, split.alias("split")), keys).select(*training.columns, "split")
+    return training.join(units.select(*keys, split.alias("split")), keys).select(*training.columns, "split")
 
 
 def split_partition_check(parts: DataFrame, whole: DataFrame, keys=("channel", "start_s", "end_s")) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from farspark.errors import RefusedError
 from farspark.operators.ordered import Cells, as_of, running
+from farspark.operators.settle import settle
 
 
 def duration() -> Column:
@@ -65,11 +66,38 @@ def coincident_livetime(segments: DataFrame, channel_a: str, channel_b: str, cel
     times = steps.groupBy("t").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     cells = cells or Cells.fit(steps, "t")
     opened = running(times, ["t"], {"open_a": ("sum", "a", True), "open_b": ("sum", "b", True)}, cells)
-    ahead = running(opened, ["t"], {"until": ("min", "t", False)}, cells, descending=True)
-    both = (F.col("open_a") > 0) & (F.col("open_b") > 0)
-    return ahead.agg(
-        F.coalesce(F.sum(F.when(both, F.col("until") - F.col("t"))), F.lit(0.0)).alias("coincident_livetime_s")
-    )
+    after = (F.col("open_a") > 0) & (F.col("open_b") > 0)
+    before = (F.col("open_a") > F.col("a")) & (F.col("open_b") > F.col("b"))
+    # Where both become live time counts down, where they stop it counts up; seconds since the first step keep the digits.
+    since = F.col("t") - F.lit(cells.splits[0] if cells.splits else 0.0)
+    return opened.agg(F.coalesce(F.sum(
+        F.when(before & ~after, since).when(after & ~before, -since)), F.lit(0.0)).alias("coincident_livetime_s"))
+
+
+def numbered_starts(segments: DataFrame, cells: Cells | None = None) -> DataFrame:
+    """One row per distinct start: (start_s, live, opens, grp, live_before), in one pass over ordered cells.
+
+    `opens` is 1 where a block of overlapping time begins (touching is separate), `grp` numbers the blocks from 0, `live_before` is the
+    livetime of all earlier blocks. Everything that runs over the whole order is carried from cell to cell by two small tables of
+    cell totals: first the furthest end and the livetime, which settle where blocks open, then the blocks opened. A crowded start is one row.
+    """
+    cells = cells or Cells.fit(segments, "start_s")
+    starts = segments.groupBy("start_s").agg(F.max("end_s").alias("reach"), F.sum(duration()).alias("live"))
+    starts = settle(cells.attach(starts, "start_s"))
+    inside = W.partitionBy("_cell").orderBy("start_s")
+    earlier, so_far = (inside.rowsBetween(W.unboundedPreceding, end) for end in (-1, 0))
+    cell_before = W.partitionBy(F.lit(0)).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)  # one row per cell
+    totals = starts.groupBy("_cell").agg(F.max("reach").alias("r"), F.sum("live").alias("l"))
+    carried = totals.select("_cell", F.max("r").over(cell_before).alias("_r"), F.coalesce(F.sum("l").over(cell_before), F.lit(0.0)).alias("_l"))
+    seen = starts.join(carried, "_cell").withColumns({
+        "_before": F.greatest(F.max("reach").over(earlier), "_r"), "_gone": F.coalesce(F.sum("live").over(earlier), F.lit(0.0)) + F.col("_l")})
+    opens = F.when(F.col("_before").isNull() | (F.col("start_s") >= F.col("_before")), 1).otherwise(0).cast("bigint")
+    opened = seen.select("_cell", "start_s", "live", opens.alias("opens"), F.when(opens == 1, F.col("_gone")).alias("_at"))
+    totals = opened.groupBy("_cell").agg(F.sum("opens").alias("o"), F.max("_at").alias("a"))
+    carried = totals.select("_cell", F.coalesce(F.sum("o").over(cell_before), F.lit(0)).alias("_o"), F.max("a").over(cell_before).alias("_a"))
+    return settle(opened.join(carried, "_cell").select(
+        "start_s", "live", "opens", (F.sum("opens").over(so_far) + F.col("_o") - 1).alias("grp"),
+        F.greatest(F.max("_at").over(so_far), "_a").alias("live_before")))
 
 
 def overlap_groups(segments: DataFrame, cells: Cells | None = None) -> DataFrame:
@@ -77,14 +105,7 @@ def overlap_groups(segments: DataFrame, cells: Cells | None = None) -> DataFrame
 
     Works on distinct start times, so one crowded start is one row; segments that start together share a block.
     """
-    cells = cells or Cells.fit(segments, "start_s")
-    starts = segments.groupBy("start_s").agg(F.max("end_s").alias("reach"))
-    seen = running(starts, ["start_s"], {"before": ("max", "reach", False)}, cells)
-    opens = F.when(F.col("before").isNull() | (F.col("start_s") >= F.col("before")), 1).otherwise(0)
-    numbered = running(
-        seen.withColumn("opens", opens.cast("bigint")), ["start_s"], {"grp": ("sum", "opens", True)}, cells
-    )
-    return segments.join(numbered.select("start_s", (F.col("grp") - 1).alias("grp")), "start_s")
+    return segments.join(numbered_starts(segments, cells).select("start_s", "grp"), "start_s")
 
 
 def first_n_segments(segments: DataFrame, n: int) -> DataFrame:

@@ -219,6 +219,8 @@ def cluster_local_max(
 ) -> DataFrame:
     """Keep rows that no row within `half` positions beats; ties all stay, and order does not wrap.
 
+    A row whose statistic is NaN or NULL neither stays nor beats another, as if a floor had removed it.
+
     The frame is by value, so rows a floor removed leave gaps, not shifts: cutting first gives the same result.
     Long spans are windowed in blocks of positions, with the rows near an edge copied to the next block.
     """
@@ -229,7 +231,8 @@ def cluster_local_max(
     touched = F.array_distinct(
         F.array(F.floor((F.col(order) - half) / block), home, F.floor((F.col(order) + half) / block))
     )
-    copies = df.select("*", F.explode(touched).alias("_block"))
+    number = F.col(stat).isNotNull() & ~F.isnan(F.col(stat).cast("double"))
+    copies = df.filter(number).select("*", F.explode(touched).alias("_block"))
     w = W.partitionBy(*by, "_block").orderBy(F.col(order).cast("bigint")).rangeBetween(-half, half)
     best = copies.withColumn("_max", F.max(stat).over(w))
     return best.filter((F.col(stat) >= F.col("_max")) & (F.col("_block") == home)).drop("_block", "_max")
@@ -275,11 +278,17 @@ def window_lookup(triggers: DataFrame, windows: DataFrame, columns: Sequence[str
 
 @dataclass(frozen=True)
 class Selection:
-    """A complete selection as one DataFrame transform, applied to background and foreground alike."""
+    """A complete selection as one DataFrame transform, applied to background and foreground alike.
+
+    `parts` are two expressions, over a row of channel a and over one of channel b, whose sum the statistic of a pair never
+    exceeds. With them the loudest pairs are found without forming the others; a row may then be kept or dropped for its own
+    values and for louder rows only.
+    """
 
     transform: Callable[[DataFrame], DataFrame]
     trials: int = 4
     name: str = ""
+    parts: tuple[Column, Column] | None = None
 
     def __call__(self, df: DataFrame) -> DataFrame:
         return self.transform(df)

@@ -22,10 +22,12 @@ from farspark.operators import efficiency as eff
 from farspark.operators import far as rates
 from farspark.operators import folds, ranking, slides, volume
 from farspark.operators.calibration import efficiency_at_quantile, shape_stats, spearman, tile_properties
+from farspark.operators.bounded import loudest_slides
 from farspark.operators.ordered import Cells, group_sizes, percentiles, union_all
 from farspark.operators.records import record_problems
 from farspark.operators.series import coherence_rows
 from farspark.operators.settle import settle
+from farspark.operators.slides import cluster_local_max
 from farspark.schemas import require_columns
 
 CURVE_TARGETS = (100.0, 10.0, 1.0, 0.1)
@@ -333,15 +335,20 @@ def matched_far_run(
     """The one pass over the evaluation fold: background and foreground through one selection, then the metrics.
 
     `parts` are segments with their split. The read is judged against the trail `audit` first; its own audit row is among the
-    results, for the caller to append.
+    results, for the caller to append. Of slid pairs within `half` points of a lag only the loudest counts. Where the selection
+    states a bound of its statistic, only pairs that can matter for the targets are formed.
     """
     request = folds.read_request(parts.sparkSession, "final", "eval", selection.name or "matched-far", "matched_far_run")
     reads = folds.require_granted(settle(folds.judge_reads(request, parts, audit)))
     spans = parts.filter(F.col("split") == "eval").select(F.col("start_s").alias("span_start")).distinct()
     held = grid.join(spans, "span_start", "left_semi")
-    background = settle(slides.run_slides(held, plan, stride_s, selection, half, a_cols, b_cols))
-    judged = selection(foreground)
     years = plan.background_livetime_yr
+    if selection.parts is not None:
+        wanted = max(rates.allowed_count(t, years, selection.trials) for t in targets) + 1
+        background = loudest_slides(held, plan, stride_s, selection, stat, wanted, half, a_cols, b_cols)
+    else:
+        background = settle(cluster_local_max(slides.run_slides(held, plan, stride_s, selection, half, a_cols, b_cols), stat, half))
+    judged = selection(foreground)
     out = {
         "efficiency": eff.efficiency_at_far(judged, background, stat, years, targets, selection.trials),
         "audit": folds.granted_reads(reads),

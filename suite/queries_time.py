@@ -12,6 +12,7 @@ from farspark.operators.bounded import pairs_above
 from farspark.operators.settle import settle
 from farspark.plans import reports
 from suite import views as v
+from suite.queries_far import ROUND, binned_sql, volume_ctes, wilson
 from suite.registry import query
 from suite.views import HALF, N_LAGS, NET_FLOOR, STEP_S, STRIDE_S, V1, V2, V2_SLID, V2_STD
 
@@ -348,21 +349,51 @@ def far_curve_totals(spark, d):
     return curve.totals().crossJoin(clustered)
 
 
-@query("matched_far_run", f"""WITH {FOLDED}, {V2_SLID}, held AS (SELECT DISTINCT floor(start_s / 86400) * 86400 AS span_start
+MATCHED = f"""{FOLDED}, {V2_SLID}, held AS (SELECT DISTINCT floor(start_s / 86400) * 86400 AS span_start
     FROM folded WHERE fold = 1),
   h AS (SELECT count(*) AS spans FROM held), bgr AS (SELECT net_sigma, row_number() OVER (ORDER BY net_sigma DESC) AS rk, count(*) OVER () AS n
-    FROM pairs JOIN held USING (span_start)),
+    FROM clustered JOIN held USING (span_start)),
   yr AS (SELECT spans * 86400.0 * 23 / (365.25 * 86400) AS t FROM h),
   asked AS (SELECT CAST(f AS DOUBLE) AS far_per_yr, greatest(CAST(floor(f * t / 4) AS BIGINT), 1) AS k FROM yr CROSS JOIN (VALUES (100.0), (20.0)) x(f)),
-  cut AS (SELECT far_per_yr, net_sigma AS threshold FROM asked JOIN bgr ON rk = least(k, n))
-SELECT far_per_yr, threshold, count(*) AS n_total, count(*) FILTER ((sigma_a + sigma_b) / sqrt(2) >= threshold) AS n_found
-FROM cut CROSS JOIN std GROUP BY 1, 2""", {"threshold": 6})
-def matched_far_run(spark, d):
+  thr AS (SELECT far_per_yr, net_sigma AS threshold FROM asked JOIN bgr ON rk = least(k, n)),
+  fg AS (SELECT *, (sigma_a + sigma_b) / sqrt(2) AS net_sigma, 1.0::DOUBLE AS w, 2.0 + i * 5 AS par FROM std)"""
+
+
+def matched(spark, d):
     day = F.floor(F.col("start_s") / 86400) * 86400.0
     labelled = settle(folded(spark, d)).select("channel", day.alias("start_s"), (day + 86400.0).alias("end_s"), "fold").distinct()
     parts = folds.train_eval_labels(labelled, 1)
     grid = standard_grid(spark, d)
     spans = labelled.filter("fold = 1").select("start_s").distinct().count()
-    sel = slides.Selection(lambda df: df.withColumn("net_sigma", X.net_sigma("sigma_a", "sigma_b")), 4, "net")
-    out = reports.matched_far_run(parts, sel, grid, plan(spans * 86400.0), STRIDE_S, grid, "net_sigma", targets=(100.0, 20.0))
-    return out["efficiency"].select("far_per_yr", "threshold", "n_total", "n_found")
+    root2 = math.sqrt(2.0)
+    sel = slides.Selection(
+        lambda df: df.withColumn("net_sigma", X.net_sigma("sigma_a", "sigma_b")), 4, "net", (F.col("sigma_a") / root2, F.col("sigma_b") / root2))
+    injected = grid.withColumn("total_mass", 2.0 + F.col("i") * 5)
+    return reports.matched_far_run(
+        parts, sel, grid, plan(spans * 86400.0), STRIDE_S, injected, "net_sigma", 10.0, (100.0, 20.0), half=HALF)
+
+
+@query("matched_far_run", f"""WITH {MATCHED} SELECT far_per_yr, threshold, count(*) AS n_total, count(*) FILTER (net_sigma >= threshold) AS n_found,
+  count(*) FILTER (net_sigma >= threshold) / CAST(count(*) AS DOUBLE) AS efficiency, {wilson('count(*) FILTER (net_sigma >= threshold)', 'count(*)')}
+FROM thr CROSS JOIN fg GROUP BY 1, 2""", {"threshold": 6, **ROUND})
+def matched_far_run(spark, d):
+    return matched(spark, d)["efficiency"]
+
+
+@query("matched_far_volume", f"""WITH {MATCHED}, {volume_ctes('net_sigma')}
+SELECT far_per_yr, n_injections, n_found, 10 * p AS v_sens_gpc3, 10 * sqrt(vv) AS v_sens_err_gpc3, pow(3e9 * 10 * p / (4 * pi()), 1.0 / 3) AS horizon_mpc FROM vol""",
+       {"v_sens_gpc3": 6, "v_sens_err_gpc3": 6, "horizon_mpc": 4})
+def matched_far_volume(spark, d):
+    return matched(spark, d)["volume"].drop("threshold", "vt_gpc3_yr")
+
+
+@query("matched_far_mass", f"""WITH {MATCHED}, m AS (SELECT par, net_sigma >= threshold AS found FROM fg CROSS JOIN thr WHERE far_per_yr = 100),
+  {binned_sql(X.MASS_EDGES, 'm')}""", ROUND)
+def matched_far_mass(spark, d):
+    return matched(spark, d)["vs_mass"]
+
+
+@query("matched_far_audit", f"""WITH {FOLDED} SELECT 'final' AS phase, 'eval' AS split, 'net' AS label, count(*) AS n_segments, 86400.0 * count(*) AS livetime,
+  'matched_far_run' AS caller FROM (SELECT DISTINCT channel, floor(start_s / 86400) FROM folded WHERE fold = 1)""")
+def matched_far_audit(spark, d):
+    return matched(spark, d)["audit"].select("phase", "split", "label", "n_segments", "livetime", "caller")

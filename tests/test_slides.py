@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from farspark.errors import RefusedError
 from farspark.functions import expressions as X
-from farspark.operators.bounded import pairs_above
+from farspark.operators.bounded import loudest_slides, pairs_above
 from farspark.operators import ranking, slides
 from farspark.plans import reports
 
@@ -251,3 +251,24 @@ def test_spans_with_gaps_are_refused(spark, points):
 def test_dense_slides_refuse_a_missing_point(spark, dense_grid):
     with pytest.raises(Exception, match="not in the grid"):
         ranking.dense_slides(dense_grid.filter("i <> 4"), slides.SlidePlan(16, 2.0), 1.0, 3, WINDOW, LAGS, 0.5, 2).collect()
+
+
+@pytest.mark.parametrize("wanted, half, zero", [(5, 0, False), (40, 2, False), (40, 2, True), (10**6, 2, False)])
+def test_loudest_slides_are_those_of_all_pairs(spark, wanted, half, zero):
+    rng = np.random.default_rng(wanted)
+    sizes = {0.0: 90, 1.0: 40, 2.0: 4}
+    rows = [(s, n, i, float(rng.normal()), float("nan") if (s, i) == (1.0, 7) else float(rng.gamma(1.0))) for s, n in sizes.items() for i in range(n)]
+    grid = spark.createDataFrame(rows, "span_start double, n bigint, i bigint, sigma_a double, sigma_b double")
+    plan = slides.SlidePlan(20, 2.0, include_zero=zero)
+    # Not the sum itself but something below it, and a cut of its own.
+    stat = F.col("sigma_a") + F.col("sigma_b") - F.abs(F.sin(F.col("sigma_a") * 9)) * 0.3
+    sel = slides.Selection(lambda df: df.filter("sigma_a > -1").withColumn("s", stat), parts=(F.col("sigma_a"), F.col("sigma_b")))
+    every = slides.cluster_local_max(slides.run_slides(grid, plan, 1.0, sel, half), "s", half).filter("not isnan(s)")
+    want = sorted(((r["s"], r["span_start"], r["lag_index"], r["i"], r["j"]) for r in every.collect()), reverse=True)
+    found = loudest_slides(grid, plan, 1.0, sel, "s", wanted, half, width=16).filter("not isnan(s)").collect()
+    got = sorted(((r["s"], r["span_start"], r["lag_index"], r["i"], r["j"]) for r in found), reverse=True)
+    assert len(got) >= min(wanted, len(want))
+    assert got == want[: len(got)]
+    assert wanted > 1000 or len(got) < len(want)
+    with pytest.raises(RefusedError, match="no bound"):
+        loudest_slides(grid, plan, 1.0, slides.Selection(lambda df: df), "s", 3)

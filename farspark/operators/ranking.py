@@ -170,10 +170,10 @@ def fit_lr(rows: DataFrame, label: str = "label", fold: int = 0, norm=None, feat
 # --- provenance -----------------------------------------------------------------------------
 
 
-def provenance_match(background_meta: DataFrame, foreground_meta: DataFrame, on: str = "campaign_id") -> DataFrame:
-    """Join run metadata and stop on a mismatch: other checkpoint, other model, or a gate on one side only.
+def provenance_status(background_meta: DataFrame, foreground_meta: DataFrame, on: str = "campaign_id") -> DataFrame:
+    """Run metadata of both sides joined, with `provenance` (verified, unverified or mismatched) and the `problem` of a mismatch.
 
-    Absent provenance on either side cannot be checked and is reported as unverified.
+    What either side does not know cannot be checked; without both checkpoints a row is unverified.
     """
     fields = ("checkpoint", "model_id", "gate_applied")
     f = foreground_meta.select(on, *[F.col(c).alias(f"_f_{c}") for c in fields])
@@ -185,10 +185,24 @@ def provenance_match(background_meta: DataFrame, foreground_meta: DataFrame, on:
         .when(differs("gate_applied"), F.lit("the gate was applied to one side only"))
     )
     known = F.col("checkpoint").isNotNull() & F.col("_f_checkpoint").isNotNull()
-    status = F.when(known, F.lit("verified")).otherwise(F.lit("unverified"))
-    return j.select(
-        on, *fields, F.when(problem.isNotNull(), F.raise_error(problem).cast("string")).otherwise(status).alias("provenance")
-    )
+    status = F.when(problem.isNotNull(), F.lit("mismatched")).when(known, F.lit("verified")).otherwise(F.lit("unverified"))
+    return j.select(on, *fields, status.alias("provenance"), problem.alias("problem"))
+
+
+def provenance_match(background_meta: DataFrame, foreground_meta: DataFrame, on: str = "campaign_id") -> DataFrame:
+    """`provenance_status` that stops on a mismatch: other checkpoint, other model, or a gate on one side only."""
+    j = provenance_status(background_meta, foreground_meta, on)
+    refused = F.raise_error(F.col("problem")).cast("string")
+    return j.withColumn("provenance", F.when(F.col("problem").isNotNull(), refused).otherwise(F.col("provenance"))).drop("problem")
+
+
+def require_provenance(background_meta: DataFrame, foreground_meta: DataFrame, on: str = "campaign_id") -> DataFrame:
+    """The status of every campaign, after a mismatch has been refused before any work is done on the rows."""
+    status = settle(provenance_status(background_meta, foreground_meta, on))
+    bad = status.filter(F.col("problem").isNotNull()).first()
+    if bad is not None:
+        raise RefusedError(f"{on} {bad[on]}: {bad['problem']}")
+    return status
 
 
 def single_checkpoint(grid: DataFrame) -> str | None:

@@ -112,19 +112,24 @@ def first_n_segments(segments: DataFrame, n: int) -> DataFrame:
     return segments.orderBy("start_s", "end_s", "channel").limit(n)
 
 
-def completeness_check(samples: DataFrame, segments: DataFrame, rate: float) -> DataFrame:
-    """Segments with their sample counts; stops at one that is more than a second short or long.
+def completeness(samples: DataFrame, segments: DataFrame, rate: float) -> DataFrame:
+    """Segments with their sample counts; `complete` is false where more than a second is missing or too much.
 
     `samples` holds one row per stored sample with its segment's channel, start_s and end_s.
     """
     keys = ["channel", "start_s", "end_s"]
     counts = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_samples"))
-    checked = (
+    return (
         segments.join(counts, keys, "left")
         .withColumn("n_samples", F.coalesce("n_samples", F.lit(0).cast("bigint")))
         .withColumn("expected", F.rint(duration() * rate).cast("bigint"))
         .withColumn("complete", F.abs(F.col("n_samples") - F.col("expected")) <= rate)
     )
+
+
+def completeness_check(samples: DataFrame, segments: DataFrame, rate: float) -> DataFrame:
+    """`completeness`, refusing segments that are not complete."""
+    checked = settle(completeness(samples, segments, rate))
     bad = checked.filter(~F.col("complete")).limit(5).collect()
     if bad:
         names = ", ".join(f"{r.channel} {r.start_s:.0f}..{r.end_s:.0f} has {r.n_samples} of {r.expected}" for r in bad)

@@ -57,13 +57,18 @@ def sensitive_volume(
     return volume_of(judged, v_generated_gpc3, analysis_time_yr, weight, by=[*by, "far_per_yr", "threshold"])
 
 
-def vt_ratio(candidate: DataFrame, baseline: DataFrame, keys: Sequence[str] = ("far_per_yr",)) -> DataFrame:
-    """Volume ratio of two results on a shared campaign; relative errors add in quadrature, a zero baseline is an error."""
+def vt_ratio(
+    candidate: DataFrame, baseline: DataFrame, keys: Sequence[str] = ("far_per_yr",), zero_baseline: str = "raise"
+) -> DataFrame:
+    """Volume ratio of two results on a shared campaign; relative errors add in quadrature.
+
+    A zero baseline stops the query, or gives NULLs with zero_baseline="null".
+    """
     c, b = (
         df.select(*keys, F.col("v_sens_gpc3").alias(f"{p}_v"), F.col("v_sens_err_gpc3").alias(f"{p}_e"))
         for df, p in ((candidate, "c"), (baseline, "b"))
     )
-    zero = F.raise_error(F.lit("baseline sensitive volume is zero"))
+    zero = F.lit(None) if zero_baseline == "null" else F.raise_error(F.lit("baseline sensitive volume is zero"))
     base = F.when(F.col("b_v") <= 0, zero.cast("double")).otherwise(F.col("b_v"))
     r = F.col("c_v") / base
     rel = F.hypot(F.coalesce(ratio("c_e", "c_v"), F.lit(0.0)), F.col("b_e") / base)
@@ -105,28 +110,38 @@ def cosmology_grid(
     return g.select("z", "d_l_mpc", (dvc / dve / (1.0 + F.col("z"))).alias("weight"))
 
 
+def _with_successor(grid: DataFrame, node: str, values: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Each node with the node after it: inside its cell by a window, from the last of a cell by the first of the next."""
+    here = F.struct(F.col(node).alias("x"), *[F.col(v).alias(v) for v in values])
+    placed = Cells.fit(grid, node).attach(grid.select(*by, node, *values), node)
+    ahead = F.lead(here).over(W.partitionBy(*by, "_cell").orderBy(node))
+    firsts = placed.groupBy(*by, "_cell").agg(F.min(here).alias("_first"))
+    onward = firsts.select(*by, "_cell", F.lead("_first").over(W.partitionBy(*(by or [F.lit(0)])).orderBy("_cell")).alias("_next"))  # one row per cell
+    return placed.withColumn("_ahead", ahead).join(onward, [*by, "_cell"]).select(
+        *by, F.col(node).alias("_x0"), *[F.col(v).alias(f"_y0_{v}") for v in values], F.coalesce("_ahead", "_next").alias("_to"))
+
+
 def grid_interpolate(
-    df: DataFrame, x: str, grid: DataFrame, node: str, values: Sequence[str], by: Sequence[str] = ()
+    df: DataFrame, x: str, grid: DataFrame, node: str, values: Sequence[str], by: Sequence[str] = (), beyond: str = "raise",
 ) -> DataFrame:
-    """Linear interpolation of grid values at x, clamped below the first node; past the last one stops the query."""
-    w = W.partitionBy(*(by or [F.lit(0)])).orderBy(node)
-    cells = grid.select(
-        *by, F.col(node).alias("_x0"), F.lead(node).over(w).alias("_x1"),
-        *[F.col(v).alias(f"_y0_{v}") for v in values], *[F.lead(v).over(w).alias(f"_y1_{v}") for v in values],
-        F.min(node).over(w).alias("_min"), *[F.first(v).over(w).alias(f"_f_{v}") for v in values],
-    )
-    parts = ["_x0", "_x1", *[f"_y{e}_{v}" for e in (0, 1) for v in values]]
-    low = cells.groupBy(*by).agg(F.min("_min").alias("_low"), *[F.first(f"_f_{v}").alias(f"_f_{v}") for v in values])
-    out = as_of(df, cells, x, "_x0", parts, by)
-    out = out.join(low, list(by)) if by else out.crossJoin(F.broadcast(low))  # one row
-    beyond = F.col("_x1").isNull() & (F.col(x) > F.col("_x0"))
-    t = F.coalesce((F.col(x) - F.col("_x0")) / (F.col("_x1") - F.col("_x0")), F.lit(0.0))
+    """Linear interpolation of grid values at x, clamped below the first node.
+
+    A value past the last node stops the query, or is NULL with beyond="null". NULL, and any value where there are no nodes, gives NULL.
+    """
+    by = list(by)
+    cells = _with_successor(grid, node, values, by)
+    lowest = F.struct(F.col(node).alias("x"), *[F.col(v).alias(v) for v in values])
+    low = grid.groupBy(*by).agg(F.min(lowest).alias("_low"))
+    out = as_of(df, cells, x, "_x0", ["_x0", "_to", *[f"_y0_{v}" for v in values]], by)
+    out = out.join(low, by, "left") if by else out.crossJoin(F.broadcast(low))  # one row
+    past = F.col("_to").isNull() & (F.col(x) > F.col("_x0"))
+    outside = F.lit(None).cast("double") if beyond == "null" else F.raise_error(F.lit("value is past the last grid node")).cast("double")
+    t = F.coalesce((F.col(x) - F.col("_x0")) / (F.col("_to.x") - F.col("_x0")), F.lit(0.0))
     for v in values:
-        inside = F.col(f"_y0_{v}") + t * (F.coalesce(F.col(f"_y1_{v}"), F.col(f"_y0_{v}")) - F.col(f"_y0_{v}"))
-        y = F.when(F.col(x) < F.col("_low"), F.col(f"_f_{v}")).otherwise(inside)
-        y = F.when(beyond, F.raise_error(F.lit("value is past the last grid node")).cast("double")).otherwise(y)
-        out = out.withColumn(v, y)
-    return out.select(*df.columns, *values)
+        inside = F.col(f"_y0_{v}") + t * (F.coalesce(F.col(f"_to.{v}"), F.col(f"_y0_{v}")) - F.col(f"_y0_{v}"))
+        y = F.when(F.col(x) < F.col("_low.x"), F.col(f"_low.{v}")).otherwise(inside)
+        out = out.withColumn(f"_out_{v}", F.when(past, outside).otherwise(y))
+    return out.select(*df.columns, *[F.col(f"_out_{v}").alias(v) for v in values])
 
 
 def comoving_weight(df: DataFrame, distance: str = "distance_mpc", **cosmology) -> DataFrame:

@@ -229,13 +229,15 @@ def lr_background(
 
 def lr_far(
     background: DataFrame, foreground: DataFrame, livetime_yr: float, targets: Sequence[float] = RANKED_TARGETS,
-    trials: int = 4, stat: str = "loglr",
+    trials: int = 4, stat: str = "loglr", provenance: tuple[DataFrame, DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """Thresholds, achieved rates and efficiency of a ranked search, from a fresh or a stored background.
 
-    Targets the livetime cannot resolve are left out. The foreground is checked before anything runs.
+    Targets the livetime cannot resolve are left out. The foreground is checked before anything runs, and so is `provenance`, the run
+    metadata of background and foreground: a mismatch is refused, the status of each campaign is among the results.
     """
     eff.require_foreground(foreground, [stat, "network_snr"])
+    checked = {"provenance": ranking.require_provenance(*provenance)} if provenance else {}
     thresholds = rates.thresholds_at_far(background, stat, livetime_yr, targets, trials, below_floor="drop")
     judged = rates.own_channel_threshold(foreground, thresholds, stat, [], inclusive=False)
     quoted = [t for t in targets if t >= rates.resolvable_floor(livetime_yr, trials)]
@@ -245,20 +247,61 @@ def lr_far(
         "achieved": rates.achieved_far(background, thresholds, stat, livetime_yr, trials),
         "efficiency": eff.efficiency(judged, by=["far_per_yr", "threshold"]),
         "vs_snr": eff.efficiency_vs_snr(last),
+        **checked,
     }
 
 
+def lr_rescore(
+    stored: DataFrame, meta: DataFrame, foreground: DataFrame, foreground_meta: DataFrame, assignment: DataFrame,
+    models: dict[int, ranking.Model], keep_above: float | None = None, targets: Sequence[float] = RANKED_TARGETS, trials: int = 4,
+) -> dict[str, DataFrame]:
+    """The ranked search on a background that an earlier run stored: only the foreground is scored.
+
+    `meta` is that run's one row (campaign_id, checkpoint, model_id, gate_applied, keep_above, n_lags, background_livetime_yr). Its model and checkpoint must
+    be the foreground's, and it must have kept everything above `keep_above` where the caller needs that. Livetime and floor
+    are taken from it, nothing is written back, and its row is among the results as it was read.
+    """
+    run = meta.limit(2).collect()
+    if len(run) != 1:
+        raise RefusedError(f"a stored background has one row of metadata, not {len(run)}")
+    if keep_above is not None and run[0]["keep_above"] > keep_above:
+        raise RefusedError(f"the stored background was cut at {run[0]['keep_above']}, above the floor {keep_above} asked for")
+    if stored.filter(~(F.col("loglr") > F.lit(run[0]["keep_above"]))).limit(1).count():
+        raise RefusedError("the stored background holds triggers under the floor its metadata states")
+    scored = score_foreground(foreground, assignment, models)
+    out = lr_far(stored, scored, run[0]["background_livetime_yr"], targets, trials, provenance=(meta, foreground_meta))
+    return out | {"run": meta}
+
+
 def vt_seed(
     background: DataFrame, foreground: DataFrame, livetime_yr: float, distance_max_mpc: float, n_attempted: int,
     targets: Sequence[float] = RANKED_TARGETS, trials: int = 4, stat: str = "loglr", cosmology: dict | None = None,
+    provenance: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
-    """Comoving volume of one scored volumetric campaign at each resolvable target."""
+    """Comoving volume of one scored volumetric campaign at each resolvable target, after its `provenance` has been checked."""
     volume.require_volumetric(foreground)
+    if provenance:
+        ranking.require_provenance(*provenance)
     thresholds = rates.thresholds_at_far(background, stat, livetime_yr, targets, trials, below_floor="drop")
     weighted = volume.comoving_weight(foreground, **(cosmology or {}))
     return volume.volume_rank_error(weighted, background, stat, thresholds, distance_max_mpc, n_attempted)
 
 
+def vt_facts(foreground: DataFrame, n_attempted: int, weight_col: str = "weight", cosmology: dict | None = None) -> DataFrame:
+    """What a volume rests on, in one row: injections attempted and lost, the largest redshift and the range of the weights.
+
+    `warning` tells when more than one in a hundred attempts is missing from the foreground; they count as not found.
+    """
+    weighted = foreground if {"z", weight_col} <= set(foreground.columns) else volume.comoving_weight(foreground, **(cosmology or {}))
+    facts = weighted.agg(F.count(F.lit(1)).alias("n_kept"), F.max("z").alias("z_max"),
+                         F.min(weight_col).alias("weight_min"), F.max(weight_col).alias("weight_max"))
+    lost = F.lit(n_attempted).cast("bigint") - F.col("n_kept")
+    text = F.concat(F.lit("lost "), lost, F.lit(" of "), F.lit(n_attempted).cast("bigint"), F.lit(" attempted injections"))
+    return facts.select(
+        F.lit(n_attempted).cast("bigint").alias("n_attempted"), "n_kept", lost.alias("n_lost"), "z_max", "weight_min", "weight_max",
+        F.when(lost > 0.01 * n_attempted, text).alias("warning"))
+
+
 def vt_report(per_seed: dict[str, DataFrame]) -> DataFrame:
     """Volumes of several seeds as means and ranges per target."""
     return volume.volume_over_seeds(union_all([d.withColumn("seed", F.lit(s)) for s, d in per_seed.items()]))

@@ -197,16 +197,16 @@ def sensitive_distance(spark, d):
 
 
 @query("vt_ratio", f"""WITH {V3}, {thresholds_sql(by='')}, {volume_ctes('stat', 'c')}, {volume_ctes('stat2', 'b')}
-SELECT c.far_per_yr, c.p / b.p AS ratio,
-  c.p / b.p * sqrt(pow(sqrt(c.vv) / c.p, 2) + pow(sqrt(b.vv) / b.p, 2)) AS ratio_err
-FROM c JOIN b ON b.far_per_yr = c.far_per_yr WHERE b.p > 0""", {"ratio": 6, "ratio_err": 6})
+SELECT c.far_per_yr, c.p / nullif(b.p, 0) AS ratio,
+  c.p / nullif(b.p, 0) * sqrt(pow(coalesce(sqrt(c.vv) / nullif(c.p, 0), 0), 2) + pow(sqrt(b.vv) / nullif(b.p, 0), 2)) AS ratio_err
+FROM c JOIN b ON b.far_per_yr = c.far_per_yr""", {"ratio": 6, "ratio_err": 6})
 def vt_ratio(spark, d):
     bg, fg = both(spark, d)
     thr = rates.thresholds_at_far(bg, "stat", YEARS, TARGETS, TRIALS)
     vol = lambda stat: volume.volume_of(
         rates.own_channel_threshold(fg, thr, stat, []), 10.0, weight="w", by=["far_per_yr"]
     )
-    return volume.vt_ratio(vol("stat"), vol("stat2").filter(F.col("v_sens_gpc3") > 0))
+    return volume.vt_ratio(vol("stat"), vol("stat2"), zero_baseline="null")
 
 
 @query("wilson_interval", f"""WITH {V3}, c AS (SELECT seed, channel, count(*) AS n, count(*) FILTER (stat > 60) AS k FROM fg GROUP BY 1, 2)
@@ -238,7 +238,7 @@ def resolvable_ceiling(spark, d):
     return rates.resolvable_ceiling(v.background(spark, d), "stat", YEARS, TARGETS, TRIALS)
 
 
-EDGE_SQL = """edge AS (SELECT seed, min(stat) AS edge_stat, count(*) AS n_background FROM bg WHERE stat > 60 GROUP BY 1),
+EDGE_SQL = """edge AS (SELECT seed, min(stat) AS edge_stat, count(*) AS n_background FROM bg GROUP BY 1),
   edges AS (SELECT seed, edge_stat, n_background, count(*) AS n_foreground,
     count(*) FILTER (stat > edge_stat AND channel = 'strict') / CAST(count(*) AS DOUBLE) AS efficiency,
     4 * n_background / 10.0::DOUBLE AS far_per_yr FROM fg JOIN edge USING (seed) GROUP BY 1, 2, 3)"""
@@ -247,8 +247,7 @@ EDGE_SQL = """edge AS (SELECT seed, min(stat) AS edge_stat, count(*) AS n_backgr
 @query("edge_point", f"WITH {V3}, {EDGE_SQL} SELECT * FROM edges", {"edge_stat": 6, "efficiency": 6, "far_per_yr": 6})
 def edge_point(spark, d):
     bg, fg = both(spark, d)
-    loud = bg.filter(F.col("stat") > 60)
-    return rates.edge_point(loud, fg, "stat", YEARS, TRIALS, member=F.col("channel") == "strict")
+    return rates.edge_point(bg, fg, "stat", YEARS, TRIALS, member=F.col("channel") == "strict")
 
 
 @query("efficiency_vs_achieved_far", f"""WITH {V3}, b AS (SELECT stat, count(*) AS n FROM bg GROUP BY 1),
@@ -342,11 +341,11 @@ def is_glitch(spark, d):
     return v.foreground(spark, d).groupBy("channel", X.is_glitch("hm", "lm").alias("glitch")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("gate_kept", f"""WITH {V3}, r AS (SELECT *, NOT (greatest(hm, lm) < 0.5) AS kept FROM bg WHERE stat > 60)
+@query("gate_kept", f"""WITH {V3}, r AS (SELECT *, NOT (greatest(hm, lm) < 0.5) AS kept FROM bg)
 SELECT channel, count(*) AS n_gated, count(*) FILTER (kept) AS n_kept, count(*) FILTER (kept) / CAST(count(*) AS DOUBLE) AS kept_fraction,
   min(stat) AS floor FROM r GROUP BY 1""", {"kept_fraction": 6, "floor": 6})
 def gate_kept(spark, d):
-    gated = v.background(spark, d).filter(F.col("stat") > 60).withColumn("kept", ~X.is_glitch("hm", "lm"))
+    gated = v.background(spark, d).withColumn("kept", ~X.is_glitch("hm", "lm"))
     return eff.gate_kept(gated, "stat")
 
 

@@ -303,21 +303,52 @@ def lr_efficiency(spark, d):
     return reports.lr_far(rows.filter("NOT label"), rows.filter("label"), YEARS, TARGETS, TRIALS)["efficiency"]
 
 
-META = """meta AS (SELECT CAST(l_linenumber AS VARCHAR) AS campaign_id, 'ck-' || l_linenumber % 2 AS checkpoint, 'm' AS model_id,
-  FALSE AS gate_applied FROM lineitem GROUP BY l_linenumber)"""
+META = """bm AS (SELECT CAST(o_orderkey AS VARCHAR) AS campaign_id, CASE WHEN o_orderstatus <> 'P' THEN 'ck-' || o_custkey % 2 END AS checkpoint,
+    'm-' || o_orderkey % 3 AS model_id, o_custkey % 5 = 0 AS gate_applied FROM orders),
+  fm AS (SELECT CAST(o_orderkey AS VARCHAR) AS campaign_id, CASE WHEN o_orderkey % 7 = 0 THEN 'ck-9' ELSE 'ck-' || o_custkey % 2 END AS f_checkpoint,
+    CASE WHEN o_orderkey % 11 = 0 THEN 'm-9' ELSE 'm-' || o_orderkey % 3 END AS f_model,
+    CASE WHEN o_orderkey % 17 <> 0 THEN (o_custkey % 5 = 0) <> (o_orderkey % 13 = 0) END AS f_gate FROM orders)"""
+
+
+@query("provenance_match", f"""WITH {META}, j AS (SELECT bm.*, f_checkpoint, CASE WHEN coalesce(checkpoint <> f_checkpoint, FALSE) THEN
+    'background and foreground come from different checkpoints' WHEN model_id <> f_model THEN 'background and foreground were ranked by different models'
+    WHEN coalesce(gate_applied <> f_gate, FALSE) THEN 'the gate was applied to one side only' END AS problem FROM bm JOIN fm USING (campaign_id))
+SELECT campaign_id, checkpoint, model_id, gate_applied, problem, CASE WHEN problem IS NOT NULL THEN 'mismatched'
+  WHEN checkpoint IS NOT NULL AND f_checkpoint IS NOT NULL THEN 'verified' ELSE 'unverified' END AS provenance FROM j""")
+def provenance_match(spark, d):
+    o = v.table(spark, d, "orders")
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    ck, model = F.concat(F.lit("ck-"), cust % 2), F.concat(F.lit("m-"), key % 3)
+    meta = o.select(key.cast("string").alias("campaign_id"), F.when(F.col("o_orderstatus") != "P", ck).alias("checkpoint"), model.alias("model_id"),
+                    (cust % 5 == 0).alias("gate_applied"))
+    other = o.select(
+        key.cast("string").alias("campaign_id"), F.when(key % 7 == 0, "ck-9").otherwise(ck).alias("checkpoint"),
+        F.when(key % 11 == 0, "m-9").otherwise(model).alias("model_id"),
+        F.when(key % 17 != 0, (cust % 5 == 0) != (key % 13 == 0)).alias("gate_applied"))
+    return ranking.provenance_status(meta, other)
+
+
+def run_meta(spark, d, plan):
+    """The metadata row of a stored ranked background, as wide as the grid it came from."""
+    return v.score_grid(spark, d).agg(F.count(F.lit(1)).alias("n_points")).select(
+        F.lit("all").alias("campaign_id"), F.lit("ck").alias("checkpoint"), F.lit("m").alias("model_id"), F.lit(False).alias("gate_applied"),
+        F.lit(-2.0).alias("keep_above"), F.lit(plan.n_lags).alias("n_lags"),
+        (F.col("n_points") * v.STRIDE_S * plan.n_lags / X.SECONDS_PER_YEAR).alias("background_livetime_yr"))
+
+
+def rescored(spark, d):
+    bg, plan, assignment = ranked_background(spark, d)
+    meta = run_meta(spark, d, plan)
+    return reports.lr_rescore(
+        bg.select("loglr"), meta, v.feature_foreground(spark, d), meta, assignment, models(spark), -2.0, (100.0, 30.0, 10.0))
 
 
-@query("provenance_match", f"""WITH {META} SELECT campaign_id, checkpoint, model_id, gate_applied,
-  CASE WHEN CAST(campaign_id AS INTEGER) > 3 THEN 'unverified' ELSE 'verified' END AS provenance FROM meta""")
-def provenance_match(spark, d):
-    seed = v.table(spark, d, "lineitem").select("l_linenumber").distinct()
-    meta = seed.select(
-        F.col("l_linenumber").cast("string").alias("campaign_id"),
-        F.concat(F.lit("ck-"), (F.col("l_linenumber") % 2).cast("string")).alias("checkpoint"), F.lit("m").alias("model_id"),
-        F.lit(False).alias("gate_applied"),
-    )
-    other = meta.withColumn("checkpoint", F.when(F.col("campaign_id").cast("int") <= 3, F.col("checkpoint")))
-    return ranking.provenance_match(meta, other)
+@query("lr_rescore", f"""WITH {v.V7}, {v.V7_FOREGROUND}, {RANKED_THRESHOLDS}
+SELECT far_per_yr, threshold, count(*) FILTER (loglr >= threshold) AS n_above, 4 * count(*) FILTER (loglr >= threshold) / (SELECT t FROM yr) AS achieved_far_per_yr,
+  'verified' AS provenance FROM ranked_bg CROSS JOIN thr GROUP BY 1, 2""", {"threshold": 6, "achieved_far_per_yr": 6})
+def lr_rescore(spark, d):
+    out = rescored(spark, d)
+    return out["achieved"].crossJoin(F.broadcast(out["provenance"].select("provenance")))  # one campaign
 
 
 # --- volume ---------------------------------------------------------------------------------
@@ -350,18 +381,28 @@ def comoving_weight(spark, d):
     return volume.comoving_weight(distant(spark, d))
 
 
-@query("grid_interpolate", """WITH g AS (SELECT CAST(c_custkey AS DOUBLE) AS x0, max(c_acctbal) AS y0 FROM customer WHERE c_custkey % 10 = 0 GROUP BY 1),
+@query("vt_facts", f"""WITH {GRID_SQL}, {DISTANT}, w AS (SELECT c.z + (distance_mpc - d_l_mpc) / (next_d - d_l_mpc) * (next_z - c.z) AS z,
+    weight + (distance_mpc - d_l_mpc) / (next_d - d_l_mpc) * (next_w - weight) AS weight
+    FROM far JOIN cw c ON distance_mpc >= d_l_mpc AND distance_mpc < next_d), n AS (SELECT count(*) AS n, count(*) + count(*) // 50 AS tried FROM far)
+SELECT tried AS n_attempted, n AS n_kept, tried - n AS n_lost, z_max, weight_min, weight_max,
+  'lost ' || (tried - n) || ' of ' || tried || ' attempted injections' AS warning
+FROM (SELECT max(z) AS z_max, min(weight) AS weight_min, max(weight) AS weight_max FROM w) CROSS JOIN n""", {"z_max": 6, "weight_min": 6, "weight_max": 6})
+def vt_facts(spark, d):
+    far = distant(spark, d)
+    n = far.count()
+    return reports.vt_facts(far, n + n // 50)
+
+
+@query("grid_interpolate", """WITH g AS (SELECT CAST(c_custkey AS DOUBLE) * 3 AS x0, max(c_acctbal) AS y0 FROM customer GROUP BY 1),
   n AS (SELECT *, lead(x0) OVER (ORDER BY x0) AS x1, lead(y0) OVER (ORDER BY x0) AS y1, min(x0) OVER () AS low, max(x0) OVER () AS high FROM g),
-  q AS (SELECT DISTINCT CAST(o_custkey AS DOUBLE) AS x FROM orders WHERE o_custkey <= (SELECT max(x0) FROM g))
-SELECT x, coalesce((SELECT y0 + (x - x0) / (x1 - x0) * (y1 - y0) FROM n WHERE x >= x0 AND x < x1), (SELECT y0 FROM g WHERE x0 = x),
-  (SELECT y0 FROM n WHERE x0 = low)) AS y FROM q""", {"y": 4})
+  q AS (SELECT DISTINCT o_custkey * 3.0::DOUBLE + o_orderkey % 7 - 3 AS x FROM orders)
+SELECT x, CASE WHEN x < (SELECT min(x0) FROM g) THEN (SELECT arg_min(y0, x0) FROM g) WHEN x > (SELECT max(x0) FROM g) THEN NULL
+  ELSE coalesce(y0 + (x - x0) / (x1 - x0) * (y1 - y0), y0) END AS y FROM q ASOF LEFT JOIN n ON q.x >= n.x0""", {"y": 4})
 def grid_interpolate(spark, d):
-    c = v.table(spark, d, "customer").filter("c_custkey % 10 = 0")
-    grid = c.select(F.col("c_custkey").cast("double").alias("x0"), F.col("c_acctbal").alias("y"))
-    top = grid.agg(F.max("x0").alias("_top"))
-    x = v.table(spark, d, "orders").select(F.col("o_custkey").cast("double").alias("x")).distinct()
-    x = x.crossJoin(F.broadcast(top)).filter("x <= _top").select("x")
-    return volume.grid_interpolate(x, "x", grid, "x0", ["y"])
+    nodes = v.table(spark, d, "customer").select((F.col("c_custkey").cast("double") * 3).alias("x0"), F.col("c_acctbal").alias("y"))
+    nodes = nodes.groupBy("x0").agg(F.max("y").alias("y"))
+    x = v.table(spark, d, "orders").select((F.col("o_custkey") * 3.0 + F.col("o_orderkey") % 7 - 3).alias("x")).distinct()
+    return volume.grid_interpolate(x, "x", nodes, "x0", ["y"], beyond="null")
 
 
 VOLUMETRIC = f"""{V3}, {thresholds_sql(by='')}, vf AS (SELECT stat, par / 50 AS weight FROM fg),

@@ -405,15 +405,14 @@ def read_psd(spark, d):
     return io.read_psd(spark, path)
 
 
-@query("completeness_check", f"""WITH {V1} SELECT channel, start_s / 100 AS start_s, end_s / 100 AS end_s,
-  CAST(floor(end_s / 100) - ceil(start_s / 100) + 1 AS BIGINT) AS n_samples,
-  CAST(round_even(end_s / 100 - start_s / 100, 0) AS BIGINT) AS expected, TRUE AS complete FROM segs WHERE end_s - start_s > 200""",
+@query("completeness_check", f"""WITH {V1}, n AS (SELECT event_type AS channel, epoch_us(ts) // 21600000000 AS blk, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT channel, start_s, end_s, coalesce(n, 0) AS n_samples, CAST(round_even((end_s - start_s) * 0.0008, 0) AS BIGINT) AS expected,
+  abs(coalesce(n, 0) - CAST(round_even((end_s - start_s) * 0.0008, 0) AS BIGINT)) <= 0.0008 AS complete FROM segs LEFT JOIN n USING (channel, blk)""",
        {"start_s": 6, "end_s": 6})
 def completeness_check(spark, d):
-    segs = v.segments(spark, d).filter("end_s - start_s > 200").select(
-        "channel", (F.col("start_s") / 100).alias("start_s"), (F.col("end_s") / 100).alias("end_s"))
-    samples = segs.select("*", F.explode(F.sequence(F.ceil("start_s"), F.floor("end_s"))).alias("sample"))
-    return S.completeness_check(samples, segs, 1.0)
+    segs = v.segments(spark, d)
+    stored = v.event_blocks(spark, d).join(segs, ["channel", "blk"])
+    return S.completeness(stored, segs.drop("blk"), 0.0008).select("channel", "start_s", "end_s", "n_samples", "expected", "complete")
 
 
 def audit_rows(spark, d):

@@ -158,17 +158,17 @@ def span_set_equality(spark, d):
     return folds.span_set_equality(grid, grid.filter("score_a > score_b"))
 
 
-@query("phase_permission", f"""WITH {V1}, r AS (SELECT DISTINCT phase, split FROM segs
-  CROSS JOIN (VALUES ('sealed'), ('training'), ('hpo'), ('calibration'), ('final')) p(phase)
-  CROSS JOIN (VALUES ('train'), ('hpo_train'), ('hpo_val'), ('hpo_bg'), ('eval')) s(split))
-SELECT phase, split, CASE phase WHEN 'training' THEN split IN ('train', 'hpo_train', 'hpo_val')
-  WHEN 'hpo' THEN split IN ('hpo_train', 'hpo_val') WHEN 'calibration' THEN split <> 'eval'
-  WHEN 'final' THEN split IN ('eval', 'train') ELSE FALSE END AS allowed FROM r""")
+@query("phase_permission", """WITH r AS (SELECT ['sealed', 'training', 'hpo', 'calibration', 'final', 'other'][event_id % 6 + 1] AS phase,
+    ['train', 'hpo_train', 'hpo_val', 'hpo_bg', 'eval', 'none'][user_id % 6 + 1] AS split, event_type AS label FROM events)
+SELECT phase, split, label, count(*) AS n, CASE phase WHEN 'training' THEN split IN ('train', 'hpo_train', 'hpo_val')
+  WHEN 'hpo' THEN split IN ('hpo_train', 'hpo_val') WHEN 'calibration' THEN split IN ('train', 'hpo_train', 'hpo_val', 'hpo_bg')
+  WHEN 'final' THEN split IN ('eval', 'train') ELSE FALSE END AS allowed FROM r GROUP BY 1, 2, 3""")
 def phase_permission(spark, d):
-    asked = v.segments(spark, d).select(
-        F.explode(F.array(*[F.lit(p) for p in folds.PERMISSIONS])).alias("phase"), "channel"
-    ).select("phase", F.explode(F.array(*[F.lit(s) for s in folds.SPLITS])).alias("split")).distinct()
-    return folds.phase_permission(asked)
+    pick = lambda names, key: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col(key) % 6 + 1).cast("int"))
+    asked = v.table(spark, d, "events").select(
+        pick([*folds.PERMISSIONS, "other"], "event_id").alias("phase"), pick([*folds.SPLITS, "none"], "user_id").alias("split"),
+        F.col("event_type").alias("label"))
+    return folds.phase_permission(asked).groupBy("phase", "split", "label", "allowed").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("first_n_segments", f"WITH {V1} SELECT channel, start_s, end_s FROM segs ORDER BY start_s, end_s, channel LIMIT 25", {"start_s": 6, "end_s": 6})

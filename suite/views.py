@@ -49,6 +49,12 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("channel", "blk", (F.col("a") / 1e6).alias("start_s"), (F.col("b") / 1e6).alias("end_s"))
 
 
+def event_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per event with the channel and block of its segment."""
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("channel"), _us().alias("us")).select(
+        "channel", F.expr("us div 21600000000").alias("blk"))
+
+
 def plain_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir).select("channel", "start_s", "end_s")
 

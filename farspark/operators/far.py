@@ -56,7 +56,7 @@ def far_of(
     cells = cells or Cells.fit(background, stat, by)
     ranked = counts_at_least(both, stat, cells, by, n_louder="n")
     rates = ranked.select(*by, stat, "n_louder", far_rate("n_louder", livetime_yr, trials).alias("far_per_yr"))
-    return foreground.join(rates, [*by, stat], "left")
+    return lookup_values(foreground, rates, stat, by)
 
 
 def ifar(far_per_yr) -> Column:
@@ -64,6 +64,102 @@ def ifar(far_per_yr) -> Column:
     return F.lit(1.0) / c
 
 
+# --- everything a report asks of a background, from one ordered table ------------------------
+
+
+def rank_table(
+    background: DataFrame, stat: str, by: Sequence[str] = (), cells: Cells | None = None, foreground: DataFrame | None = None,
+) -> DataFrame:
+    """(by..., stat, n, n_louder): distinct values with their background count and the background at or above them.
+
+    Values of `foreground` are in it too, with n = 0 where the background has none. Two narrow passes over the background, after
+    which thresholds, rates and extremes are aggregates of this table; it is written once.
+    """
+    by = list(by)
+    counted = value_counts(background, stat, by)
+    if foreground is not None:
+        probes = value_counts(foreground, stat, by).select(*by, stat, F.lit(0).cast("bigint").alias("n"))
+        counted = counted.unionByName(probes).groupBy(*by, stat).agg(F.sum("n").alias("n"))
+    cells = cells or Cells.fit(background, stat, by)
+    return settle(counts_at_least(counted, stat, cells, by, n_louder="n").select(*by, stat, "n", F.coalesce("n_louder", F.lit(0)).alias("n_louder")))
+
+
+def _value_at(rank: int, stat: str) -> list[Column]:
+    """Value of a rank counted from the loudest, the quietest where there are not so many, and the count at or above it."""
+    at = F.when((F.col("n") > 0) & (F.col("n_louder") >= rank), F.col(stat).cast("double"))
+    here = F.when((F.col("n") > 0) & (F.col("n_louder") >= rank), F.col("n_louder"))
+    quietest = F.min(F.when(F.col("n") > 0, F.col(stat).cast("double")))
+    return [F.coalesce(F.max(at), quietest), F.coalesce(F.min(here), F.sum("n"))]
+
+
+def thresholds_from(
+    table: DataFrame, stat: str, livetime_yr: float, targets: Sequence[float], trials: int = 4, by: Sequence[str] = (),
+) -> DataFrame:
+    """`thresholds_at_far` from a rank table, with `n_above`, the background at or above each threshold. Targets under the floor are left out."""
+    floor = resolvable_floor(livetime_yr, trials)
+    by = list(by)
+    asked = [(float(t), allowed_count(t, livetime_yr, trials)) for t in targets if t >= floor]
+    columns = []
+    for i, (_, n) in enumerate(asked):
+        value, above = _value_at(n, stat)
+        columns += [value.alias(f"v{i}"), above.alias(f"a{i}")]
+    wide = table.groupBy(*by).agg(F.sum("n").alias("n_background"), *columns).filter(F.col("n_background") > 0)
+    rows = F.array(*[F.struct(
+        F.lit(t).alias("far_per_yr"), F.lit(n).cast("bigint").alias("n_allowed"), F.col(f"v{i}").alias("threshold"), F.col(f"a{i}").alias("n_above"))
+        for i, (t, n) in enumerate(asked)])
+    if not asked:
+        rows = F.array().cast("array<struct<far_per_yr:double,n_allowed:bigint,threshold:double,n_above:bigint>>")
+    out = wide.select(*by, "n_background", F.explode(rows).alias("t"))
+    return settle(out.select(
+        *by, "t.far_per_yr", "t.n_allowed", "n_background", "t.threshold", (F.col("t.n_allowed") < F.col("n_background")).alias("resolved"), "t.n_above"))
+
+
+def far_from(table: DataFrame, foreground: DataFrame, stat: str, livetime_yr: float, trials: int = 4, by: Sequence[str] = ()) -> DataFrame:
+    """`far_of` from a rank table that was made with this foreground; infinite in a group without background.
+
+    A value that fills much of the foreground is looked up in a small table of such values, so it is not one task of the join.
+    """
+    by = list(by)
+    rates = table.select(*by, stat, far_rate("n_louder", livetime_yr, trials).alias("far_per_yr"))
+    measured = table.groupBy(*by).agg(F.sum("n").alias("_n_background"))
+    out = lookup_values(foreground, rates, stat, by)
+    out = out.join(measured, by, "left") if by else out.crossJoin(F.broadcast(measured))  # one row
+    known = F.when(F.col("_n_background") > 0, F.col("far_per_yr")).otherwise(F.lit(float("inf")))
+    return out.withColumn("far_per_yr", F.coalesce(known, F.lit(float("inf")))).drop("_n_background")
+
+
+def lookup_values(rows: DataFrame, table: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """`rows` left-joined to a table of distinct values; values that fill whole quantiles of `rows` come from a broadcast of those few.
+
+    At most some hundred values per group can be hot, whatever the size of either side.
+    """
+    by = list(by)
+    hot = list(Cells.fit(rows, value).hot)
+    if not hot:
+        return rows.join(table, [*by, value], "left")
+    is_hot = F.coalesce(F.col(value).cast("double").isin(*hot), F.lit(False))
+    return rows.filter(~is_hot).join(table, [*by, value], "left").unionByName(
+        rows.filter(is_hot).join(F.broadcast(table.filter(is_hot)), [*by, value], "left"))
+
+
+def scanned_from(
+    table: DataFrame, foreground: DataFrame, stat: str, livetime_yr: float, trials: int = 4, member: Column | None = None, steps: int = 8,
+) -> DataFrame:
+    """`scanned_ranks` from a rank table of one channel."""
+    n = table.agg(F.sum("n")).first()[0] or 0
+    ranks = geometric_ranks(n, steps)
+    cuts = [F.struct(F.lit(r).cast("bigint").alias("n_louder"), _value_at(r, stat)[0].alias("threshold")) for r in ranks]
+    empty = F.array().cast("array<struct<n_louder:bigint,threshold:double>>")
+    cut = table.agg(F.array(*cuts).alias("c") if cuts else F.first(empty).alias("c")).select(F.explode("c").alias("c")).select("c.*")
+    beat = passes(stat, F.col("threshold"), inclusive=False) & (F.lit(True) if member is None else member)
+    judged = foreground.crossJoin(F.broadcast(cut)).groupBy("n_louder", "threshold").agg(F.avg(beat.cast("double")).alias("efficiency"))  # at most `steps` cuts
+    return judged.withColumn("far_per_yr", F.lit(float(trials)) * F.col("n_louder") / F.lit(float(livetime_yr)))
+
+
+def loudest_from(table: DataFrame, stat: str, by: Sequence[str] = ()) -> DataFrame:
+    return table.groupBy(*by).agg(F.max(F.when(F.col("n") > 0, F.col(stat))).alias("loudest"), F.sum("n").alias("n"))
+
+
 def thresholds_at_far(
     background: DataFrame, stat: str, livetime_yr: float, targets: Sequence[float], trials: int = 4,
     by: Sequence[str] = (), cells: Cells | None = None, below_floor: str = "raise",

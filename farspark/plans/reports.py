@@ -23,7 +23,7 @@ from farspark.operators import far as rates
 from farspark.operators import folds, ranking, slides, volume
 from farspark.operators.calibration import efficiency_at_quantile, shape_stats, spearman, tile_properties
 from farspark.operators.bounded import loudest_slides
-from farspark.operators.ordered import Cells, group_sizes, percentiles, union_all
+from farspark.operators.ordered import percentiles, union_all
 from farspark.operators.records import record_problems
 from farspark.operators.series import coherence_rows
 from farspark.operators.settle import settle
@@ -141,31 +141,23 @@ def efficiency_report(
         foreground = foreground.withColumn("passes_gate", ~is_glitch("hm", "lm"))
     else:
         foreground = foreground.withColumn("passes_gate", F.lit(True))
-    cells = Cells.fit(background, stat, ["channel"])
-    thresholds = rates.thresholds_at_far(
-        background, stat, livetime_yr, targets, trials, ["channel"], cells, below_floor="drop"
-    )
-    thresholds = quotable_thresholds(thresholds, floors)
+    ranked = rates.rank_table(background, stat, ["channel"], foreground=foreground)
+    thresholds = quotable_thresholds(rates.thresholds_from(ranked, stat, livetime_yr, targets, trials, ["channel"]).drop("n_above"), floors)
     judged = rates.own_channel_threshold(foreground, thresholds, stat, ["channel"], inclusive=False)
     judged = judged.withColumn("found", F.col("found") & F.col("passes_gate"))
-    strict_background = background.filter(F.col("channel") == "strict")
     member = (F.col("channel") == "strict") & F.col("passes_gate")
-    rated = rates.far_of(foreground, background, stat, livetime_yr, trials, ["channel"], cells)
+    strict = ranked.filter(F.col("channel") == "strict").drop("channel")
     # Nothing can be said about a channel without background, so its rate is not the smallest but infinite.
-    measured = group_sizes(background, stat, ["channel"]).select("channel", F.col("n").alias("n_background"))
-    rated = rated.join(measured, "channel", "left").withColumn(
-        "far_per_yr", F.when(F.col("n_background") > 0, F.col("far_per_yr")).otherwise(F.lit(float("inf")))
-    )
-    rated = rated.withColumn("far_per_yr", F.coalesce("far_per_yr", F.lit(float("inf")))).drop("n_background")
+    rated = rates.far_from(ranked, foreground, stat, livetime_yr, trials, ["channel"])
     out = {
         "thresholds": thresholds,
         "efficiency": eff.efficiency(judged, by=["far_per_yr"]),
-        "scanned": rates.scanned_ranks(strict_background, foreground, stat, livetime_yr, trials, member),
-        "loudest": rates.loudest(background, stat, ["channel"]),
+        "scanned": rates.scanned_from(strict, foreground, stat, livetime_yr, trials, member),
+        "loudest": rates.loudest_from(ranked, stat, ["channel"]).filter("n > 0"),
     }
     if "network_snr" in foreground.columns:
         out["vs_snr"] = eff.efficiency_vs_snr(judged, by=["far_per_yr"])
-        banded = rated.withColumn("snr_band", bin_index("network_snr", FAR_SNR_EDGES))
+        banded = settle(rated.select(bin_index("network_snr", FAR_SNR_EDGES).alias("snr_band"), "far_per_yr"))
         out["far_quantiles"] = rates.injection_far_quantiles(banded, "snr_band")
     if "total_mass" in foreground.columns:
         out["vs_mass"] = eff.efficiency_vs_mass(judged, by=["far_per_yr"], edges=REPORT_MASS_EDGES)
@@ -238,13 +230,15 @@ def lr_far(
     """
     eff.require_foreground(foreground, [stat, "network_snr"])
     checked = {"provenance": ranking.require_provenance(*provenance)} if provenance else {}
-    thresholds = rates.thresholds_at_far(background, stat, livetime_yr, targets, trials, below_floor="drop")
+    found = rates.thresholds_from(rates.rank_table(background, stat), stat, livetime_yr, targets, trials)
+    thresholds = found.drop("n_above")
     judged = rates.own_channel_threshold(foreground, thresholds, stat, [], inclusive=False)
     quoted = [t for t in targets if t >= rates.resolvable_floor(livetime_yr, trials)]
     last = judged.filter(F.col("far_per_yr") == F.lit(min(quoted) if quoted else None).cast("double"))
     return {
         "thresholds": thresholds,
-        "achieved": rates.achieved_far(background, thresholds, stat, livetime_yr, trials),
+        "achieved": found.select(
+            "far_per_yr", "threshold", "n_above", (F.lit(float(trials)) * F.col("n_above") / F.lit(float(livetime_yr))).alias("achieved_far_per_yr")),
         "efficiency": eff.efficiency(judged, by=["far_per_yr", "threshold"]),
         "vs_snr": eff.efficiency_vs_snr(last),
         **checked,

@@ -21,4 +21,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
-        F.sha2("kept", 256).alias("kept_sha256"))
+        F.sha2("kept", 256).alias("kept_sha256"), F.when(F.size("removed") > 0, substrings.as_text()("kept")).otherwise(F.col("text")).alias("text"))

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 SAMPLE = 4000
+#: Distinct n-grams of a training text that reach the driver; a text of over ten thousand words has more.
+MOST_NGRAMS = 1 << 14
 BUCKET_BITS = 17
 SIZES = (3, 4, 5)
 DIM = 4
@@ -150,21 +152,24 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Train on at most `sample` labelled rows per class, those with the smallest hash of `key`.
 
     `labels` has `key` and `label` (0 or 1; null is no label). Labels without a document and documents without a label are
-    no examples. The sample's rows, at most twice `sample`, are broadcast to find their texts, and their bags of n-grams
-    are what the driver receives.
+    no examples. The sample's keys, at most twice `sample`, are broadcast to find their texts; of rows that share a key one is taken, the one
+    of the smallest text hash. Their bags of n-grams are what the driver receives, at most `MOST_NGRAMS` of each, those of smallest number:
+    a bound of 4 * 2 * sample * MOST_NGRAMS bytes, whatever the texts.
     """
     known = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).filter("_label in (0, 1)")
-    draw = [known.filter(F.col("_label") == c).orderBy(F.xxhash64("_key"), "_key").limit(sample) for c in (0, 1)]
+    draw = [known.filter(F.col("_label") == c).distinct().orderBy(F.xxhash64("_key"), "_key").limit(sample) for c in (0, 1)]
     chosen = F.broadcast(draw[0].unionByName(draw[1]))
     rows = docs.select(F.col(key).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [bag(t.as_buffer().to_pybytes()) for t in batch.column("_text")]
+            found = [np.sort(bag(t.as_buffer().to_pybytes()))[:MOST_NGRAMS] for t in batch.column("_text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_order"), batch.column("_label"), pa.array(found, pa.list_(pa.int32()))], ["turn", "label", "buckets"])
 
-    sampled = rows.join(chosen, rows["_doc"] == F.col("_key")).select(F.xxhash64("_key", "_text").alias("_order"), "_label", "_text")
+    held = rows.join(chosen, rows["_doc"] == F.col("_key")).select("_key", "_label", F.xxhash64("_key", "_text").alias("_order"), "_text")
+    first = held.groupBy("_key", "_label").agg(F.min("_order").alias("_order"))
+    sampled = held.join(first, ["_key", "_label", "_order"], "left_semi").dropDuplicates(["_key", "_label"]).select("_order", "_label", "_text")
     got = sampled.mapInArrow(bags, "turn long, label int, buckets array<int>").toArrow().sort_by([("turn", "ascending"), ("label", "ascending")])
     counts = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     prior = counts.get(1, 0) / max(1, sum(counts.values()))

@@ -25,7 +25,7 @@ def test_query_equals_its_sql(spark, name):
 
 def test_all_are_registered():
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and set(QUERIES) <= set(names) and "pipeline" in names
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)} and set(QUERIES) <= set(names) and "pipeline" in names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "suffix_array_dedup", "mixing", "best_fit_packing"]
 
 
@@ -154,3 +154,27 @@ def test_the_pipeline_takes_an_empty_table(spark, corpus, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{corpus}/{t}.parquet").filter(F.lit(False)).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_under_null_and_repeated_ids_go(spark):
+    rng = random.Random(21)
+    body = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(100)) for _ in range(4)]
+    rows = [(5, body[0]), (None, body[0] + " more"), (None, body[0] + " other"), (None, body[1]), (5, body[2]), (9, body[2] + " end"),
+            (7, body[3]), (7, body[3]), (None, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_hash", F.lit("clash"))
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()))
+    assert got == sorted([(5, body[0]), (0, body[1]), (5, body[2]), (7, body[3]), (0, ""), (8, "")])
+
+
+def test_the_toxicity_sample_is_bounded(spark, monkeypatch):
+    from farspark.llm import toxicity
+
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda bags, labels, prior: seen.append((len(bags), max(map(len, bags)))))
+    monkeypatch.setattr(toxicity, "MOST_NGRAMS", 50)
+    long = " ".join(f"word{i}" for i in range(500))
+    docs = spark.createDataFrame([(1, f"{long} {i}") for i in range(300)] + [(2, "short one"), (2, "short two")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels, sample=1)
+    assert seen == [(2, 50)]

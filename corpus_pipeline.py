@@ -25,11 +25,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of smallest id stays; of rows equal in id and text one stays."""
-    found = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    stay = settle(found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept")).distinct())
-    rows = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").withColumn("_hash", F.xxhash64("text"))
-    return rows.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    """Of each group of near copies the document of smallest id stays, one without an id only where none has one.
+
+    Documents are named by id and text hash, so repeated and null ids take nothing with them; of rows equal in both one stays.
+    """
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), name.alias("_name"), F.col("text").alias("_text"))  # so that no column can clash
+    found = jaccard.near_duplicates(rows.select("_name", "_text"), key="_name", text="_text")
+    stay = settle(found.filter(F.col("component_id") == F.col("_name")).select(F.col("_name").alias("_kept")).distinct())
+    kept = rows.join(stay, F.col("_name") == F.col("_kept"), "left_semi").withColumns({"_id": F.col("_name.id"), "_hash": F.col("_name.hash")})
+    return kept.dropDuplicates(["_id", "_hash"]).select("_doc.*")
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

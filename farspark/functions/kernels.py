@@ -200,15 +200,16 @@ def optimal_snr(freq, psd, fs: float = 4096, f_low: float = 20.0, f_high: float
     return run
 
 
-def optimal_snr_by_channel(psds: dict, fs: float = 4096, f_low: float = 20.0, f_high: float | None = None):
-    """UDF (channel, series) -> optimal SNR against the channel's own reference PSD."""
-    curves = {c: (np.asarray(f, float), np.asarray(s, float)) for c, (f, s) in psds.items()}
+def optimal_snr_on_curve(fs: float = 4096, f_low: float = 20.0, f_high: float | None = None):
+    """UDF (freq, psd, series) -> optimal SNR against the reference curve of the same row. Rows of one curve are worked on together."""
 
     @F.pandas_udf("double")
-    def run(channel: pd.Series, x: pd.Series) -> pd.Series:
+    def run(freq: pd.Series, psd: pd.Series, x: pd.Series) -> pd.Series:
         out = pd.Series(np.nan, index=x.index)
-        for c, rows in x.groupby(channel):
-            out[rows.index] = _scalar(lambda m: snr_of(m, *curves[c], fs, f_low, f_high), rows.reset_index(drop=True)).to_numpy()
+        curve = pd.Series([hash((f.tobytes(), s.tobytes())) for f, s in zip(freq, psd)], index=x.index)
+        for _, rows in x.groupby(curve):
+            f, s = np.asarray(freq[rows.index[0]], float), np.asarray(psd[rows.index[0]], float)
+            out[rows.index] = _scalar(lambda m: snr_of(m, f, s, fs, f_low, f_high), rows.reset_index(drop=True)).to_numpy()
         return out
 
     return run

@@ -238,7 +238,8 @@ def top_k_per_channel(
 ) -> DataFrame:
     """The k loudest triggers of each channel, ties cut in the order of `ties`; `floor` is the smallest kept.
 
-    The k-th value is selected first, so only about k rows of a channel ever reach the ranking window.
+    The k-th value is selected first, and of the rows that share it each of a number of parts hands on at most k, so only some k rows of a
+    channel ever reach the ranking window, however many are equal.
     """
     by = list(by)
     cells = cells or Cells.fit(triggers, stat, by)
@@ -247,8 +248,14 @@ def top_k_per_channel(
     loud = (triggers.join(floors, by) if by else triggers.crossJoin(F.broadcast(floors))).filter(
         F.col(stat) >= F.col("floor")
     )
+    parts = max(1, int(triggers.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    deal = F.pmod(F.xxhash64(*ties), F.lit(parts)) if ties else F.spark_partition_id()
+    inside = W.partitionBy(*by, "_part").orderBy(*(ties or [F.lit(0)]))
+    equal = loud.filter(F.col(stat) == F.col("floor")).withColumn("_part", deal)
+    equal = equal.withColumn("_rank", F.row_number().over(inside)).filter(F.col("_rank") <= k).drop("_part", "_rank")
+    few = loud.filter(F.col(stat) > F.col("floor")).unionByName(equal)
     w = W.partitionBy(*by).orderBy(F.col(stat).desc(), *ties)
-    return loud.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return few.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def refuse_below_floor(thresholds: DataFrame, floors: DataFrame, by: Sequence[str] = ("channel",)) -> DataFrame:

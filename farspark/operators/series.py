@@ -7,14 +7,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from farspark.errors import RefusedError
 from farspark.functions import kernels
 from farspark.functions.arrays import band_crop, rescale
 from farspark.functions.expressions import HIGH_MASS_BAND_HZ, LOW_MASS_BAND_HZ, column_for
 from farspark.operators.ordered import percentiles
 
-PSD_ROWS = 200_000
-
 
 def window_grid(
     chunks: DataFrame, fs: float, window_s: float, stride_s: float, keys: Sequence[str] = ("channel", "span_start"),
@@ -72,19 +69,28 @@ def floor_psd(psd: DataFrame, relative: float = 1e-10, by: Sequence[str] = ("cha
     return out.withColumn("asd", F.sqrt("floored")).drop("_median")
 
 
-def psd_arrays(psd: DataFrame, column: str = "floored") -> tuple[list[float], list[float]]:
-    """One channel's reference curve for a kernel's closure; its size is checked, a curve is thousands of bins."""
-    rows = psd.select("freq", column).orderBy("freq").limit(PSD_ROWS + 1).collect()
-    if len(rows) > PSD_ROWS:
-        raise RefusedError(f"a reference curve of more than {PSD_ROWS} bins is not one curve")
-    return [r[0] for r in rows], [r[1] for r in rows]
+def psd_curves(psd: DataFrame, column: str = "floored", by: Sequence[str] = ("channel",)) -> DataFrame:
+    """(by..., freq, psd): each reference curve as two arrays in the order of frequency."""
+    bins = F.array_sort(F.collect_list(F.struct(F.col("freq").cast("double").alias("f"), F.col(column).cast("double").alias("s"))))
+    return psd.groupBy(*by).agg(bins.alias("_bins")).select(*by, F.col("_bins.f").alias("freq"), F.col("_bins.s").alias("psd"))
+
 
+def network_snr(
+    series: DataFrame, curves: DataFrame | dict[str, tuple], fs: float, data: str = "series", f_low: float = 20.0, by: Sequence[str] = ("channel",),
+) -> DataFrame:
+    """Root sum of squares of the per-channel optimal SNR of each source, (source_id, network_snr).
 
-def network_snr(series: DataFrame, psds: dict[str, tuple], fs: float, data: str = "series", f_low: float = 20.0) -> DataFrame:
-    """Root sum of squares of the per-channel optimal SNR of each source."""
-    snr = kernels.optimal_snr_by_channel(psds, fs, f_low)
-    per = series.filter(F.col("channel").isin(*psds)).withColumn("snr", snr("channel", data))
-    return per.groupBy("source_id").agg(F.sqrt(F.sum(F.col("snr") * F.col("snr"))).alias("network_snr"))
+    `curves` has one row per channel, or per channel and epoch where `by` says so: (by..., freq, psd), as `psd_curves` makes them. A
+    curve meets the series by a join, so neither its length nor their number is limited by the driver. A dictionary of channel to (freq, psd) will
+    do too. Series without a curve have no part in the sum.
+    """
+    by = list(by)
+    if isinstance(curves, dict):
+        rows = [(c, [float(x) for x in f], [float(x) for x in s]) for c, (f, s) in curves.items()]
+        curves = series.sparkSession.createDataFrame(rows, "channel string, freq array<double>, psd array<double>")
+    snr = kernels.optimal_snr_on_curve(fs, f_low)
+    joined = series.select("source_id", *by, data).join(curves.select(*by, "freq", "psd"), by)
+    return joined.withColumn("snr", snr("freq", "psd", data)).groupBy("source_id").agg(F.sqrt(F.sum(F.col("snr") * F.col("snr"))).alias("network_snr"))
 
 
 def rescale_to_target(series: DataFrame, data: str = "series", current: str = "current_snr", target: str = "target_snr") -> DataFrame:

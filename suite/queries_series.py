@@ -174,7 +174,12 @@ CURVE = f"""{PSD}, lowest AS (SELECT quantile_cont(psd, 0.5) * 1e-3 AS lo FROM p
 
 
 def reference_curve(spark, d, column="floored"):
-    return series.psd_arrays(series.floor_psd(psd_table(spark, d), 1e-3), column)
+    row = curves(spark, d, column).first()  # the one curve a closure carries
+    return list(row["freq"]), list(row["psd"])
+
+
+def curves(spark, d, column="floored"):
+    return series.psd_curves(series.floor_psd(psd_table(spark, d), 1e-3), column)
 
 
 @query("whiten_spectral", f"""WITH {V5}, {CURVE}, {dft('xa', 64, 0, 32, False, 'c')}
@@ -203,8 +208,8 @@ def network_snr(spark, d):
     long = union_all([
         pairs.select(F.col("vec_id").alias("source_id"), F.lit(c).alias("channel"), F.col(x).alias("series")) for c, x in (("a", "xa"), ("b", "xb"))
     ])
-    curve = reference_curve(spark, d)
-    return series.network_snr(long, {"a": curve, "b": curve}, FS, f_low=2.0)
+    one = curves(spark, d).drop("channel")
+    return series.network_snr(long, union_all([one.withColumn("channel", F.lit(c)) for c in "ab"]), FS, f_low=2.0)
 
 
 @query("rescale_to_target", f"""WITH {V5}, u AS (SELECT vec_id, list_sum(list_transform(xa, lambda x: x * x)) AS ea, list_sum(xa) AS sa, list_sum(xb) AS sb FROM sp)

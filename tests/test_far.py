@@ -140,3 +140,35 @@ def test_a_channel_without_background_has_an_infinite_rate(spark):
     got = {r["snr_band"]: r for r in reports.efficiency_report(background, foreground, 10.0, (100.0,), stat="stat")["far_quantiles"].collect()}
     assert got[1]["best_far"] == got[1]["median_far"] == float("inf")
     assert got[0]["best_far"] == pytest.approx(20.0) and got[0]["median_far"] == float("inf")
+
+
+@pytest.mark.parametrize("k", [1, 3, 40, 500])
+def test_top_k_with_a_value_that_fills_a_channel(spark, k):
+    rows = [("c", 7.0, i) for i in range(300)] + [("c", 9.0 + i, 1000 + i) for i in range(2)] + [("c", 1.0, 5000), ("d", 2.0, 1)]
+    df = spark.createDataFrame(rows, "channel string, stat double, i int").repartition(5)
+    got = [(r["channel"], r["stat"], r["i"], r["rank"]) for r in far.top_k_per_channel(df, "stat", k, ties=["i"]).collect()]
+    order = sorted((r for r in rows if r[0] == "c"), key=lambda r: (-r[1], r[2]))[:k]
+    assert sorted(got) == sorted([(*r, n) for n, r in enumerate(order, 1)] + [("d", 2.0, 1, 1)])
+
+
+def test_reports_read_a_rank_table_as_they_would_the_background(spark):
+    rng = np.random.default_rng(6)
+    bg = spark.createDataFrame([("ab"[int(i % 3 == 0)], float(np.round(x, 1))) for i, x in enumerate(rng.normal(size=600))] + [("a", float("nan"))], "channel string, stat double")
+    fg = spark.createDataFrame([("abc"[i % 3], 0.5 if i % 2 else float(x)) for i, x in enumerate(rng.normal(size=200))], "channel string, stat double")
+    table = far.rank_table(bg, "stat", ["channel"], foreground=fg)
+    key = lambda df, *c: sorted(tuple(r) for r in df.select(*c).collect())
+    columns = ["channel", "far_per_yr", "n_allowed", "n_background", "threshold", "resolved"]
+    want = far.thresholds_at_far(bg, "stat", 2.0, (1000.0, 100.0, 5.0, 0.1), 4, ["channel"], below_floor="drop")
+    got = far.thresholds_from(table, "stat", 2.0, (1000.0, 100.0, 5.0, 0.1), 4, ["channel"])
+    assert key(got, *columns) == key(want, *columns)
+    above = {(r["channel"], r["far_per_yr"]): r["n_above"] for r in far.achieved_far(bg.filter("not isnan(stat)"), want, "stat", 2.0, 4, ["channel"]).collect()}
+    assert {(r["channel"], r["far_per_yr"]): r["n_above"] for r in got.collect()} == above
+    plain = far.far_of(fg, bg, "stat", 2.0, 4, ["channel"]).filter("channel <> 'c'")
+    rated = far.far_from(table, fg, "stat", 2.0, 4, ["channel"])
+    assert key(rated.filter("channel <> 'c'"), "channel", "stat", "far_per_yr") == key(plain, "channel", "stat", "far_per_yr")
+    assert {r["far_per_yr"] for r in rated.filter("channel = 'c'").collect()} == {float("inf")}
+    one = table.filter("channel = 'a'").drop("channel")
+    a = bg.filter("channel = 'a'")
+    assert key(far.scanned_from(one, fg, "stat", 2.0), "n_louder", "threshold", "efficiency") == key(
+        far.scanned_ranks(a, fg, "stat", 2.0), "n_louder", "threshold", "efficiency")
+    assert key(far.loudest_from(table, "stat", ["channel"]).filter("n > 0"), "channel", "loudest", "n") == key(far.loudest(bg, "stat", ["channel"]), "channel", "loudest", "n")

@@ -66,6 +66,18 @@ def test_snr_is_linear_and_adds_in_quadrature(spark, pairs):
     assert net == pytest.approx(np.hypot(x, y))
 
 
+def test_curves_per_channel_and_epoch_meet_their_series(spark, pairs):
+    freq = np.linspace(0, FS / 2, 40)
+    psd = {(c, e): 1.0 + k + np.sin(freq / 300) ** 2 for k, (c, e) in enumerate([("a", 1), ("a", 2), ("b", 1)])}
+    rows = [(c, e, float(f), float(x)) for (c, e), s in psd.items() for f, x in zip(freq, s)]
+    curves = series.psd_curves(spark.createDataFrame(rows, "channel string, epoch int, freq double, psd double").repartition(3), "psd", ["channel", "epoch"])
+    one = lambda c, e, x: pairs.select(F.col("id").alias("source_id"), F.lit(c).alias("channel"), F.lit(e).alias("epoch"), F.col(x).alias("series"))
+    long = one("a", 1, "a").unionByName(one("a", 2, "a")).unionByName(one("b", 1, "b")).unionByName(one("b", 9, "b"))
+    got = {r["source_id"]: r["network_snr"] for r in series.network_snr(long, curves, FS, by=["channel", "epoch"]).collect()}
+    for r in pairs.select("id", *[K.optimal_snr(freq, s)(x).alias(f"s{k}") for k, (s, x) in enumerate(zip(psd.values(), "aab"))]).collect():
+        assert got[r["id"]] == pytest.approx(np.sqrt(r["s0"] ** 2 + r["s1"] ** 2 + r["s2"] ** 2))
+
+
 def test_delay_whiten_and_matched_filter(pairs):
     d = K.fractional_delay()
     r = pairs.limit(1).select("a", d("a", F.lit(3.0)).alias("whole"), d(d("a", F.lit(1.25)), F.lit(-1.25)).alias("back"),

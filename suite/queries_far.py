@@ -377,7 +377,96 @@ def efficiency_report_far_quantiles(spark, d):
     return report["far_quantiles"]
 
 
-@query("baseline_seeds", f"""WITH {V3}, {EDGE_SQL.replace("WHERE stat > 60", "WHERE channel = 'strict'")}
+STRICT_EDGE = EDGE_SQL.replace("FROM bg GROUP BY 1", "FROM bg WHERE channel = 'strict' GROUP BY 1")
+#: Per seed the targets that every channel of it resolves, and what is found of its foreground there.
+SEEDS = f"""{V3}, {thresholds_sql(by='seed, channel')}, bad AS (SELECT DISTINCT seed, far_per_yr FROM thr WHERE NOT resolved),
+  good AS (SELECT * FROM thr ANTI JOIN bad USING (seed, far_per_yr)), ask AS (SELECT DISTINCT seed, far_per_yr FROM good),
+  hit AS (SELECT f.seed, a.far_per_yr, count(*) AS n_total, count(*) FILTER (f.stat > g.threshold) AS n_found FROM fg f JOIN ask a USING (seed)
+    LEFT JOIN good g ON g.seed = f.seed AND g.channel = f.channel AND g.far_per_yr = a.far_per_yr GROUP BY 1, 2),
+  per_seed AS (SELECT *, n_found / CAST(n_total AS DOUBLE) AS efficiency, {wilson('n_found', 'n_total')} FROM hit)"""
+
+
+def seeds(spark, d):
+    bg, fg = both(spark, d)
+    return reports.baseline_seeds(bg, fg, "stat", YEARS, TARGETS, TRIALS)
+
+
+@query("baseline_seeds_per_seed", f"WITH {SEEDS} SELECT * FROM per_seed", ROUND)
+def baseline_per_seed(spark, d):
+    return seeds(spark, d)["per_seed"]
+
+
+@query("baseline_seeds_summary", f"""WITH {SEEDS} SELECT far_per_yr, avg(efficiency) AS mean, min(efficiency) AS min, max(efficiency) AS max,
+  max(efficiency) - min(efficiency) AS range, stddev_samp(efficiency) AS sd, count(*) AS n_seeds FROM per_seed GROUP BY 1""",
+       {"mean": 6, "min": 6, "max": 6, "range": 6, "sd": 6})
+def baseline_summary(spark, d):
+    return seeds(spark, d)["summary"]
+
+
+@query("baseline_seeds_edges", f"WITH {V3}, {STRICT_EDGE} SELECT * FROM edges", {"edge_stat": 6, "efficiency": 6, "far_per_yr": 6})
+def baseline_edges(spark, d):
+    return seeds(spark, d)["edges"]
+
+
+@query("baseline_seeds_ceiling", f"""WITH {V3}, n AS (SELECT seed, channel, count(*) AS n_background FROM bg GROUP BY 1, 2)
+SELECT seed, channel, n_background, 4 * n_background / 10.0::DOUBLE AS ceiling_per_yr, far_per_yr,
+  far_per_yr >= 0.4 AND n_allowed < n_background AS resolvable FROM n CROSS JOIN {N_ALLOWED}""", {"ceiling_per_yr": 6})
+def baseline_ceiling(spark, d):
+    return seeds(spark, d)["ceiling"]
+
+
+# --- every output of the efficiency report --------------------------------------------------
+
+
+def report_of(spark, d, targets=TARGETS, **columns):
+    bg, fg = both(spark, d)
+    return reports.efficiency_report(bg, fg.withColumns(columns), YEARS, targets, TRIALS, stat="stat")
+
+
+OWN = f"""{V3}, {thresholds_sql()}, own AS (SELECT fg.*, stat > threshold AS found FROM fg JOIN thr USING (channel) WHERE far_per_yr = 100)"""
+
+
+@query("efficiency_report_thresholds", f"WITH {V3}, {thresholds_sql()} SELECT * FROM thr WHERE far_per_yr NOT IN (SELECT far_per_yr FROM thr WHERE NOT resolved)",
+       {"threshold": 6})
+def efficiency_report_thresholds(spark, d):
+    return report_of(spark, d)["thresholds"]
+
+
+@query("efficiency_report_scanned", f"""WITH {V3}, sb AS (SELECT * FROM bg WHERE channel = 'strict'), n AS (SELECT count(*) AS n FROM sb),
+  k AS (SELECT DISTINCT CAST(greatest(1, least(n, round_even(pow(greatest(n, 2), s / 7.0), 0))) AS BIGINT) AS n_louder FROM n CROSS JOIN range(8) t(s)),
+  r AS (SELECT stat, row_number() OVER (ORDER BY stat DESC) AS rk FROM sb)
+SELECT n_louder, r.stat AS threshold, 4 * n_louder / 10.0::DOUBLE AS far_per_yr,
+  count(*) FILTER (fg.stat > r.stat AND channel = 'strict') / CAST(count(*) AS DOUBLE) AS efficiency
+FROM k JOIN r ON rk = n_louder CROSS JOIN fg GROUP BY 1, 2""", {"threshold": 6, "far_per_yr": 6, "efficiency": 6})
+def efficiency_report_scanned(spark, d):
+    return report_of(spark, d)["scanned"]
+
+
+@query("efficiency_report_loudest", f"WITH {V3} SELECT channel, max(stat) AS loudest, count(stat) AS n FROM bg GROUP BY 1", {"loudest": 6})
+def efficiency_report_loudest(spark, d):
+    return report_of(spark, d)["loudest"]
+
+
+@query("efficiency_report_mass", f"""WITH {OWN}, m AS (SELECT par * 5 AS par, found FROM own),
+  {binned_sql(X.REPORT_MASS_EDGES, 'm')}""", ROUND)
+def efficiency_report_mass(spark, d):
+    return report_of(spark, d, (100.0,), total_mass=F.col("par") * 5)["vs_mass"].drop("far_per_yr")
+
+
+@query("efficiency_report_gated", f"""WITH {V3}, gk AS (SELECT * FROM bg WHERE NOT greatest(hm, lm) < 0.5), {thresholds_sql('gk')},
+  fl AS (SELECT channel, min(stat) AS floor FROM bg GROUP BY 1),
+  bad AS (SELECT DISTINCT far_per_yr FROM thr JOIN fl USING (channel) WHERE NOT (resolved AND NOT threshold < floor))
+SELECT far_per_yr, count(*) AS n_total, count(*) FILTER (stat > threshold AND NOT greatest(hm, lm) < 0.5) AS n_found,
+  count(*) FILTER (stat > threshold AND NOT greatest(hm, lm) < 0.5) / CAST(count(*) AS DOUBLE) AS efficiency,
+  {wilson('count(*) FILTER (stat > threshold AND NOT greatest(hm, lm) < 0.5)', 'count(*)')}
+FROM fg JOIN thr USING (channel) WHERE far_per_yr NOT IN (SELECT far_per_yr FROM bad) GROUP BY 1""", ROUND)
+def efficiency_report_gated(spark, d):
+    bg, fg = both(spark, d)
+    gated = bg.withColumn("kept", ~X.is_glitch("hm", "lm"))
+    return reports.efficiency_report(bg, fg, YEARS, TARGETS, TRIALS, stat="stat", gated=gated)["efficiency"]
+
+
+@query("baseline_seeds", f"""WITH {V3}, {STRICT_EDGE}
 SELECT avg(efficiency) AS efficiency_mean, max(efficiency) - min(efficiency) AS efficiency_range, avg(far_per_yr) AS far_per_yr_mean,
   max(far_per_yr) - min(far_per_yr) AS far_per_yr_range, count(*) AS n_seeds FROM edges""",
        {"efficiency_mean": 6, "efficiency_range": 6, "far_per_yr_mean": 6, "far_per_yr_range": 6})

@@ -479,10 +479,44 @@ def gate_report(spark, d):
     return eff.gate_kept(top.withColumn("kept", ~X.is_glitch("hm", "lm")), "stat")
 
 
-@query("gate_slides")
+#: Triggers of the feature grid: net sigma above 2, clustered, in their channel.
+CHANNELLED = f"""{v.FGRID}, gn AS (SELECT avg(score_a) AS mu_a, stddev_pop(score_a) AS sd_a, avg(score_b) AS mu_b, stddev_pop(score_b) AS sd_b FROM fgrid),
+  sgrid AS (SELECT fgrid.*, (score_a - mu_a) / sd_a AS sa, (score_b - mu_b) / sd_b AS sb FROM fgrid CROSS JOIN gn), {v.slid_sql('sgrid', 23)},
+  netted AS (SELECT * FROM (SELECT *, (sigma_a + sigma_b) / sqrt(2) AS net_sigma FROM every) WHERE net_sigma > 2.0),
+  trig AS (SELECT *, CASE WHEN centroid_a < {X.CENTROID_CUT_HZ!r} AND centroid_b < {X.CENTROID_CUT_HZ!r} AND coherence >= {X.COHERENCE_CUT!r} THEN 'strict'
+    ELSE 'general' END AS channel FROM (SELECT *, max(net_sigma) OVER (PARTITION BY span_start, lag_index ORDER BY i
+    RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS best FROM netted) WHERE net_sigma >= best)"""
+
+
+def channelled_curve(spark, d):
+    grid = settle(v.feature_grid(spark, d))
+    return grid, reports.far_curve(grid, v.STRIDE_S, 23, v.STEP_S, v.CLUSTER_S, v.NET_FLOOR, band=BAND)
+
+
+@query("far_curve_channels", f"""WITH {CHANNELLED} SELECT channel, lag_index, count(*) AS n, max(net_sigma) AS loudest, avg(coherence) AS coherence
+FROM trig GROUP BY 1, 2""", {"loudest": 6, "coherence": 6})
+def far_curve_channels(spark, d):
+    _, curve = channelled_curve(spark, d)
+    return curve.triggers.groupBy("channel", "lag_index").agg(
+        F.count(F.lit(1)).alias("n"), F.max("net_sigma").alias("loudest"), F.avg("coherence").alias("coherence"))
+
+
+@query("far_curve_channel_thresholds", f"""WITH {CHANNELLED}, yr AS (SELECT count(*) * 1800.0::DOUBLE * 23 / (365.25 * 86400) AS t FROM grid),
+  asked AS (SELECT CAST(f AS DOUBLE) AS far_per_yr, greatest(CAST(floor(f * t / 4) AS BIGINT), 1) AS n_allowed
+    FROM yr CROSS JOIN (VALUES (100.0), (10.0), (1.0), (0.1)) x(f) WHERE f >= 4 / t),
+  ranked AS (SELECT channel, net_sigma, row_number() OVER w AS rk, count(*) OVER (PARTITION BY channel) AS n FROM trig WINDOW w AS (PARTITION BY channel ORDER BY net_sigma DESC))
+SELECT channel, far_per_yr, n_allowed, n AS n_background, net_sigma AS threshold, n_allowed < n AS resolved FROM asked JOIN ranked ON rk = least(n_allowed, n)""",
+       {"threshold": 6})
+def far_curve_channel_thresholds(spark, d):
+    return channelled_curve(spark, d)[1].thresholds()
+
+
+@query("gate_slides", f"""WITH {CHANNELLED}, top AS (SELECT *, greatest(1 / (1 + exp((centroid_a - 110) / 5)), 1 / (1 + exp((centroid_b - 110) / 5))) >= 0.5 AS kept
+    FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY net_sigma DESC, span_start, lag_index, i) AS rk FROM trig) WHERE rk <= 500)
+SELECT channel, count(*) AS n_gated, count(*) FILTER (kept) AS n_kept, count(*) FILTER (kept) / CAST(count(*) AS DOUBLE) AS kept_fraction, min(net_sigma) AS floor
+FROM top GROUP BY 1""", {"kept_fraction": 6, "floor": 6})
 def gate_slides(spark, d):
-    grid = v.feature_grid(spark, d)
-    curve = reports.far_curve(grid, v.STRIDE_S, 23, v.STEP_S, v.CLUSTER_S, v.NET_FLOOR, band=BAND)
+    grid, curve = channelled_curve(spark, d)
     windows = union_all([
         grid.select("span_start", F.lit(c).alias("channel"), F.col("i").alias("idx"), F.col(f"centroid_{c}").alias("centroid")) for c in "ab"
     ])
@@ -508,12 +542,46 @@ TRACKED = " UNION ALL ".join(
   r AS (SELECT {', '.join(f'row_number() OVER (ORDER BY {c}, vec_id) AS r_{c}' for c in ('first', 'second', 'tile_mean', 'tile_std', 'tile_fraction'))} FROM p)
 {TRACKED}""", {"spearman": 6})
 def front_end_report(spark, d):
+    return front_end(spark, d)["properties"]
+
+
+FRONT = """fe AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[2] AS DOUBLE) AS second, label % 2 = 1 AS signal FROM embeddings),
+  noise AS (SELECT * FROM fe WHERE NOT signal)"""
+_OF = lambda template: " UNION ALL ".join(template.format(s=s) for s in ("first", "second"))
+
+
+@query("front_end_agreement", f"""WITH {FRONT} SELECT corr(a, b) AS spearman FROM (SELECT row_number() OVER (ORDER BY first, vec_id) AS a,
+  row_number() OVER (ORDER BY second, vec_id) AS b FROM noise)""", {"spearman": 6})
+def front_end_agreement(spark, d):
+    return front_end(spark, d)["agreement"]
+
+
+@query("front_end_shape", f"""WITH {FRONT}, {_OF("m_{s} AS (SELECT avg({s}) AS mu, stddev_pop({s}) AS sd FROM noise)").replace(" UNION ALL ", ", ")}
+{_OF("""SELECT '{s}' AS score, (quantile_cont({s}, 0.5) - any_value(mu)) / any_value(sd) AS median, (quantile_cont({s}, 0.99) - any_value(mu)) / any_value(sd) AS p99,
+  (quantile_cont({s}, 0.999) - any_value(mu)) / any_value(sd) AS p999, (max({s}) - any_value(mu)) / any_value(sd) AS maximum,
+  avg(pow(({s} - mu) / sd, 3)) AS skewness, avg(pow(({s} - mu) / sd, 4)) - 3 AS excess_kurtosis FROM noise CROSS JOIN m_{s}""")}""",
+       {"median": 6, "p99": 6, "p999": 6, "maximum": 6, "skewness": 6, "excess_kurtosis": 6})
+def front_end_shape(spark, d):
+    return front_end(spark, d)["shape"]
+
+
+@query("front_end_efficiency", f"""WITH {FRONT}, cut AS ({_OF("""SELECT '{s}' AS score, '3sigma' AS threshold_name, avg({s}) + 3 * stddev_pop({s}) AS threshold FROM noise
+  UNION ALL SELECT '{s}', 'noise_p99', quantile_cont({s}, 0.99) FROM noise UNION ALL SELECT '{s}', 'noise_p999', quantile_cont({s}, 0.999) FROM noise""")}),
+  x AS ({_OF("SELECT '{s}' AS score, {s} AS value, signal FROM fe")})
+SELECT score, threshold_name, threshold, avg(CASE WHEN value > threshold THEN 1.0 ELSE 0 END) FILTER (signal) AS efficiency,
+  avg(CASE WHEN value <= threshold THEN 1.0 ELSE 0 END) FILTER (NOT signal) AS noise_quantile FROM x JOIN cut USING (score) GROUP BY 1, 2, 3""",
+       {"threshold": 6, "efficiency": 6, "noise_quantile": 6})
+def front_end_efficiency(spark, d):
+    return front_end(spark, d)["efficiency"]
+
+
+def front_end(spark, d):
     e = v.table(spark, d, "embeddings")
     rows = e.select(
         F.col("vec_id").alias("row_id"), F.col("embedding").alias("data"), (F.col("label") % 2).alias("y"),
         F.element_at("embedding", 1).cast("double").alias("first"), F.element_at("embedding", 2).cast("double").alias("second"),
     )
-    return reports.front_end_report(rows, "first", "second", "row_id", F.col("y") == 1)["properties"]
+    return reports.front_end_report(rows, "first", "second", "row_id", F.col("y") == 1)
 
 
 @query("percentiles", f"WITH {V3} SELECT channel, quantile_cont(stat, 0.1) AS p10, quantile_cont(stat, 0.5) AS p50, quantile_cont(stat, 0.999) AS p999 FROM camp GROUP BY 1",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -19,8 +21,9 @@ from farspark.functions.expressions import (
     ratio,
     wilson_interval,
 )
-from farspark.operators.far import own_channel_threshold, thresholds_at_far
-from farspark.operators.ordered import percentiles
+from farspark.operators.far import allowed_count, own_channel_threshold, resolvable_floor, thresholds_at_far
+from farspark.operators.ordered import Cells, counts_at_least, percentiles
+from farspark.operators.settle import settle
 
 
 def _found(found) -> Column:
@@ -127,13 +130,6 @@ def veto_rates(foreground: DataFrame) -> DataFrame:
     return rate.crossJoin(medians)
 
 
-def _in_definitions(df: DataFrame) -> DataFrame:
-    """One row per (row, channel definition it belongs to)."""
-    names = channel_definitions()
-    member = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in names.items()]))
-    return df.withColumn("definition", F.explode(member))
-
-
 def veto_ablation(
     background: DataFrame, foreground: DataFrame, stat: str, livetime_yr: float,
     targets: Sequence[float] = (100.0, 10.0, 1.0), trials: int = 4,
@@ -142,28 +138,42 @@ def veto_ablation(
 
     Foreground counts only if it is in the channel and beats the channel's own threshold; the denominator is
     the whole foreground. Targets the livetime cannot resolve are left out.
+
+    Membership is a bit mask: either side is read once, for its counts by mask and value, and all definitions and targets
+    come from those. No row of the foreground meets a target.
     """
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        rates = df.agg(*[F.avg(c.cast("double")).alias(n) for n, c in channel_definitions().items()])
-        return rates.unpivot([], list(channel_definitions()), "definition", name)
-
-    member = _in_definitions(background.select(stat, "coherence", "centroid_a", "centroid_b")).select("definition", stat)
-    quoted = thresholds_at_far(member, stat, livetime_yr, targets, trials, ["definition"], below_floor="drop")
-    fractions = kept(background, "background_fraction").join(kept(foreground, "foreground_fraction"), "definition")
-    sized = foreground.agg(F.count(F.lit(1)).alias("_n"))
-    hits = (
-        _in_definitions(foreground).select("definition", stat)
-        .join(F.broadcast(quoted.select("definition", "far_per_yr", "threshold")), "definition")  # 4 x targets rows
-        .groupBy("definition", "far_per_yr")
-        .agg(F.count(F.when(passes(stat, F.col("threshold"), inclusive=False), 1)).alias("n_found"))
-    )
-    out = fractions.join(quoted, "definition", "left").join(hits, ["definition", "far_per_yr"], "left")
-    out = out.crossJoin(F.broadcast(sized))
-    found = F.when(F.col("far_per_yr").isNotNull(), F.coalesce("n_found", F.lit(0)))
-    return out.select(
+    definitions = list(channel_definitions())
+    mask = reduce(add, [F.coalesce(c, F.lit(False)).cast("int") * (1 << i) for i, c in enumerate(channel_definitions().values())])
+    nothing = F.lit(0).cast("bigint")
+
+    def counted(df: DataFrame, n: Column, f: Column) -> DataFrame:
+        return df.groupBy(mask.alias("_mask"), F.col(stat).cast("double").alias("stat")).agg(n.alias("n"), f.alias("f"))
+
+    one = F.count(F.lit(1))
+    sides = counted(background, one, F.first(nothing)).unionByName(counted(foreground, F.first(nothing), one))
+    table = settle(sides.groupBy("_mask", "stat").agg(F.sum("n").alias("n"), F.sum("f").alias("f")))
+    within = lambda i: F.col("_mask").bitwiseAND(1 << i) > 0
+    share = lambda c: F.array(*[ratio(F.sum(F.when(within(i), F.col(c)).otherwise(0)), F.sum(c)) for i in range(len(definitions))])
+    fractions = table.agg(share("n").alias("b"), share("f").alias("g"), F.sum("f").alias("_n")).select(
+        F.posexplode(F.array(*[F.lit(d) for d in definitions])).alias("at", "definition"), "b", "g", "_n").select(
+        "definition", F.get("b", F.col("at")).alias("background_fraction"), F.get("g", F.col("at")).alias("foreground_fraction"), "_n")  # a row per definition
+    held = F.filter(F.array(*[F.when(within(i), F.lit(d)) for i, d in enumerate(definitions)]), lambda d: d.isNotNull())
+    values = table.filter(F.col("stat").isNotNull() & ~F.isnan("stat")).select(F.explode(held).alias("definition"), "stat", "n", "f")
+    values = values.groupBy("definition", "stat").agg(F.sum("n").alias("n"), F.sum("f").alias("f"))
+    ranked = counts_at_least(values, "stat", Cells.fit(background, stat), ["definition"], n_louder="n", f_upto="f")
+    asked = [(float(t), allowed_count(t, livetime_yr, trials)) for t in targets if t >= resolvable_floor(livetime_yr, trials)]
+    above, there = F.col("f_upto") - F.col("f"), F.when(F.col("n") > 0, F.col("stat"))
+    cuts = []
+    for far_per_yr, n in asked:
+        at = F.when((F.col("n") > 0) & (F.col("n_louder") >= n), F.col("stat"))
+        cuts.append(F.struct(
+            F.lit(far_per_yr).alias("far_per_yr"), F.coalesce(F.max(at), F.min(there)).alias("threshold"), (F.lit(n) < F.sum("n")).alias("resolved"),
+            F.coalesce(F.max_by(above, at), F.min_by(above, there)).alias("n_found")))
+    cut = F.array(*cuts) if cuts else F.first(F.array().cast("array<struct<far_per_yr:double,threshold:double,resolved:boolean,n_found:bigint>>"))
+    quoted = ranked.groupBy("definition").agg(cut.alias("c"), F.sum("n").alias("_b")).filter("_b > 0").select("definition", F.explode("c").alias("c")).select("definition", "c.*")
+    return fractions.join(quoted, "definition", "left").select(
         "definition", "background_fraction", "foreground_fraction", "far_per_yr", "threshold", "resolved",
-        ratio(found, "_n").alias("efficiency"),
-    )
+        ratio("n_found", "_n").alias("efficiency"))
 
 
 def gate_kept(gated: DataFrame, stat: str, by: Sequence[str] = ("channel",)) -> DataFrame:

@@ -5,11 +5,13 @@
    have a partner must share enough of its shingles with anybody; the others are done here, and shingles that only
    one class holds cannot be in an intersection.
 3. The rest sort their shared shingles, rare ones first. Two sets that overlap enough have `level` shingles in common within
-   prefixes that are `level` longer than the shortest possible. Each class picks its own level: a higher one means more
-   lists to read but fewer candidates to verify. A pair has to share the smaller of its two levels, and for two given sizes
-   the overlap they need shortens both prefixes, so a list only counts where it stands early enough in both sets.
+   prefixes that are `level` longer than the shortest possible. Each class picks its own level, of all there are: a higher one
+   means more lists to read but fewer candidates to verify. A pair has to share the smaller of its two levels, and for two given
+   sizes the overlap they need shortens both prefixes, so a shingle only counts where it stands early enough in both sets.
+   Shingles with the same holders, as those of a common passage, are one list: they stand side by side in every holder's
+   order, and two holders meet there once, with the number of shingles that are early enough in both.
 4. Pairs are verified on whole sets. For components a group of copies needs no pair within it: first every class meets one
-   leader of its lists, a few rounds long; what is then still apart is verified pair by pair.
+   leader of its lists, round by round while that links classes; what is then still apart is verified pair by pair.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ from farspark.operators.settle import settle, temporaries
 
 WIDTH = 5
 PERCENT = 75
-LEVELS = 4
 #: What verifying a candidate costs, in list entries read.
 VERIFY_COST = 40.0
-LEADER_ROUNDS = 3
+#: Leader rounds end when no more than this share of the pairs a round verifies are links; each costs jobs, however few classes are left.
+LEADER_YIELD = 0.5
 #: Shingles in one hash range, and shingles a task holds before it writes blocks.
 RANGE_TOKENS = 3_000_000
 HELD_TOKENS = 500_000
@@ -95,8 +97,8 @@ def shingle_sets(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> Da
 
 
 BLOCK = "part int, names binary, sizes binary, counts binary, low binary, high binary"
-SHARED = "home int, names binary, sizes binary, counts binary, tokens binary, holders binary"
-SUSPECT = "name long, n long, shared long, level long, tokens binary, prefix array<long>"
+SHARED = "home int, names binary, sizes binary, counts binary, tokens binary, lists binary"
+SUSPECT = "name long, n long, shared long, level long, tokens binary, starts array<long>, widths array<long>, prefix array<long>"
 
 
 def _blocks(parts: int, width: int):
@@ -151,8 +153,19 @@ def _edges(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
 
+def list_names(holders: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Names of lists that sort by the number of holders: its leading 20 bits as a float, then 44 bits of the holders' sum."""
+    leading = holders.astype(np.float32).view(np.uint32) >> np.uint32(12)
+    return leading.astype(np.uint64) << np.uint64(44) | mixed(sums) >> np.uint64(20)
+
+
+def list_lengths(names: np.ndarray) -> np.ndarray:
+    """The number of holders a list's name tells, to one part in two thousand."""
+    return ((names >> np.uint64(44)).astype(np.uint32) << np.uint32(12)).view(np.float32).astype(np.float64)
+
+
 def _count(parts: int):
-    """Shingles of one hash range that two or more classes hold, with the number of their holders, dealt by class."""
+    """Shingles of one hash range that two or more classes hold, with the list of their holders, dealt by class."""
     def count(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         names, sizes, counts = _joined(table, "names", np.uint64), _joined(table, "sizes", np.uint32), _joined(table, "counts", np.uint32)
@@ -163,22 +176,24 @@ def _count(parts: int):
         tokens, owner = tokens[np.repeat(once, counts)], np.repeat(np.flatnonzero(once).astype(np.int32), counts[once])
         order = np.argsort(tokens)
         tokens, owner = tokens[order], owner[order]
-        holders = np.diff(np.append(_edges(tokens), len(tokens))).astype(np.uint32)
-        many = np.repeat(holders, holders)
-        shared = many > 1
-        tokens, owner, many = tokens[shared] | np.uint64(part & 0xFFFFFF) << np.uint64(40), owner[shared], many[shared]
+        at = _edges(tokens)
+        holders = np.diff(np.append(at, len(tokens)))
+        sums = np.add.reduceat(mixed(names)[owner], at) if len(at) else np.zeros(0, np.uint64)
+        shared = np.repeat(holders > 1, holders)
+        lists = np.repeat(list_names(holders, sums), holders)[shared]
+        tokens, owner = tokens[shared] | np.uint64(part & 0xFFFFFF) << np.uint64(40), owner[shared]
         home = (mixed(names) % np.uint64(parts)).astype(np.int32)
         order = np.lexsort((owner, home[owner]))
-        tokens, owner, many = tokens[order], owner[order], many[order]
+        tokens, owner, lists = tokens[order], owner[order], lists[order]
         runs = _edges(owner)
         of, held = owner[runs], np.diff(np.append(runs, len(owner))).astype(np.uint32)
         homes = home[of]
         first = _edges(homes)
-        rows = [(homes[a], names[of[a:b]].tobytes(), sizes[of[a:b]].tobytes(), held[a:b].tobytes(), tokens[i:j].tobytes(), many[i:j].tobytes())
+        rows = [(homes[a], names[of[a:b]].tobytes(), sizes[of[a:b]].tobytes(), held[a:b].tobytes(), tokens[i:j].tobytes(), lists[i:j].tobytes())
                 for a, b in zip(first, np.append(first[1:], len(of))) for i, j in [(runs[a], runs[b] if b < len(runs) else len(owner))]]
         columns = list(zip(*rows)) or [()] * 6
         return pa.table([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(columns)],
-                        names=["home", "names", "sizes", "counts", "tokens", "holders"])
+                        names=["home", "names", "sizes", "counts", "tokens", "lists"])
 
     return count
 
@@ -188,39 +203,45 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def choose_level(holders: np.ndarray, n: int, percent: int, levels: int = LEVELS) -> int:
+def choose_level(holders: np.ndarray, first: np.ndarray, n: int, percent: int) -> int:
     """The level of least estimated cost for one set; `holders` are its shared shingles' counts, rare first.
 
-    Reading costs what the prefix's lists hold. A candidate sits in `level` of those lists, which bounds how many there are.
+    Reading costs what the prefix's lists hold, each read once, at the shingle that is its `first`. A candidate shares `level`
+    shingles of the prefix, which bounds how many there are.
     """
     base = len(holders) - least_overlap(n, percent)
-    choice = np.arange(1, max(1, min(levels, len(holders) - base)) + 1)
-    read = np.cumsum(holders.astype(np.float64))[base + choice - 1]
-    return int(choice[np.argmin(read + VERIFY_COST * read / choice)])
+    choice = np.arange(1, max(1, len(holders) - base) + 1)
+    read, met = (np.cumsum(x)[base + choice - 1] for x in (holders * first, holders))
+    return int(choice[np.argmin(read + VERIFY_COST * met / choice)])
 
 
 def _prefixes(percent: int):
     """Put the shared shingles of each class together; of those that share enough, sort them and pick level and prefix."""
     def order(table: pa.Table) -> pa.Table:
         names, sizes, counts = _joined(table, "names", np.uint64), _joined(table, "sizes", np.uint32), _joined(table, "counts", np.uint32)
-        tokens, holders = _joined(table, "tokens", np.uint64), _joined(table, "holders", np.uint32)
+        tokens, lists = _joined(table, "tokens", np.uint64), _joined(table, "lists", np.uint64)
         own, first, of = np.unique(names, return_index=True, return_inverse=True)
         held = np.bincount(np.repeat(of, counts), minlength=len(own))
         enough = held * 100 >= sizes[first].astype(np.int64) * percent
         of = np.repeat(of, counts)
         stays = enough[of]
-        tokens, holders, of = tokens[stays], holders[stays], of[stays]
-        rank = np.lexsort((tokens, holders, of))
-        tokens, holders, of = tokens[rank], holders[rank], of[rank]
+        tokens, lists, of = tokens[stays], lists[stays], of[stays]
+        rank = np.lexsort((tokens, lists, of))
+        tokens, lists, of = tokens[rank], lists[rank], of[rank]
         cuts, out = np.append(_edges(of), len(of)), []
         for i, j in zip(cuts[:-1], cuts[1:]):
-            n = int(sizes[first[of[i]]])
-            level = choose_level(holders[i:j], n, percent)
-            prefix = tokens[i:j][:j - i - least_overlap(n, percent) + level]
-            out.append((own[of[i]].astype(np.int64), n, j - i, level, np.sort(tokens[i:j]).tobytes(), prefix.astype(np.int64)))
-        columns = list(zip(*out)) or [()] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["name", "n", "shared", "level", "tokens", "prefix"])
+            n, mine = int(sizes[first[of[i]]]), lists[i:j]
+            starts = _edges(mine)
+            widths, begins = np.diff(np.append(starts, j - i)), np.zeros(j - i)
+            begins[starts] = 1
+            level = choose_level(list_lengths(mine), begins, n, percent)
+            read = starts < j - i - least_overlap(n, percent) + level
+            out.append((own[of[i]].astype(np.int64), n, j - i, level, np.sort(tokens[i:j]).tobytes(),
+                        starts[read], widths[read], mine[starts[read]].astype(np.int64)))
+        columns = list(zip(*out)) or [()] * 8
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3]
+        names = ["name", "n", "shared", "level", "tokens", "starts", "widths", "prefix"]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     return order
 
@@ -228,7 +249,8 @@ def _prefixes(percent: int):
 def suspects(docs: DataFrame, text: str, total: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Classes that share enough shingles with others to have a partner.
 
-    Columns: name, n, how many shingles are `shared`, level, the shared tokens, and the prefix of these in the order of lists.
+    Columns: name, n, how many shingles are `shared`, level, the shared tokens, and the prefix of these in the order of lists:
+    the lists' names, where each starts and how many shingles it has.
     """
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_TOKENS))
@@ -254,19 +276,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return both.withColumn("common", _common()("tokens_a", "tokens_b")).filter(F.col("common") * 100 >= union * percent).select("a", "b", "common")
 
 
-SIZES = ("n", "shared", "level", "position")
+SIZES = ("n", "shared", "level", "position", "width")
 
 
 def _early(percent: int) -> Column:
-    """Whether a common token stands early enough in both sets for the overlap that their sizes need."""
+    """How many common shingles of a list stand early enough in both sets for the overlap that their sizes need."""
     need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
-    last = F.least("level_a", "level_b") - need - 1
-    return (F.col("position_a") <= F.col("n_a") + last) & (F.col("position_b") <= F.col("n_b") + last) & (F.least("shared_a", "shared_b") >= need)
+    last = F.least("level_a", "level_b") - need
+    early = F.least(F.col("n_a") + last - F.col("position_a"), F.col("n_b") + last - F.col("position_b"), "width_a", "width_b")
+    return F.when(F.least("shared_a", "shared_b") >= need, early).otherwise(0)
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """Pairs that share as many early tokens as the smaller level; `rows` has one row per pair and such token."""
-    counted = rows.groupBy("a", "b").agg(F.first(F.least("level_a", "level_b")).alias("least"), F.count("*").alias("hits"))
+    """Pairs that share as many early shingles as the smaller level; `rows` has one row per pair and list, with its `early`."""
+    counted = rows.groupBy("a", "b").agg(F.first(F.least("level_a", "level_b")).alias("least"), F.sum("early").alias("hits"))
     return counted.filter(F.col("hits") >= F.col("least"))
 
 
@@ -279,15 +302,16 @@ def _all_pairs(index: DataFrame, percent: int) -> DataFrame:
     few = marked.filter(F.col("group") != F.col("main")).select("token", F.col("name").alias("a"), *side("a"))
     rest = marked.select(F.col("token").alias("_token"), "main", F.col("name").alias("b"), *side("b"))
     apart = (F.col("group_a") != F.col("group_b")) & ((F.col("group_b") == F.col("main")) | (F.col("a") < F.col("b")))
-    met = few.join(rest, (F.col("token") == F.col("_token")) & apart & _early(percent))
+    met = few.join(rest, (F.col("token") == F.col("_token")) & apart & (_early(percent) > 0)).withColumn("early", _early(percent))
     # Which of two classes is outside the largest group changes from list to list; hits of a pair are counted together.
-    return _candidates(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "level_a", "level_b"))
+    return _candidates(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "level_a", "level_b", "early"))
 
 
 def _index(sets: DataFrame) -> DataFrame:
-    """The lists: a row per class and prefix token, with the token's place among all of the set's, unshared ones first."""
-    rows = sets.select("name", "n", "shared", "level", F.posexplode("prefix").alias("_at", "token"))
-    return rows.select("name", "n", "shared", "level", (F.col("n") - F.col("shared") + F.col("_at")).alias("position"), "token")
+    """The lists: a row per class and list of its prefix, with its place among all of the set's shingles, unshared ones first."""
+    each = F.inline(F.arrays_zip(F.col("starts").alias("_at"), F.col("widths").alias("width"), F.col("prefix").alias("token")))
+    rows = sets.select("name", "n", "shared", "level", each.alias("_at", "width", "token"))
+    return rows.select("name", "n", "shared", "level", (F.col("n") - F.col("shared") + F.col("_at")).alias("position"), "width", "token")
 
 
 def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -301,24 +325,28 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", width
 def linked_groups(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """`name` and `root` of all classes that a chain of links joins to another one."""
     index = settle(_index(sets).withColumn("group", F.col("name")))
-    groups = None
-    for turn in range(LEADER_ROUNDS + 1):
+    groups, turn, leaders = None, 0, True
+    while True:
         lists = index.groupBy("token").agg(
             F.min("group").alias("_least"), F.max("group").alias("_most"),
             F.min_by(F.struct("name", *SIZES, "group"), F.xxhash64("name", F.lit(turn))).alias("_leader")).filter("_least <> _most")
         index = settle(index.join(lists.drop("_least", "_most"), "token"))
         if index.isEmpty():
             break
-        if turn < LEADER_ROUNDS:
+        if leaders:
             met = index.filter(F.col("group") != F.col("_leader.group")).select(
                 F.col("name").alias("a"), F.col("_leader.name").alias("b"), *(F.col(c).alias(f"{c}_a") for c in SIZES),
-                *(F.col(f"_leader.{c}").alias(f"{c}_b") for c in SIZES)).filter(_early(percent))
+                *(F.col(f"_leader.{c}").alias(f"{c}_b") for c in SIZES)).withColumn("early", _early(percent)).filter("early > 0")
             pairs = _candidates(met).groupBy("a").agg(F.max_by("b", F.struct("hits", "b")).alias("b"))
         else:
             pairs = _all_pairs(index.drop("_leader"), percent)
-        links = settle(verified(settle(pairs.select("a", "b")), sets, percent))
+        pairs = settle(pairs.select("a", "b"))
+        links = settle(verified(pairs, sets, percent))
+        last, turn, leaders = not leaders, turn + 1, leaders and links.count() > LEADER_YIELD * pairs.count()
         index = index.drop("_leader")
         if links.isEmpty():
+            if last:
+                break
             continue
         if groups is not None:
             old = lambda s: groups.select(F.col("name").alias(s), F.col("root").alias(f"_{s}"))
@@ -332,9 +360,10 @@ def linked_groups(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
             known = groups.join(step.withColumnRenamed("name", "root"), "root", "left").select("name", F.coalesce("_to", "root").alias("root"))
             new = step.join(groups, "name", "left_anti").select("name", F.col("_to").alias("root"))
             groups = settle(known.unionByName(new))
-        if turn < LEADER_ROUNDS:
-            now = groups.select("name", F.col("root").alias("_root"))
-            index = settle(index.join(now, "name", "left").withColumn("group", F.coalesce("_root", "group")).drop("_root"))
+        if last:
+            break
+        now = groups.select("name", F.col("root").alias("_root"))
+        index = settle(index.join(now, "name", "left").withColumn("group", F.coalesce("_root", "group")).drop("_root"))
     return groups if groups is not None else sets.select("name", F.col("name").alias("root")).limit(0)
 
 

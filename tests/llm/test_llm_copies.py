@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,19 @@ def test_near_duplicates_equal_brute_force(spark):
     assert pairs == different
 
 
+def test_shingles_of_the_same_holders_are_one_list():
+    holders = np.array([2, 3, 40, 41, 5_000_000], np.int64)
+    names = jaccard.list_names(holders, np.arange(5, dtype=np.uint64))
+    assert list(names) == sorted(names) and len(set(names)) == 5
+    assert jaccard.list_lengths(names) == pytest.approx(holders, rel=1 / 2000)
+    assert len(set(jaccard.list_names(np.array([7, 7]), np.array([1, 2], np.uint64)))) == 2
+    same, each = np.zeros(20), np.ones(20)
+    same[0] = 1
+    twos = np.full(20, 2.0)
+    assert jaccard.choose_level(twos, same, 20, 75) == 15  # nothing more to read, so all that can be asked for
+    assert jaccard.choose_level(twos, each, 20, 75) == 14  # 2 (5 + l) (1 + 40 / l) is least there
+
+
 def test_near_duplicates_of_odd_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (None, None)], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard.near_duplicates(df).collect())

@@ -88,8 +88,9 @@ def test_shingles_of_the_same_holders_are_one_list():
     same, each = np.zeros(20), np.ones(20)
     same[0] = 1
     twos = np.full(20, 2.0)
-    assert jaccard.choose_level(twos, same, 20, 75) == 15  # nothing more to read, so all that can be asked for
-    assert jaccard.choose_level(twos, each, 20, 75) == 14  # 2 (5 + l) (1 + 40 / l) is least there
+    assert jaccard.choose_level(twos, same, 20, 75, 20) == 15  # nothing more to read, so all that can be asked for
+    assert jaccard.choose_level(twos, same, 20, 75) == jaccard.LEVELS
+    assert jaccard.choose_level(twos, each, 20, 75, 20) == 14  # 2 (5 + l) (1 + 40 / l) is least there
 
 
 def test_near_duplicates_of_odd_tables(spark):

@@ -1,4 +1,4 @@
-"""Array-valued expressions written with higher-order functions, evaluated in the JVM."""
+"""Array-valued expressions written with higher-order functions, evaluated in the JVM; crops end in an Arrow kernel."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, functions as F
 
+from farspark.functions import kernels
 from farspark.functions.expressions import CROP_COLUMNS, _col
 
 
@@ -106,32 +107,32 @@ def cut_window(series, offset_s, duration_s, fs: float) -> Column:
     return F.when(bad, F.raise_error(F.lit("window runs past the segment"))).otherwise(F.slice(series, first + 1, n))
 
 
-def band_crop(magnitude, column, band, f_low: float = 10.0, f_res: float = 0.5, width: int = CROP_COLUMNS) -> Column:
-    """Rows of a frequency-by-time magnitude inside `band`, `width` columns from `column` zero-padded past
-    either end, scaled to [0, 1] over the whole crop."""
-    rows = _col(magnitude)
+def band_crops(crops, column, f_low: float = 10.0, f_res: float = 0.5, width: int = CROP_COLUMNS) -> Column:
+    """A struct (c0, c1, ...) with one crop per (magnitude, band): the rows of a frequency-by-time magnitude inside `band`, `width`
+    columns from `column` zero-padded past either end, scaled to [0, 1] over the whole crop.
+
+    What a crop needs of a magnitude is cut out here; an Arrow kernel pads and scales it.
+    """
     first = _col(column).cast("int")
-    lo_row = max(0, math.ceil((band[0] - f_low) / f_res - 1e-9))
-    hi_row = math.floor((band[1] - f_low) / f_res + 1e-9)
-    rows = F.slice(rows, lo_row + 1, hi_row - lo_row + 1)
-
-    def crop(r: Column, at: Column) -> Column:
-        start = F.greatest(at, F.lit(0))
-        n = F.greatest(F.least(F.size(r), at + width) - start, F.lit(0))
-        left = F.when(n > 0, start - at).otherwise(F.lit(width))
-        zeros = lambda k: F.array_repeat(F.lit(0.0), k)
-        return F.concat(zeros(left), F.slice(r, start + 1, n), zeros(F.lit(width) - left - n))
-
-    cut = let(
-        F.struct(rows.alias("rows"), first.alias("at")), lambda s: F.transform(s["rows"], lambda r: crop(r, s["at"]))
-    )
-    ends = lambda c: F.struct(
-        c.alias("c"), F.array_min(F.flatten(c)).alias("lo"), F.array_max(F.flatten(c)).alias("hi")
-    )
-    scale = lambda s: F.transform(
-        s["c"], lambda r: F.transform(r, lambda x: (x - s["lo"]) / (s["hi"] - s["lo"] + F.lit(1e-9)))
-    )
-    return let(cut, lambda c: let(ends(c), scale))
+
+    def window(magnitude, band) -> Column:
+        rows = _col(magnitude)
+        lo_row = max(0, math.ceil((band[0] - f_low) / f_res - 1e-9))
+        hi_row = math.floor((band[1] - f_low) / f_res + 1e-9)
+        rows = F.slice(rows, lo_row + 1, hi_row - lo_row + 1)
+
+        # A slice ends where its row does. Spark finds no Arrow function whose arguments nest lambdas, so there is no `let` here.
+        start, n = F.greatest(first, F.lit(0)) + 1, F.greatest(F.least(first, F.lit(0)) + width, F.lit(0))
+        cut = F.transform(rows, lambda r: F.slice(r, start, n))
+        return cut.cast("array<array<double>>")
+
+    windows = [window(m, band).alias(f"c{k}") for k, (m, band) in enumerate(crops)]
+    return kernels.padded_crops(len(crops), width)(F.struct(first.alias("at"), *windows))
+
+
+def band_crop(magnitude, column, band, f_low: float = 10.0, f_res: float = 0.5, width: int = CROP_COLUMNS) -> Column:
+    """One crop of `band_crops`."""
+    return band_crops([(magnitude, band)], column, f_low, f_res, width)["c0"]
 
 
 def coherence_from_coefficients_sql(

@@ -6,8 +6,11 @@ independent rows; a row never needs another row, so batches and partitions may b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
 from farspark.functions.expressions import (
@@ -52,6 +55,71 @@ def _series(fn, *columns: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+#: Bytes of crops a task hands back at once, whatever the size of the batch it got.
+CROP_BYTES = 8 << 20
+
+
+def _padded(window: pa.ListArray, at: np.ndarray, known: np.ndarray, width: int) -> pa.ListArray:
+    """Crops of a batch: stored rows put at their place among zeros, then scaled by each crop's own least and largest value.
+
+    NaN is larger than any number, a null is no value and stays null, and a null row leaves its crop without values.
+    """
+    there = window.is_valid().to_numpy(zero_copy_only=False)
+    outer = np.asarray(window.offsets)
+    heights = np.where(there, np.diff(outer), 0)
+    edges = np.concatenate([[0], np.cumsum(heights)])
+    rows = window.flatten()
+    of = np.repeat(np.arange(len(heights)), heights)
+    stored = rows.is_valid().to_numpy(zero_copy_only=False)
+    lengths = np.where(stored, np.diff(np.asarray(rows.offsets)), 0)
+    flat = rows.flatten()
+    ends = np.cumsum(lengths)
+    place = np.repeat(np.arange(len(rows)) * width + np.maximum(-at[of], 0) - (ends - lengths), lengths) + np.arange(len(flat))
+    cells = np.zeros(len(rows) * width)
+    cells[place] = flat.to_numpy(zero_copy_only=False)
+    empty = np.zeros(len(cells), bool)
+    if flat.null_count:
+        empty[place] = flat.is_null().to_numpy(zero_copy_only=False)
+    tall = heights > 0
+    cuts = edges[:-1][tall] * width
+    broken = ~known[of] & (lengths > 0)
+    if len(cuts):
+        low, high = np.full(len(heights), np.nan), np.full(len(heights), np.nan)
+        some = bool(flat.null_count)
+        low[tall] = np.fmin.reduceat(np.where(empty, np.nan, cells) if some else cells, cuts)
+        high[tall] = np.maximum.reduceat(np.where(empty, -np.inf, cells) if some else cells, cuts)
+        without = np.zeros(len(heights), bool)
+        without[of[~stored | broken]] = True
+        with np.errstate(invalid="ignore", over="ignore"):
+            square = cells.reshape(-1, width)
+            square -= low[of][:, None]
+            square /= (high - low + 1e-9)[of][:, None]
+        empty |= np.repeat(without[of], width)
+    values = pa.array(cells, mask=empty) if empty.any() else pa.array(cells)
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * width, pa.int32()), values, mask=pa.array(~stored | broken))
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), inner, mask=pa.array(~there))
+
+
+def padded_crops(n: int, width: int):
+    """From a struct of the first column (`at`) and `n` windows (c0, c1, ...), each the stored part of a crop, a struct of whole crops."""
+    names = [f"c{k}" for k in range(n)]
+
+    @F.arrow_udf(f"struct<{', '.join(f'{c}: array<array<double>>' for c in names)}>")
+    def crops(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            first, windows = batch.field("at"), [batch.field(c) for c in names]
+            at = first.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            known = first.is_valid().to_numpy(zero_copy_only=False)
+            heights = sum((np.diff(np.asarray(w.offsets)) for w in windows), np.zeros(len(first), np.int64))
+            piece = np.cumsum(heights * width * 8) // CROP_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(first)]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if i < j or len(first) == 0:
+                    yield pa.StructArray.from_arrays([_padded(w.slice(i, j - i), at[i:j], known[i:j], width) for w in windows], names)
+
+    return crops
+
+
 def middle(x: np.ndarray, fs: float, seconds: float) -> np.ndarray:
     half = int(seconds * fs / 2)
     mid = x.shape[1] // 2

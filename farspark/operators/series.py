@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from farspark.functions import kernels
-from farspark.functions.arrays import band_crop, rescale
+from farspark.functions.arrays import band_crops, rescale
 from farspark.functions.expressions import HIGH_MASS_BAND_HZ, LOW_MASS_BAND_HZ, column_for
 from farspark.operators.ordered import percentiles
 
@@ -103,11 +103,10 @@ def rescale_to_target(series: DataFrame, data: str = "series", current: str = "c
 def paired_band_crop(pairs: DataFrame, magnitude_a: str = "mag_a", magnitude_b: str = "mag_b", t0: str = "t0_a") -> DataFrame:
     """Both channels cropped at the column of channel a's attention peak, for the two specialist bands."""
     column = column_for(t0, F.size(F.element_at(magnitude_a, 1)))
-    out = pairs.withColumn("_column", column)
-    for name, band in (("hm", HIGH_MASS_BAND_HZ), ("lm", LOW_MASS_BAND_HZ)):
-        both = F.array(*[band_crop(m, F.col("_column"), band) for m in (magnitude_a, magnitude_b)])
-        out = out.withColumn(name, both)
-    return out.drop("_column")
+    bands = (HIGH_MASS_BAND_HZ, LOW_MASS_BAND_HZ)
+    crops = band_crops([(m, band) for band in bands for m in (magnitude_a, magnitude_b)], "_column")
+    out = pairs.withColumn("_column", column).withColumn("_crops", crops)
+    return out.withColumns({"hm": F.array("_crops.c0", "_crops.c1"), "lm": F.array("_crops.c2", "_crops.c3")}).drop("_column", "_crops")
 
 
 def coherence_rows(

@@ -138,6 +138,38 @@ def test_magnitude_crops(spark):
     assert np.array(edge).shape == (2, 5) and (np.array(edge)[:, :3] == 0).all()
 
 
+def test_crops_of_odd_magnitudes(spark):
+    nan = float("nan")
+    rows = [(0, [[1.0, nan], [3.0, 5.0]], 0), (1, [[1.0, None], [3.0, 5.0]], 1), (2, [[1.0, 2.0], None], 0), (3, None, 0), (4, [], 0),
+            (5, [[], []], None), (6, [[1.0, 2.0], []], None), (7, [[2.0, 4.0, 6.0, 8.0], [4.0]], -1), (8, [[2.0], [4.0]], 9)]
+    df = spark.createDataFrame(rows, "id int, m array<array<double>>, c int").coalesce(1)
+    got = {r["id"]: r["x"] for r in df.select("id", A.band_crop("m", F.col("c"), (10.0, 10.5), width=3).alias("x")).collect()}
+    assert got[0][1][2] != got[0][1][2] and got[0][0][0] != got[0][0][0]  # NaN is the largest value, so the range is NaN
+    assert got[1] == [[None, 0.0, 0.0], [pytest.approx(1.0), 0.0, 0.0]]
+    assert got[2] == [[None] * 3, None] and got[3] is None and got[4] == []
+    assert got[5] == [[0.0] * 3] * 2 and got[6] == [None, [None] * 3]
+    assert got[7] == [[0.0, pytest.approx(0.5), pytest.approx(1.0)], [0.0, pytest.approx(1.0), 0.0]] and got[8] == [[0.0] * 3] * 2
+
+
+def test_paired_crops_are_made_by_one_kernel_in_bounded_pieces(spark):
+    from farspark.functions import kernels
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.random((320, 8)).tolist(), rng.random((320, 8)).tolist(), 14 + i % 40) for i in range(60)]  # 52 MB of crops
+    df = spark.createDataFrame(rows, "id int, mag_a array<array<double>>, mag_b array<array<double>>, t0_a int").coalesce(1)
+    out = series.paired_band_crop(df)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    for r in out.orderBy("id").collect()[::7]:
+        col = int(np.rint((r["t0_a"] - 14) / 128 * 8))
+        for name, lo, hi in (("hm", 20, 261), ("lm", 80, 320)):
+            for k, m in enumerate((rows[r["id"]][1], rows[r["id"]][2])):
+                want = np.zeros((hi - lo, 113))
+                part = np.array(m)[lo:hi, col:]
+                want[:, :part.shape[1]] = part
+                assert np.allclose(r[name][k], (want - want.min()) / (want.max() - want.min() + 1e-9))
+    assert kernels.CROP_BYTES < 60 * 962 * 113 * 8
+
+
 def test_small_array_expressions(spark):
     df = spark.createDataFrame([([1.0, 2.0, 3.0, 6.0],)], "x array<double>")
     r = df.select(A.array_mean("x").alias("m"), A.array_std("x").alias("s"), A.fraction_above("x", 1.5).alias("f"),

@@ -19,9 +19,12 @@ PASSAGE_BYTES = 128
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored toxic go; the model learns from the labels that are not held out. A null text is scored as empty."""
+    """Documents scored toxic go; the model learns from the labels that are not held out. A null text is scored as empty.
+
+    What stays is settled here: that bounds the bytes a Python worker is sent at once, and so the memory the next stage finds taken.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out("doc_id")))
-    return toxicity.score(docs, model, name="_toxic").filter(F.col("_toxic") < TOXIC_FROM).select(*docs.columns)
+    return settle(toxicity.score(docs, model, name="_toxic").filter(F.col("_toxic") < TOXIC_FROM).select(*docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,6 +83,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
+        if name not in (STAGES[0][0], STAGES[-1][0]):  # the first is settled already
             docs = settle(docs)
     return docs

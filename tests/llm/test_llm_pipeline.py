@@ -53,6 +53,13 @@ def corpus(spark, tmp_path_factory):
     return str(folder)
 
 
+def test_the_first_stage_hands_on_a_settled_table(spark, corpus):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, docs, corpus)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "Scan parquet" in plan and kept.columns == docs.columns
+
+
 @pytest.fixture(scope="module")
 def stages(spark, corpus):
     docs, out = spark.read.parquet(f"{corpus}/documents.parquet"), []

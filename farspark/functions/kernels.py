@@ -1,6 +1,6 @@
 """Arrow-batched signal kernels for array columns: NumPy inside tasks, Spark around them.
 
-Fourier transforms have no built-in expression, so these are pandas UDFs. Each works on one Arrow batch of
+Fourier transforms have no built-in expression, so these are pandas UDFs; crops are one for speed. Each works on one Arrow batch of
 independent rows; a row never needs another row, so batches and partitions may be cut anywhere.
 """
 

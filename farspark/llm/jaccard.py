@@ -10,6 +10,8 @@
    sizes the overlap they need shortens both prefixes, so a shingle only counts where it stands early enough in both sets.
    Shingles with the same holders, as those of a common passage, are one list: they stand side by side in every holder's
    order, and two holders meet there once, with the number of shingles that are early enough in both.
+   Each class has a sketch: `SKETCH` bits, each the parity of how many of its shared shingles fall there. Two sets differ in at least
+   as many shingles as their sketches in bits, so a pair whose sketches are too far apart is passed over where it meets.
 4. Pairs are verified on whole sets. For components a group of copies needs no pair within it: first every class meets one
    leader of its lists, round by round while that links classes; what is then still apart is verified pair by pair.
 """
@@ -17,6 +19,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,8 @@ LEVELS = 4
 VERIFY_COST = 40.0
 #: Leader rounds end when no more than this share of the pairs a round verifies are links; each costs jobs, however few classes are left.
 LEADER_YIELD = 0.5
+#: Bits of a class's sketch, a multiple of 64.
+SKETCH = 1024
 #: Shingles in one hash range, and shingles a task holds before it writes blocks.
 RANGE_TOKENS = 3_000_000
 HELD_TOKENS = 500_000
@@ -100,7 +106,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> Da
 
 BLOCK = "part int, names binary, sizes binary, counts binary, low binary, high binary"
 SHARED = "home int, names binary, sizes binary, counts binary, tokens binary, lists binary"
-SUSPECT = "name long, n long, shared long, level long, tokens binary, starts array<long>, widths array<long>, prefix array<long>"
+SUSPECT = "name long, n long, shared long, level long, tokens binary, sketch array<long>, starts array<long>, widths array<long>, prefix array<long>"
 
 
 def _blocks(parts: int, width: int):
@@ -217,6 +223,12 @@ def choose_level(holders: np.ndarray, first: np.ndarray, n: int, percent: int, l
     return int(choice[np.argmin(read + VERIFY_COST * met / choice)])
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of how many of the tokens fall on each of `SKETCH` bits, as 64-bit words."""
+    counts = np.bincount((mixed(tokens) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(percent: int):
     """Put the shared shingles of each class together; of those that share enough, sort them and pick level and prefix."""
     def order(table: pa.Table) -> pa.Table:
@@ -238,11 +250,11 @@ def _prefixes(percent: int):
             begins[starts] = 1
             level = choose_level(list_lengths(mine), begins, n, percent)
             read = starts < j - i - least_overlap(n, percent) + level
-            out.append((own[of[i]].astype(np.int64), n, j - i, level, np.sort(tokens[i:j]).tobytes(),
+            out.append((own[of[i]].astype(np.int64), n, j - i, level, np.sort(tokens[i:j]).tobytes(), sketch(tokens[i:j]),
                         starts[read], widths[read], mine[starts[read]].astype(np.int64)))
-        columns = list(zip(*out)) or [()] * 8
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3]
-        names = ["name", "n", "shared", "level", "tokens", "starts", "widths", "prefix"]
+        columns = list(zip(*out)) or [()] * 9
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 4]
+        names = ["name", "n", "shared", "level", "tokens", "sketch", "starts", "widths", "prefix"]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     return order
@@ -251,7 +263,7 @@ def _prefixes(percent: int):
 def suspects(docs: DataFrame, text: str, total: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Classes that share enough shingles with others to have a partner.
 
-    Columns: name, n, how many shingles are `shared`, level, the shared tokens, and the prefix of these in the order of lists:
+    Columns: name, n, how many shingles are `shared`, level, the shared tokens with their sketch, and the prefix of these in the order of lists:
     the lists' names, where each starts and how many shingles it has.
     """
     spark = docs.sparkSession
@@ -281,9 +293,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 SIZES = ("n", "shared", "level", "position", "width")
 
 
+def _need(percent: int) -> Column:
+    """The fewest common shingles of two sets similar enough."""
+    return F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+
+
+def _near(percent: int) -> Column:
+    """Whether the sketches of two sets are near enough for the overlap that their sizes need."""
+    apart = reduce(add, (F.bit_count(F.col(f"bits_a{i}").bitwiseXOR(F.col(f"bits_b{i}"))) for i in range(SKETCH // 64)))
+    return apart <= F.col("shared_a") + F.col("shared_b") - 2 * _need(percent)
+
+
 def _early(percent: int) -> Column:
     """How many common shingles of a list stand early enough in both sets for the overlap that their sizes need."""
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+    need = _need(percent)
     last = F.least("level_a", "level_b") - need
     early = F.least(F.col("n_a") + last - F.col("position_a"), F.col("n_b") + last - F.col("position_b"), "width_a", "width_b")
     return F.when(F.least("shared_a", "shared_b") >= need, early).otherwise(0)
@@ -295,16 +318,17 @@ def _candidates(rows: DataFrame) -> DataFrame:
     return counted.filter(F.col("hits") >= F.col("least"))
 
 
-def _all_pairs(index: DataFrame, percent: int) -> DataFrame:
-    """Candidates between different groups: per list, members outside its largest group meet all of other groups."""
+def _all_pairs(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidates between different groups: per list, members outside its largest group meet all of other groups, if sketches are near."""
     sizes = index.groupBy("token", "group").count()
     largest = sizes.groupBy("token").agg(F.max(F.struct("count", "group"))["group"].alias("main"))
-    marked = settle(index.join(largest, "token"))
-    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in (*SIZES, "group")]
+    marked = settle(index.join(largest, "token").join(sets.select("name", "sketch"), "name"))
+    side = lambda s: [*(F.col(c).alias(f"{c}_{s}") for c in (*SIZES, "group")),
+                      *(F.col("sketch")[i].alias(f"bits_{s}{i}") for i in range(SKETCH // 64))]
     few = marked.filter(F.col("group") != F.col("main")).select("token", F.col("name").alias("a"), *side("a"))
     rest = marked.select(F.col("token").alias("_token"), "main", F.col("name").alias("b"), *side("b"))
     apart = (F.col("group_a") != F.col("group_b")) & ((F.col("group_b") == F.col("main")) | (F.col("a") < F.col("b")))
-    met = few.join(rest, (F.col("token") == F.col("_token")) & apart & (_early(percent) > 0)).withColumn("early", _early(percent))
+    met = few.join(rest, (F.col("token") == F.col("_token")) & apart & (_early(percent) > 0) & _near(percent)).withColumn("early", _early(percent))
     # Which of two classes is outside the largest group changes from list to list; hits of a pair are counted together.
     return _candidates(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "level_a", "level_b", "early"))
 
@@ -320,7 +344,7 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     """Every link between different sets: `a` and `b` (set keys as in `shingle_sets`), `common` shingles. Exact."""
     total = shingle_sets(docs, key, text, width).agg(F.sum("n_shingles")).first()[0] or 0
     sets = suspects(docs, text, total, width, percent)
-    pairs = _all_pairs(settle(_index(sets).withColumn("group", F.col("name"))), percent)
+    pairs = _all_pairs(settle(_index(sets).withColumn("group", F.col("name"))), sets, percent)
     return verified(pairs, sets, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "common")
 
 
@@ -329,23 +353,25 @@ def linked_groups(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     index = settle(_index(sets).withColumn("group", F.col("name")))
     groups, turn, leaders = None, 0, True
     while True:
+        # A list is led by the class with the fewest shingles of its own, as it is nearest to all, and by a random one, which changes.
+        whole, random = F.struct("name", *SIZES, "group"), F.xxhash64("name", F.lit(turn))
         lists = index.groupBy("token").agg(
             F.min("group").alias("_least"), F.max("group").alias("_most"),
-            F.min_by(F.struct("name", *SIZES, "group"), F.xxhash64("name", F.lit(turn))).alias("_leader")).filter("_least <> _most")
+            F.array(F.min_by(whole, F.struct(F.col("n") - F.col("shared"), random)), F.min_by(whole, random)).alias("_leaders")).filter("_least <> _most")
         index = settle(index.join(lists.drop("_least", "_most"), "token"))
         if index.isEmpty():
             break
         if leaders:
-            met = index.filter(F.col("group") != F.col("_leader.group")).select(
+            met = index.withColumn("_leader", F.explode(F.array_distinct("_leaders"))).filter(F.col("group") != F.col("_leader.group")).select(
                 F.col("name").alias("a"), F.col("_leader.name").alias("b"), *(F.col(c).alias(f"{c}_a") for c in SIZES),
                 *(F.col(f"_leader.{c}").alias(f"{c}_b") for c in SIZES)).withColumn("early", _early(percent)).filter("early > 0")
             pairs = _candidates(met).groupBy("a").agg(F.max_by("b", F.struct("hits", "b")).alias("b"))
         else:
-            pairs = _all_pairs(index.drop("_leader"), percent)
+            pairs = _all_pairs(index.drop("_leaders"), sets, percent)
         pairs = settle(pairs.select("a", "b"))
         links = settle(verified(pairs, sets, percent))
         last, turn, leaders = not leaders, turn + 1, leaders and links.count() > LEADER_YIELD * pairs.count()
-        index = index.drop("_leader")
+        index = index.drop("_leaders")
         if links.isEmpty():
             if last:
                 break

@@ -93,6 +93,37 @@ def test_shingles_of_the_same_holders_are_one_list():
     assert jaccard.choose_level(twos, each, 20, 75, 20) == 14  # 2 (5 + l) (1 + 40 / l) is least there
 
 
+def test_sketches_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(3)
+    for size, swapped in ((5, 1), (200, 20), (3000, 300)):
+        a = rng.integers(0, 1 << 62, size).astype(np.uint64)
+        b = np.concatenate([a[swapped:], rng.integers(0, 1 << 62, swapped // 2).astype(np.uint64)])
+        bits = int(np.bitwise_count(jaccard.sketch(a) ^ jaccard.sketch(b)).sum())
+        assert len(jaccard.sketch(a)) * 64 == jaccard.SKETCH and bits <= len(np.setxor1d(a, b)) and bits % 2 == len(np.setxor1d(a, b)) % 2
+    assert not jaccard.sketch(np.zeros(0, np.uint64)).any()
+
+
+def test_a_large_group_of_near_copies_meets_few_pairs(spark, monkeypatch):
+    """Variants that are too far apart to link share most of their lists; they may not all meet each other."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    base, texts = [rng.choice(words) for _ in range(150)], []
+    for i in range(150):
+        own = list(base)
+        for at in rng.sample(range(150), rng.randint(1, 5)):
+            own[at] = f"new{i}-{at}"
+        texts.append(" ".join(own))
+    rows, met, checked = list(enumerate(texts)), [], []
+    candidates, verified = jaccard._candidates, jaccard.verified
+    monkeypatch.setattr(jaccard, "_candidates", lambda rows: met.append(rows.count()) or candidates(rows))
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *rest: checked.append(pairs.count()) or verified(pairs, *rest))
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = word_sets(rows)
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert got == grouped(links, list(sets)) and len(set(got.values())) > 1
+    assert sum(checked) < 4 * len(rows) and max(met[1:], default=0) < 20 * len(rows)
+
+
 def test_near_duplicates_of_odd_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (None, None)], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard.near_duplicates(df).collect())

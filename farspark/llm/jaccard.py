@@ -184,12 +184,16 @@ def _count(parts: int):
         tokens, owner = tokens[np.repeat(once, counts)], np.repeat(np.flatnonzero(once).astype(np.int32), counts[once])
         order = np.argsort(tokens)
         tokens, owner = tokens[order], owner[order]
+        del order
+        same = tokens[1:] == tokens[:-1]  # most shingles have one holder: they go before anything is computed for each
+        shared = np.concatenate([[False], same])
+        shared[:-1] |= same
+        tokens, owner = tokens[shared], owner[shared]
         at = _edges(tokens)
         holders = np.diff(np.append(at, len(tokens)))
         sums = np.add.reduceat(mixed(names)[owner], at) if len(at) else np.zeros(0, np.uint64)
-        shared = np.repeat(holders > 1, holders)
-        lists = np.repeat(list_names(holders, sums), holders)[shared]
-        tokens, owner = tokens[shared] | np.uint64(part & 0xFFFFFF) << np.uint64(40), owner[shared]
+        lists = np.repeat(list_names(holders, sums), holders)
+        tokens |= np.uint64(part & 0xFFFFFF) << np.uint64(40)
         home = (mixed(names) % np.uint64(parts)).astype(np.int32)
         order = np.lexsort((owner, home[owner]))
         tokens, owner, lists = tokens[order], owner[order], lists[order]

@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from farspark.operators.settle import settle
+
 SAMPLE = 4000
 #: Distinct n-grams of a training text that reach the driver; a text of over ten thousand words has more.
 MOST_NGRAMS = 1 << 14
@@ -170,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     held = rows.join(chosen, rows["_doc"] == F.col("_key")).select("_key", "_label", F.xxhash64("_key", "_text").alias("_order"), "_text")
     first = held.groupBy("_key", "_label").agg(F.min("_order").alias("_order"))
     sampled = held.join(first, ["_key", "_label", "_order"], "left_semi").dropDuplicates(["_key", "_label"]).select("_order", "_label", "_text")
-    got = sampled.mapInArrow(bags, "turn long, label int, buckets array<int>").toArrow().sort_by([("turn", "ascending"), ("label", "ascending")])
+    got = settle(sampled.mapInArrow(bags, "turn long, label int, buckets array<int>")).toArrow().sort_by([("turn", "ascending"), ("label", "ascending")])
     counts = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     column = got.column("buckets").combine_chunks()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from farspark.llm import jaccard, mixing, packing, substrings, toxicity
 from farspark.llm.tables import held_out, table
-from farspark.operators.settle import settle
+from farspark.operators.settle import settle, temporaries
 
 TOKENIZER = "byte_bpe_50k.json"
 TOXIC_FROM = 0.5
@@ -34,8 +34,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
     rows = docs.select(F.struct(*docs.columns).alias("_doc"), name.alias("_name"), F.col("text").alias("_text"))  # so that no column can clash
-    found = jaccard.near_duplicates(rows.select("_name", "_text"), key="_name", text="_text")
-    stay = settle(found.filter(F.col("component_id") == F.col("_name")).select(F.col("_name").alias("_kept")).distinct())
+    with temporaries(spark):
+        found = jaccard.near_duplicates(rows.select("_name", "_text"), key="_name", text="_text")
+        stay = settle(found.filter(F.col("component_id") == F.col("_name")).select(F.col("_name").alias("_kept")).distinct(), keep=True)
     kept = rows.join(stay, F.col("_name") == F.col("_kept"), "left_semi").withColumns({"_id": F.col("_name.id"), "_hash": F.col("_name.hash")})
     return kept.dropDuplicates(["_id", "_hash"]).select("_doc.*")
 
@@ -55,7 +56,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all up to three times."""
     names = {"_id": F.col("doc_id"), "_hash": F.xxhash64("text")}
     sized = docs.select(*(c.alias(n) for n, c in names.items()), mixing.words(F.col("text")).alias("size"), F.array("source").alias("members"))
-    copies = settle(mixing.mix(sized, ["_id", "_hash"]).groupBy("_id", "_hash").agg(F.max("copies").alias("_copies")).filter("_copies > 0"))
+    with temporaries(spark):
+        mixed = mixing.mix(sized, ["_id", "_hash"]).groupBy("_id", "_hash").agg(F.max("copies").alias("_copies"))
+        copies = settle(mixed.filter("_copies > 0"), keep=True)
     rows = docs.withColumn("_text_hash", F.xxhash64("text"))
     both = rows.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
     return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

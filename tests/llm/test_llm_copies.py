@@ -190,6 +190,32 @@ def test_repeats_of_repeated_rows_and_null_keys(spark):
         substrings.repeats(df, length=100)
 
 
+def test_tables_of_a_step_go_when_it_ends(spark, monkeypatch):
+    import pathlib
+
+    from farspark.operators import settle as settled
+
+    rng, own, held, where = random.Random(9), settled.settle, [], pathlib.Path(settled.folder(spark).removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in where.rglob("*.parquet")) if where.exists() else 0
+    before = size()
+
+    def watched(*args, **kwargs):
+        out = own(*args, **kwargs)
+        held.append(size() - before)
+        return out
+
+    monkeypatch.setattr(substrings, "settle", watched)
+    alone = ["".join(rng.choices("abcdefgh ", k=5000)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(alone)), "doc_id long, text string")
+    assert substrings.remove_repeats(df, length=128).filter(F.size("removed") > 0).count() == 0
+    assert max(held) < 0.2 * 200 * 5000  # no table of all runs: that would outgrow the texts
+    held.clear()
+    twice = [(i, t[1:] if i >= 200 else t) for i, t in enumerate(alone + alone)]
+    got = substrings.remove_repeats(spark.createDataFrame(twice, "doc_id long, text string"), length=128)
+    assert got.filter(F.octet_length("kept") <= 1).count() == 400
+    assert max(held) < 2 * 400 * 5000, max(held)  # runs of repeats, their kinds and stretches at most
+
+
 def test_chats_keep_maximal_conversations(spark):
     talks = {1: ["hi", "hello"], 2: ["hi", "hello", "bye"], 3: ["hi", "hello", "bye"], 4: ["hi", "other"], 5: ["hi"], 6: ["bye", "hi"], 7: [None], 8: [""]}
     rows = [(k, i, "user" if i % 2 == 0 else "assistant", t, 1) for k, v in talks.items() for i, t in enumerate(v)]

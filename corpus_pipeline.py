@@ -42,14 +42,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur again are cut out of the texts; characters cut in part go as a whole. No document goes."""
-    cut = substrings.remove_repeats(docs, length=PASSAGE_BYTES)
-    changed = F.size("removed") > 0
-    text = F.when(changed, substrings.as_text()("kept")).otherwise(F.col("text"))
-    new = cut.withColumn("_text", text)
-    return new.select(*(
-        F.col("_text").alias(c) if c == "text" else F.when(changed, F.length("_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars"
-        else F.col(c) for c in docs.columns))
+    """Passages that occur again are cut out of the texts; characters cut in part go as a whole. No document goes.
+
+    The result is settled here, as in `drop_toxic`: two functions in a row are two Python workers for each task.
+    """
+    with temporaries(spark):
+        cut = substrings.remove_repeats(docs, length=PASSAGE_BYTES)
+        changed = F.size("removed") > 0
+        text = F.when(changed, substrings.as_text()("kept")).otherwise(F.col("text"))
+        new = cut.withColumn("_text", text)
+        return settle(new.select(*(
+            F.col("_text").alias(c) if c == "text" else F.when(changed, F.length("_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars"
+            else F.col(c) for c in docs.columns)), keep=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,6 +90,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
-        if name not in (STAGES[0][0], STAGES[-1][0]):  # the first is settled already
+        if name not in ("toxicity", "suffix_array_dedup", STAGES[-1][0]):  # these two are settled already
             docs = settle(docs)
     return docs

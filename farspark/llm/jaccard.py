@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from farspark.llm.components import components
+from farspark.llm.workers import releasing, releasing_group
 from farspark.operators.settle import settle, temporaries
 
 WIDTH = 5
@@ -92,6 +93,7 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
 
 def shingle_sets(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
     """`doc` (the key), `n_shingles` and `set_key` (null for an empty set) of every row."""
+    @releasing
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
         for batch in batches:
@@ -111,6 +113,7 @@ SUSPECT = "name long, n long, shared long, level long, tokens binary, sketch arr
 
 def _blocks(parts: int, width: int):
     """Deal the shingles of whole texts into hash ranges; a block holds those of many texts in one range."""
+    @releasing
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size, seen = word_hashes(), [], 0, set()
 
@@ -174,6 +177,7 @@ def list_lengths(names: np.ndarray) -> np.ndarray:
 
 def _count(parts: int):
     """Shingles of one hash range that two or more classes hold, with the list of their holders, dealt by class."""
+    @releasing_group
     def count(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         names, sizes, counts = _joined(table, "names", np.uint64), _joined(table, "sizes", np.uint32), _joined(table, "counts", np.uint32)
@@ -235,6 +239,7 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
 
 def _prefixes(percent: int):
     """Put the shared shingles of each class together; of those that share enough, sort them and pick level and prefix."""
+    @releasing_group
     def order(table: pa.Table) -> pa.Table:
         names, sizes, counts = _joined(table, "names", np.uint64), _joined(table, "sizes", np.uint32), _joined(table, "counts", np.uint32)
         tokens, lists = _joined(table, "tokens", np.uint64), _joined(table, "lists", np.uint64)

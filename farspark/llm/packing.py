@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from farspark.llm.tables import cells_for, running_total, vocabulary
+from farspark.llm.workers import releasing
 from farspark.operators.settle import settle
 
 CAPACITY = 1024
@@ -138,6 +139,7 @@ def byte_encoder(path: str, end_id: int | None):
     """
 
     @F.arrow_udf("binary")
+    @releasing
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import base64
         import os

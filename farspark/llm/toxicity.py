@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from farspark.llm.workers import releasing
 from farspark.operators.settle import settle
 
 SAMPLE = 4000
@@ -163,6 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen = F.broadcast(draw[0].unionByName(draw[1]))
     rows = docs.select(F.col(key).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
+    @releasing
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.sort(bag(t.as_buffer().to_pybytes()))[:MOST_NGRAMS] for t in batch.column("_text")]
@@ -187,6 +189,7 @@ def score(df: DataFrame, model: Model, text: str = "text", name: str = "score")
     one by one, so repeated rows repeat their score, other columns stay, and an empty table gives an empty one.
     """
     @F.arrow_udf("double")
+    @releasing
     def chance(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             z = np.array([model.logit(bag(t.as_buffer().to_pybytes(), model.bits)) for t in column], np.float64)

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +191,31 @@ def test_repeats_of_repeated_rows_and_null_keys(spark):
         substrings.repeats(df, length=100)
 
 
+def test_runs_are_found_in_bounded_memory():
+    import tracemalloc
+
+    text = np.random.default_rng(3).integers(97, 123, 1 << 21).astype(np.uint8).tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text], pa.binary())], ["d1", "d2", "_text"])
+    find = substrings._runs(128, ["anchor"])
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in find([batch])) > 1 << 14
+        assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_worker_hands_back_what_a_task_has_freed(monkeypatch):
+    from farspark.llm import workers
+
+    freed = []
+    monkeypatch.setattr(workers, "release", lambda: freed.append(1))
+    task = workers.releasing(lambda batches: (b + 1 for b in batches))([1, 2])
+    assert next(task) == 2 and not freed
+    assert list(task) == [3] and len(freed) == 1
+    assert workers.releasing_group(lambda table: table * 2)(4) == 8 and len(freed) == 2
+
+
 def test_tables_of_a_step_go_when_it_ends(spark, monkeypatch):
     import pathlib
 

@@ -60,6 +60,13 @@ def test_the_first_stage_hands_on_a_settled_table(spark, corpus):
     assert "ArrowEvalPython" not in plan and "Scan parquet" in plan and kept.columns == docs.columns
 
 
+def test_the_passage_stage_hands_on_a_settled_table(spark, corpus):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    cut = corpus_pipeline.drop_repeats(spark, docs, corpus)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "Scan parquet" in plan and cut.columns == docs.columns
+
+
 @pytest.fixture(scope="module")
 def stages(spark, corpus):
     docs, out = spark.read.parquet(f"{corpus}/documents.parquet"), []

@@ -216,6 +216,15 @@ def test_a_worker_hands_back_what_a_task_has_freed(monkeypatch):
     assert workers.releasing_group(lambda table: table * 2)(4) == 8 and len(freed) == 2
 
 
+def test_only_cut_characters_are_decoded_in_python(spark):
+    kept = [b"", "üß€ 😀".encode(), "ü".encode()[1:] + b"ab", "a€".encode()[:-1] + b"b", b"\xed\xa0\x80x", b"\xc0\xafy", b"\x00z", None]
+    df = spark.createDataFrame([(i, k if k is None else bytearray(k)) for i, k in enumerate(kept)], "id long, kept binary").repartition(1)
+    got = {r.id: r.text for r in df.select("id", substrings.as_text()("kept").alias("text")).collect()}
+    assert got == {i: None if k is None else k.decode("utf-8", "ignore") for i, k in enumerate(kept)}
+    plan = df.select(substrings.as_text()("kept").alias("text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "isValid" in next(line for line in plan.splitlines() if "ArrowEvalPython" in line)
+
+
 def test_tables_of_a_step_go_when_it_ends(spark, monkeypatch):
     import pathlib
 

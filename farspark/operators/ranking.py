@@ -15,9 +15,9 @@ from farspark.errors import RefusedError
 from farspark.functions.expressions import ARM_CLIP, ARM_RAMP_SIGMA, FEATURES, arm_gate, keep_above, log_likelihood_ratio, lr_features
 from farspark.functions.kernels import coefficient_coherence, lag_rotation
 from farspark.operators.bounded import WIDTH, pairs_above, with_slack
-from farspark.operators.settle import settle
+from farspark.operators.settle import settle, temporaries
 from farspark.operators.slides import SlidePlan, cluster_local_max
-from farspark.operators.sums import array_sum
+from farspark.operators.sums import array_sum, blocks
 from farspark.schemas import names
 
 RIDGE = 1e-3
@@ -118,34 +118,47 @@ def _bounded_step(gradient: np.ndarray, hessian: np.ndarray, at: np.ndarray, low
 def fit_lr(rows: DataFrame, label: str = "label", fold: int = 0, norm=None, features: Sequence[str] = FEATURES) -> Model:
     """Balanced logistic regression with a small ridge and a coherence coefficient that cannot be negative.
 
-    Features are standardised by population moments first. Newton's method: a pass over the rows adds up the loss, the
-    gradient and the matrix of second derivatives, some fifty numbers, and the driver solves for the next point.
+    Features are standardised by population moments first and settled as blocks of doubles. Newton's method: a pass over the rows
+    adds up the loss, the gradient and the matrix of second derivatives, some fifty numbers, and the driver solves for the next point.
     """
-    d = settle(rows.select(F.col(label).cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in features]))
-    moments = d.agg(
-        F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1"), *[F.avg(f).alias(f"m_{f}") for f in features],
-        *[F.stddev_pop(f).alias(f"s_{f}") for f in features],
-    ).first()
-    n, n1 = moments["n"], int(moments["n1"] or 0)
-    if not n or n1 in (0, n):
-        raise RefusedError("a fit needs rows of both classes")
-    mu = tuple(moments[f"m_{f}"] for f in features)
-    sd = tuple(moments[f"s_{f}"] + 1e-9 for f in features)
+    with temporaries(rows.sparkSession):
+        return _fit(rows, label, fold, norm, features)
+
+
+def _fit(rows: DataFrame, label: str, fold: int, norm, features: Sequence[str]) -> Model:
+    with temporaries(rows.sparkSession):
+        d = settle(rows.select(F.col(label).cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in features]))
+        moments = d.agg(
+            F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1"), *[F.avg(f).alias(f"m_{f}") for f in features],
+            *[F.stddev_pop(f).alias(f"s_{f}") for f in features],
+        ).first()
+        n, n1 = moments["n"], int(moments["n1"] or 0)
+        if not n or n1 in (0, n):
+            raise RefusedError("a fit needs rows of both classes")
+        mu = tuple(moments[f"m_{f}"] for f in features)
+        sd = tuple(moments[f"s_{f}"] + 1e-9 for f in features)
+        centre, scale = np.array([0.0, *mu]), np.array([1.0, *sd])
+        standardised = settle(blocks(d, lambda rows: (rows - centre) / scale), keep=True)
     size = len(features) + 1
-    centre, scale, weights = np.array(mu), np.array(sd), np.array([n / (2.0 * (n - n1)), n / (2.0 * n1)])
+    weights = np.array([n / (2.0 * (n - n1)), n / (2.0 * n1)])
     ridge = np.array([0.0, *[2.0 * RIDGE] * len(features)])
     low = np.array([-np.inf, *[0.0 if f == "coherence" else -np.inf for f in features]])
 
     def sums(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         def kernel(rows: np.ndarray) -> np.ndarray:
-            y = rows[:, 0]
-            z = np.column_stack([np.ones(len(y)), (rows[:, 1:] - centre) / scale])
-            w, m = weights[(y == 1).astype(int)], z @ beta
-            p = np.exp(-np.logaddexp(0.0, -m))
-            loss = w @ (np.logaddexp(0.0, m) - y * m)
-            return np.concatenate([[loss], z.T @ (w * (p - y)), ((z * (w * p * (1 - p))[:, None]).T @ z).reshape(-1)])
-
-        got = array_sum(d, kernel, 1 + size + size * size)
+            y, z = rows[:, 0], rows[:, 1:]
+            w, m = weights[(y == 1).astype(int)], z @ beta[1:] + beta[0]
+            e = np.exp(-np.abs(m))
+            loss = w @ (np.maximum(m, 0.0) + np.log1p(e) - y * m)
+            p = np.where(m >= 0, 1.0, e) / (1 + e)
+            slope, curve = w * (p - y), w * e / (1 + e) ** 2
+            hessian = np.empty((size, size))
+            hessian[0, 0] = curve.sum()
+            hessian[0, 1:] = hessian[1:, 0] = curve @ z
+            hessian[1:, 1:] = z.T @ (z * curve[:, None])
+            return np.concatenate([[loss, slope.sum()], slope @ z, hessian.reshape(-1)])
+
+        got = array_sum(standardised, size, kernel, 1 + size + size * size)
         hessian = got[1 + size :].reshape(size, size) + np.diag(ridge)
         return got[0] + 0.5 * float(ridge @ beta**2), got[1 : 1 + size] + ridge * beta, hessian
 

@@ -191,6 +191,8 @@ def lr_fit(
     )
     by_fold = {m.fold: m for m in models}
     held = ranking.score_held_out(ranking.standardise_held_out(signal, by_fold), by_fold)
+    # Read five times. With the search for a value's cell in one stage, the score would make code too long to be compiled.
+    held = settle(held.select("fold", "loglr"))
     sanity = percentiles(held, "loglr", {"median_loglr": 0.5}, ["fold"])
     return LrFit(models, assignment, sanity)
 

@@ -201,6 +201,24 @@ def test_pairs_above_equal_all_pairs(spark, width, zero, per_span):
     assert got == sorted(want) and want
 
 
+def test_held_out_medians_read_settled_scores(spark, dense_grid, monkeypatch):
+    rng = np.random.default_rng(8)
+    scores = [F.col(f"sigma_{c}").alias(f"score_{c}") for c in "ab"]
+    grid = dense_grid.select("*", *scores).drop("n", "fold", "sigma_a", "sigma_b")
+    names = ("score_a", "score_b", "coherence", "centroid_a", "centroid_b", "arm_a", "arm_b")
+    rows = [(float(i % 2), *map(float, rng.normal((2, 2, 0.5, 200, 200, 0, 0), (1, 1, 0.1, 30, 30, 2, 2)))) for i in range(60)]
+    foreground = spark.createDataFrame(rows, "span_start double, " + ", ".join(f"{c} double" for c in names))
+    read, plain = [], reports.percentiles
+    monkeypatch.setattr(reports, "percentiles", lambda df, *rest: read.append(df) or plain(df, *rest))
+    fit = reports.lr_fit(grid, foreground, 1.0, reports.Band(3, WINDOW, LAGS), 6, 2.0, 4.0)
+    got = {r["fold"]: r["median_loglr"] for r in fit.sanity.collect()}
+    models = {m.fold: m for m in fit.models}
+    scored = reports.score_foreground(foreground, fit.assignment, models).select("fold", "loglr").collect()
+    assert got == {g: pytest.approx(np.median([r["loglr"] for r in scored if r["fold"] == g]), rel=1e-12) for g in (0, 1)}
+    plan = read[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert read[0].columns == ["fold", "loglr"] and "Join" not in plan and "Project" not in plan
+
+
 def test_dense_net_sigma_equals_the_pruned_slide(dense_grid):
     plan = slides.SlidePlan(16, 2.0)
     dense = ranking.dense_slides(dense_grid, plan, 1.0, 3, WINDOW, LAGS, 0.8, 2, a_block=8, lag_block=5)

@@ -165,6 +165,8 @@ def _fit(rows: DataFrame, label: str, fold: int, norm, features: Sequence[str])
     beta = np.zeros(size)
     loss, gradient, hessian = sums(beta)
     for _ in range(NEWTON_PASSES):
+        if np.isnan(loss):  # a row with NULL or NaN, whatever the coefficients
+            return Model(fold, mu, sd, (float("nan"),) * size, norm)
         left = np.where((beta <= low) & (gradient > 0), 0.0, gradient)
         if np.abs(left).max() <= KKT * n:
             break
